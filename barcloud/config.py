@@ -96,6 +96,8 @@ class SkewPolicy:
     # whitelists up to this many barcodes are broadcast, larger ones use shuffle joins
     max_broadcast_rows: int = 8_000_000
     target_file_rows: int = 4_000_000
+    rows_per_task: int = 1_000_000
+    waves: int = 4
 
     def threshold(self, total_rows: int) -> int:
         return max(self.max_group_rows, total_rows // self.max_heavy_keys)

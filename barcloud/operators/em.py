@@ -1,6 +1,7 @@
 """Expectation-maximisation over candidate alignments and molecule clouds.
 
 Rewrites used (all exact):
+
 * Dividing cloud weights by a per-component or per-read constant cancels in the softmax, so cloud
   components are not built.
 * Within a round cloud weights are fixed and a read only looks at its own mate, so a sequential
@@ -9,6 +10,10 @@ Rewrites used (all exact):
   outside equals max(-15, ln of the largest partner gamma inside the window): a range window, no
   pairs of candidates are emitted.  Two positions in the window are always in the same cloud,
   because dist_thresh is at least the window.
+* exp(score + ln weight + mate term) is the plain product
+  exp(score) * weight * max(e^-15, partner gamma).  The normaliser is constant per read, so the
+  partner maximum is taken over products and divided afterwards: one window pass per half-step
+  yields both the normaliser of the moved mate and the partner maximum for the other one.
 
 Everything per read pair uses one sort order (bc, ident, gpos); only the cloud facts change it.
 """
@@ -26,52 +31,47 @@ from barcloud.config import (
 from barcloud.operators.candidates import PAIR
 from barcloud.operators.clouds import CLOUD
 
-_TINY = 1e-300
-
-
-def _pair_range() -> WindowSpec:
-    return Window.partitionBy(*PAIR).orderBy("gpos")
-
-
-def _pair_all() -> WindowSpec:
-    return _pair_range().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+_TINY = 1e-200  # keeps clouds without any active support finite
+_NO_MATE = math.exp(UNPAIRED_PENALTY)
 
 
-def _pair_before() -> WindowSpec:
-    order = Window.partitionBy(*PAIR).orderBy("gpos", "mate", "bwa_rank")
-    return order.rowsBetween(Window.unboundedPreceding, -1)
+def _pair(*order: str) -> WindowSpec:
+    return Window.partitionBy(*PAIR).orderBy(*order)
 
 
-def _ln(x: Column) -> Column:
-    return F.ln(F.greatest(x, F.lit(_TINY)))
+def _whole(w: WindowSpec) -> WindowSpec:
+    return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def _own(agg, value: Column, w) -> Column:
+def _own(agg, value: Column, w: WindowSpec) -> Column:
     """Aggregate over the rows of the current row's own mate, inside the pair window."""
     of = lambda m: agg(F.when(F.col("mate") == m, value)).over(w)
     return F.when(F.col("mate") == 0, of(0)).otherwise(of(1))
 
 
-def softmax(df: DataFrame, logit: str, target: str) -> DataFrame:
-    """Per-read probabilities of log scores; terms below 1e-50 / n vanish."""
-    centred = df.withColumn("_d", F.col(logit) - _own(F.max, F.col(logit), _pair_all()))
-    floor = F.lit(math.log(GAMMA_FLOOR)) - F.ln(F.col("n_cands"))
-    term = F.when(F.col("_d") < floor, F.lit(0.0)).otherwise(F.exp("_d"))
-    return (
-        centred.withColumn("_e", term)
-        .withColumn(target, F.col("_e") / _own(F.sum, F.col("_e"), _pair_all()))
-        .drop("_d", "_e")
-    )
+def _floored(term: Column, largest: Column) -> Column:
+    """Terms below 1e-50 / n of the largest vanish."""
+    return F.when(term < largest * F.lit(GAMMA_FLOOR) / F.col("n_cands"), F.lit(0.0)).otherwise(term)
 
 
 def initialise(df: DataFrame) -> DataFrame:
-    """gamma from alignment scores alone, plus whether the read was already seen in the cloud."""
-    df = df.withColumn("gcloud", F.col("chrom").cast("long") * F.lit(GENOME_STRIDE) + F.col("cloud"))
+    """Add gamma from alignment scores alone.
+
+    Also: n_cands of the read, its likelihood relative to the read's best, and ``repeats`` (the
+    read occurred in this cloud before, in position order).
+    """
+    rows = _pair("gpos", "mate", "bwa_rank")
+    gcloud = F.col("chrom").cast("long") * F.lit(GENOME_STRIDE) + F.col("cloud")
     # along gpos clouds only ever advance, so the largest earlier cloud is the latest one
-    seen = _own(F.max, F.col("gcloud"), _pair_before())
-    df = df.withColumn("repeats", F.coalesce(seen == F.col("gcloud"), F.lit(False)))
-    df = df.withColumn("n_cands", _own(F.count, F.lit(1), _pair_all()))
-    return softmax(df, "score", "gamma")
+    seen = _own(F.max, F.col("gcloud"), rows.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("gcloud", gcloud).withColumns({
+        "repeats": F.coalesce(seen == F.col("gcloud"), F.lit(False)),
+        "n_cands": _own(F.count, F.lit(1), _whole(rows)),
+        "likelihood": F.exp(F.col("score") - _own(F.max, F.col("score"), _whole(rows))),
+    })
+    kept = _floored(F.col("likelihood"), F.lit(1.0))
+    total = _own(F.sum, F.col("gamma"), _whole(rows))
+    return df.withColumn("gamma", kept).withColumn("gamma", F.col("gamma") / total)
 
 
 def _position_order() -> Column:
@@ -87,59 +87,88 @@ def cloud_facts(layout, df: DataFrame) -> DataFrame:
     })
 
 
-def with_leader(df: DataFrame) -> DataFrame:
-    """leads: this mate entered the sweep after the other one and is updated first.
+def entry_order() -> Column:
+    """Sortable rank of the moment a candidate enters the sweep, comparable within a pair.
 
     Rows enter in cloud and position order, except that a colliding cloud re-enters its reads in
     name order from the collision on.
     """
     late = F.coalesce(_position_order() >= F.col("collision"), F.lit(False))
-    df = df.withColumn("_late", late)
-    entry = F.struct(
-        F.col("gcloud"), F.col("_late"),
-        F.when(F.col("_late"), F.lit(0).cast("long")).otherwise(F.col("pos").cast("long")).alias("p"),
-        F.col("mate"),
-        F.when(F.col("_late"), F.lit(0).cast("long")).otherwise(F.col("bwa_rank").cast("long")).alias("r"),
+    early_only = lambda c: F.when(late, F.lit(0).cast("long")).otherwise(F.col(c).cast("long"))
+    return F.struct(
+        F.col("gcloud"), late.alias("late"), early_only("pos").alias("p"), F.col("mate"),
+        early_only("bwa_rank").alias("r"),
     )
-    first = F.min_by(F.col("mate"), entry).over(_pair_all())
-    return df.withColumn("leads", F.col("mate") != first).drop("_late", "collision")
 
 
-def mate_term(gamma: str = "gamma") -> Column:
-    """Best partner support of a candidate: max(-15, ln of the best partner gamma in the window)."""
-    def best(m: int, rev: bool, w):
-        return F.max(F.when((F.col("mate") == m) & (F.col("rev") == rev), F.col(gamma))).over(w)
+def partner_max(value: Column) -> Column:
+    """Largest ``value`` among opposite-strand rows of the pair inside the insert window.
+
+    The caller's value is NULL on rows of the current row's own mate.
+    """
+    order = _pair("gpos")
+    # distance is reverse minus forward: reverse partners lie ahead, forward partners behind
+    ahead = F.max(F.when(F.col("rev"), value)).over(order.rangeBetween(INSERT_MIN, INSERT_MAX))
+    behind = F.max(F.when(~F.col("rev"), value)).over(order.rangeBetween(-INSERT_MAX, -INSERT_MIN))
+    return F.coalesce(F.when(F.col("rev"), behind).otherwise(ahead), F.lit(0.0))
 
-    ahead_of = _pair_range().rangeBetween(INSERT_MIN, INSERT_MAX)  # reverse partners of a forward row
-    behind_of = _pair_range().rangeBetween(-INSERT_MAX, -INSERT_MIN)  # forward partners of a reverse row
-    other_is_1 = F.col("mate") == 0
-    ahead = F.when(other_is_1, best(1, True, ahead_of)).otherwise(best(0, True, ahead_of))
-    behind = F.when(other_is_1, best(1, False, behind_of)).otherwise(best(0, False, behind_of))
-    partner = F.when(F.col("rev"), behind).otherwise(ahead)
-    return F.greatest(F.lit(UNPAIRED_PENALTY), _ln(F.coalesce(partner, F.lit(0.0))))
 
+def mate_support(gamma: str = "gamma") -> Column:
+    """Partner gamma of every candidate, both mates at once."""
+    of_mate = lambda m: partner_max(F.when(F.col("mate") == m, F.col(gamma)))
+    return F.when(F.col("mate") == 0, of_mate(1)).otherwise(of_mate(0))
 
-def half_step(df: DataFrame, moving: Column) -> DataFrame:
-    df = df.withColumn("_mate", mate_term())
-    df = df.withColumn("_logit", F.col("score") + _ln(F.col("weight")) + F.col("_mate"))
-    df = softmax(df, "_logit", "_new")
-    changed = F.when(F.col("em") & moving, F.col("_new")).otherwise(F.col("gamma"))
-    return df.withColumn("gamma", changed).drop("_mate", "_logit", "_new")
+
+def with_leader(df: DataFrame) -> DataFrame:
+    """Add leads (this mate entered the sweep after the other one and moves first) and support."""
+    df = df.withColumn("_entry", entry_order())
+    first = F.min_by("mate", "_entry").over(_whole(_pair("gpos")))
+    return df.withColumns({"leads": F.col("mate") != first, "support": mate_support()}).drop("_entry", "collision")
+
+
+def _half_step(df: DataFrame, moves: Column, last: bool) -> DataFrame:
+    """Move gamma of the rows where ``moves``; their mates get the new support."""
+    product = F.col("likelihood") * F.greatest(F.col("weight"), F.lit(_TINY)) * F.greatest(
+        F.col("support"), F.lit(_NO_MATE))
+    df = df.withColumn("_p", F.when(F.col("em") & moves, product))
+    whole = _whole(_pair("gpos"))
+    added = {"_total": F.sum("_p").over(whole), "_partner": partner_max(F.col("_p"))}
+    if last:
+        added["_top"] = F.max("_p").over(whole)
+    df = df.withColumns(added)
+    term = _floored(F.col("_p"), F.col("_top")) if last else F.col("_p")
+    moved = F.col("_p").isNotNull()
+    return df.withColumns({
+        "gamma": F.when(moved, term / F.col("_total")).otherwise(F.col("gamma")),
+        "support": F.when(~moved & F.col("_total").isNotNull(), F.col("_partner") / F.col("_total"))
+        .otherwise(F.col("support")),
+    }).drop(*added, "_p")
 
 
 def em(layout, df: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
-    """gamma after ``rounds`` sweeps for barcodes with enough pairs; needs gamma, weight, leads."""
+    """gamma after ``rounds`` sweeps for barcodes with enough pairs."""
     df = df.withColumn("em", F.col("n_pairs") >= EM_MIN_PAIRS)
+    active = F.when(F.col("active"), F.col("gamma")).otherwise(F.lit(0.0))
     for r in range(rounds):
-        df = half_step(df, F.col("leads"))
-        df = half_step(df, ~F.col("leads"))
-        if r + 1 < rounds:
-            df = layout.facts(df, CLOUD, {"weight": F.sum(F.when(F.col("active"), F.col("gamma")).otherwise(F.lit(0.0)))})
+        last = r + 1 == rounds
+        df = _half_step(df, F.col("leads"), last)
+        df = _half_step(df, ~F.col("leads"), last)
+        if not last:
+            df = layout.facts(df, CLOUD, {"weight": F.sum(active)})
     return df
 
 
+
+
+# Columns the sweeps read; everything else travels as one opaque struct, copied as a block.
+_WORKING = [
+    "bc", "ident", "mate", "bwa_rank", "chrom", "cloud", "pos", "gpos", "rev", "score", "active", "n_pairs",
+]
+
+
 def posterior(layout, clouded: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
-    """Clouded candidates -> the same rows with gamma, bad, weight."""
-    df = initialise(clouded)
-    df = with_leader(cloud_facts(layout, df))
-    return em(layout, df, rounds).drop("n_cands", "repeats", "leads", "em")
+    """Clouded candidates -> the same rows with gamma and bad."""
+    rest = [c for c in clouded.columns if c not in _WORKING]
+    packed = clouded.select(*_WORKING, F.struct(*rest).alias("rest")) if rest else clouded
+    swept = em(layout, with_leader(cloud_facts(layout, initialise(packed))), rounds)
+    return swept.select(*_WORKING, *[F.col(f"rest.{c}").alias(c) for c in rest], "bad", "gamma")

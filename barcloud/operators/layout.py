@@ -20,12 +20,21 @@ from barcloud.operators.skew import attach_by_key
 from barcloud.session import cut_lineage
 
 
+def _tasks(df: DataFrame, policy: SkewPolicy, total_rows: int) -> int:
+    """Enough tasks for bounded partitions, and several per core to even out barcode sizes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(policy.waves * cores, -(-total_rows // policy.rows_per_task))
+
+
 @dataclass(frozen=True)
 class BarcodeLocal:
     """All rows of a barcode in one partition."""
 
+    policy: SkewPolicy
+    total_rows: int
+
     def place(self, df: DataFrame) -> DataFrame:
-        return df.repartition("bc")
+        return df.repartition(_tasks(df, self.policy, self.total_rows), "bc")
 
     def pair_counts(self, df: DataFrame) -> DataFrame:
         """Add n_pairs, the read pairs of the barcode."""
@@ -57,7 +66,7 @@ class Spread:
         return self.policy.threshold(self.total_rows)
 
     def place(self, df: DataFrame) -> DataFrame:
-        return df.repartition("bc", "ident")
+        return df.repartition(_tasks(df, self.policy, self.total_rows), "bc", "ident")
 
     def pair_counts(self, df: DataFrame) -> DataFrame:
         pairs = df.groupBy("bc", "ident").agg(F.count("*").alias("_n"))

@@ -21,21 +21,20 @@ def plan_layouts(candidates: DataFrame, policy: SkewPolicy = DEFAULT_POLICY, lay
     One narrow pass counts rows per barcode; only the barcodes above the policy's threshold (at
     most ``max_heavy_keys``) reach the driver.
     """
-    if layout == "local":
-        return [(BarcodeLocal(), candidates)]
     sizes = candidates.groupBy("bc").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    if layout == "spread":
-        return [(Spread(policy, total), candidates)]
+    n, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    total = n or 0
+    local, spread = BarcodeLocal(policy, total), Spread(policy, total)
+    if layout != "auto":
+        return [({"local": local, "spread": spread}[layout], candidates)]
+    if (largest or 0) <= policy.threshold(total):
+        return [(local, candidates)]
     # at most max_heavy_keys rows can pass
     heavy = sizes.where(F.col("n") > policy.threshold(total)).select("bc").collect()
-    if not heavy:
-        return [(BarcodeLocal(), candidates)]
-    spark = candidates.sparkSession
-    hot = F.broadcast(spark.createDataFrame(heavy, "bc long"))
+    hot = F.broadcast(candidates.sparkSession.createDataFrame(heavy, "bc long"))
     return [
-        (BarcodeLocal(), candidates.join(hot, "bc", "left_anti")),
-        (Spread(policy, total), candidates.join(hot, "bc", "left_semi")),
+        (local, candidates.join(hot, "bc", "left_anti")),
+        (spread, candidates.join(hot, "bc", "left_semi")),
     ]
 
 
