@@ -45,21 +45,20 @@ def base_digits(seq) -> Column:
     return F.translate(normalize_bases(seq), "ACGTN", "01234")
 
 
-_HAPLOTAG = r"^A(\d\d)C(\d\d)B(\d\d)D(\d\d)"
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once for all its uses in ``body``."""
+    return F.transform(F.array(value), body)[0]
 
 
-def haplotag_segments(tag) -> list[Column]:
-    """Segments in A, C, B, D order; NULL when the tag is malformed."""
-    tag = _col(tag)
-    return [
-        F.when(tag.rlike(_HAPLOTAG), F.regexp_extract(tag, _HAPLOTAG, g)).try_cast("long")
-        for g in (1, 2, 3, 4)
-    ]
+_HAPLOTAG = r"^A(\d\d)C(\d\d)B(\d\d)D(\d\d).*$"
 
 
 def pack_haplotag(tag) -> Column:
-    a, c, b, d = haplotag_segments(tag)
-    return F.shiftleft(a, 24).bitwiseOR(F.shiftleft(c, 16)).bitwiseOR(F.shiftleft(b, 8)).bitwiseOR(d)
+    """AxxCxxBxxDxx -> A, C, B, D as the bytes of a 32-bit code; NULL when malformed."""
+    digits = F.regexp_replace(_col(tag), _HAPLOTAG, "$1$2$3$4").try_cast("long")
+    segment = lambda n, unit: F.floor(n / unit) % 100
+    return _let(digits, lambda n: segment(n, 1_000_000) * (1 << 24) + segment(n, 10_000) * (1 << 16)
+                + segment(n, 100) * (1 << 8) + n % 100)
 
 
 def _haplotag_byte(code: Column, shift: int) -> Column:
@@ -67,18 +66,20 @@ def _haplotag_byte(code: Column, shift: int) -> Column:
 
 
 def unpack_haplotag(code) -> Column:
-    code = _col(code)
-    parts = [_haplotag_byte(code, s).cast("int") for s in (24, 16, 8, 0)]
-    return F.format_string("A%02dC%02dB%02dD%02d", *parts)
+    text = lambda c: F.format_string(
+        "A%02dC%02dB%02dD%02d", *[_haplotag_byte(c, s).cast("int") for s in (24, 16, 8, 0)])
+    return _let(_col(code), lambda c: F.when(c.isNotNull(), text(c)))
 
 
 def is_haplotag_code(code) -> Column:
     """Membership in the generated 96**4 whitelist, as a predicate instead of 85 M rows."""
-    code = _col(code)
-    test = F.lit(True)
-    for shift in (24, 16, 8, 0):
-        test = test & F.shiftright(code, shift).bitwiseAND(F.lit(255)).between(1, HAPLOTAG_SEGMENT_MAX)
-    return test
+    def listed(c):
+        test = F.lit(True)
+        for shift in (24, 16, 8, 0):
+            test = test & F.shiftright(c, shift).bitwiseAND(F.lit(255)).between(1, HAPLOTAG_SEGMENT_MAX)
+        return test
+
+    return _let(_col(code), listed)
 
 
 def saturate_quals(quals) -> Column:

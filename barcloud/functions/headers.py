@@ -35,8 +35,7 @@ def _first_word(text: Column) -> Column:
 
 def bx_tag(header) -> Column:
     """12-character BX:Z: value after the first blank or tab; NULL without a complete one."""
-    found = F.regexp_extract(_col(header), r"^[^ \t]*[ \t].*?BX:Z:(.{12})", 1)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(_col(header), r"^[^ \t]*[ \t].*?BX:Z:(.{12})", 1), F.lit(""))
 
 
 def split_header(header, platform: Platform) -> tuple[Column, Column]:

@@ -1,2 +1,158 @@
-def optimise_density(layout, clouded, platform):
-    raise NotImplementedError
+"""Read-density optimisation of clouds in which a read occurs several times.
+
+Which candidates take part, the edit-distance cut and all bounds are DataFrame work; only the
+annealing itself, an inherently sequential walk over one bounded cloud, runs in Python tasks.
+Clouds beyond the documented size limits are skipped by definition, so a group never exceeds
+``DENSITY_MAX_RECORDS`` rows.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from barcloud.config import (
+    ANNEAL_LOG10_T0, ANNEAL_LOG10_T1, ANNEAL_MAX_REJECTED, ANNEAL_STEPS, DENSITY_BIN,
+    DENSITY_MAX_BINS, DENSITY_MAX_RECORDS, DENSITY_MIN_RECORDS, DENSITY_SCORE_SCALE, INSERT_MAX,
+    SPLIT_EXTRA_SEARCH_DEPTH, Platform,
+)
+from barcloud.operators.clouds import CLOUD
+
+IN_CLOUD = [*CLOUD, "ident", "mate"]
+
+
+def prefilter(layout, clouded: DataFrame) -> DataFrame:
+    """Deactivate hopeless repeats of a read in a colliding cloud; add ``anneal``.
+
+    ``anneal`` marks the clouds to optimise: enough records before and after the cut, a span within
+    the bin table, and a read that still has a choice.
+    """
+    read = Window.partitionBy(*IN_CLOUD)
+    df = clouded.withColumns({
+        "_copies": F.count("*").over(read),
+        "_least": F.min("clip_edit_dist").over(read),
+    })
+    df = layout.facts(df, CLOUD, {"_records": F.count("*"), "_colliding": F.max(F.col("_copies") > 1)})
+    eligible = F.col("_colliding") & F.col("_records").between(DENSITY_MIN_RECORDS, DENSITY_MAX_RECORDS)
+    dropped = eligible & (F.col("clip_edit_dist") > F.col("_least") + SPLIT_EXTRA_SEARCH_DEPTH)
+    df = df.withColumns({"_eligible": eligible, "active": F.col("active") & ~dropped})
+    kept = F.when(F.col("active"), F.col("pos"))
+    df = df.withColumn("_choices", F.count(kept).over(read))
+    df = layout.facts(df, CLOUD, {
+        "_lo": F.min(kept), "_hi": F.max(kept), "_left": F.count(kept), "_most": F.max("_choices")})
+    bins = F.floor((F.col("_hi") - F.col("_lo")) / DENSITY_BIN) + 1
+    anneal = (
+        F.col("_eligible") & (F.col("_left") >= DENSITY_MIN_RECORDS) & (F.col("_most") > 1)
+        & (bins < DENSITY_MAX_BINS)
+    )
+    return df.withColumn("anneal", F.coalesce(anneal, F.lit(False))).drop(
+        "_copies", "_least", "_records", "_colliding", "_eligible", "_choices", "_hi", "_left", "_most")
+
+
+def density_bins(clouded: DataFrame) -> DataFrame:
+    """(bc, chrom, cloud, bin, n): candidates per 1 kb bin of their cloud."""
+    bin_of = F.floor((F.col("pos") - F.col("cloud")) / DENSITY_BIN)
+    return clouded.groupBy(*CLOUD, bin_of.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def _is_pair(pos, rev, other_pos, other_rev):
+    """Proper pair of two candidates on one contig; works elementwise."""
+    gap = np.where(rev, pos - other_pos, other_pos - pos)
+    return (rev != other_rev) & (gap >= 0) & (gap <= INSERT_MAX)
+
+
+def _anneal_cloud(cloud: pd.DataFrame, log_p: np.ndarray, seed: int) -> np.ndarray:
+    """Pick one candidate per read, maximising score / 20 plus the log density of the 1 kb bins.
+
+    ``cloud`` has the columns ident, mate, bin, pos, rev, score, and is sorted by read.
+    """
+    rng = np.random.default_rng(seed)
+    read_code = cloud.groupby(["ident", "mate"], sort=False).ngroup().to_numpy()
+    first = np.flatnonzero(np.r_[True, read_code[1:] != read_code[:-1]])
+    size = np.diff(np.r_[first, len(cloud)])
+    score, place = cloud["score"].to_numpy() / DENSITY_SCORE_SCALE, cloud["bin"].to_numpy()
+    pos, rev = cloud["pos"].to_numpy(), cloud["rev"].to_numpy()
+    chosen = np.array([f + int(np.argmax(score[f:f + n])) for f, n in zip(first, size)])
+
+    names, mates = cloud["ident"].to_numpy()[first], cloud["mate"].to_numpy()[first]
+    at = {(i, m): r for r, (i, m) in enumerate(zip(names, mates))}
+    partner = np.array([at.get((i, 1 - m), -1) for i, m in zip(names, mates)])
+    load = np.bincount(place[chosen], minlength=int(place.max()) + 1)
+
+    def density(n: int) -> float:
+        last = len(log_p) - 1
+        return log_p[n] if n <= last else log_p[last] - (n - last) * math.log(2.0)
+
+    def gain(moves) -> float:
+        """Exact change of the objective over the distinct bins the moves touch."""
+        shift: dict[int, int] = {}
+        total = 0.0
+        for old, new in moves:
+            shift[place[old]] = shift.get(place[old], 0) - 1
+            shift[place[new]] = shift.get(place[new], 0) + 1
+            total += score[new] - score[old]
+        return total + sum(density(load[b] + d) - density(load[b]) for b, d in shift.items() if d)
+
+    movable = np.flatnonzero(size > 1)
+    rejected = 0
+    for step in range(ANNEAL_STEPS):
+        temperature = 10.0 ** (ANNEAL_LOG10_T0 + (ANNEAL_LOG10_T1 - ANNEAL_LOG10_T0) * step / ANNEAL_STEPS)
+        r = int(rng.choice(movable))
+        old = chosen[r]
+        options = [c for c in range(first[r], first[r] + size[r]) if c != old]
+        new = int(rng.choice(options))
+        moves, forced = [(old, new)], False
+        p = partner[r]
+        if p >= 0:
+            mate = chosen[p]
+            was = _is_pair(pos[old], rev[old], pos[mate], rev[mate])
+            now = _is_pair(pos[new], rev[new], pos[mate], rev[mate])
+            forced = bool(now and not was)
+            if was and not now and size[p] > 1:
+                own = np.arange(first[p], first[p] + size[p])
+                fits = own[_is_pair(pos[new], rev[new], pos[own], rev[own])]
+                if len(fits):
+                    moves.append((mate, int(fits[0])))
+        change = gain(moves)
+        if forced or change > 0 or math.exp(max(change / temperature, -700.0)) >= rng.random():
+            for source, target in moves:
+                load[place[source]] -= 1
+                load[place[target]] += 1
+            chosen[r] = new
+            if len(moves) > 1:
+                chosen[p] = moves[1][1]
+        else:
+            rejected += 1
+            if rejected >= ANNEAL_MAX_REJECTED:
+                break
+    active = np.zeros(len(cloud), dtype=bool)
+    active[chosen] = True
+    return active
+
+
+def optimise_density(layout, clouded: DataFrame, platform: Platform) -> DataFrame:
+    """``clouded`` with ``active`` set on exactly one candidate per read of every annealed cloud."""
+    log_p = np.log(np.array(platform.density_probs))
+    marked = layout.settle(prefilter(layout, clouded))
+    chosen = F.col("anneal") & F.col("active")
+    seed = F.xxhash64(*CLOUD).alias("seed")
+    bin_of = F.floor((F.col("pos") - F.col("_lo")) / DENSITY_BIN).alias("bin")
+    work = marked.where(chosen).select(*CLOUD, "ident", "mate", "bwa_rank", "pos", "rev", "score", bin_of, seed)
+
+    def solve(cloud: pd.DataFrame) -> pd.DataFrame:
+        cloud = cloud.sort_values(["ident", "mate", "pos", "bwa_rank"], ignore_index=True)
+        keep = _anneal_cloud(cloud, log_p, int(cloud["seed"].iloc[0]) & 0x7FFFFFFF)
+        return cloud.loc[~keep, ["bc", "ident", "mate", "bwa_rank"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in work.schema}
+    key = ["bc", "ident", "mate", "bwa_rank"]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in key)
+    lost = work.groupBy(*CLOUD).applyInPandas(solve, schema).withColumn("_lost", F.lit(True))
+    # (bc, ident, mate, bwa_rank) is unique: the join has no heavy key
+    joined = marked.join(lost, key, "left")
+    active = F.col("active") & F.col("_lost").isNull()
+    return joined.withColumn("active", active).drop("_lost", "anneal", "_lo")

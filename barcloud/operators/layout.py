@@ -50,6 +50,11 @@ class BarcodeLocal:
         group = Window.partitionBy(*keys)
         return df.withColumns({name: agg.over(group) for name, agg in facts.items()})
 
+    def ordinal(self, df: DataFrame, name: str) -> DataFrame:
+        """Number the clouds of a barcode from 1."""
+        order = Window.partitionBy("bc").orderBy("chrom", "cloud")
+        return df.withColumn(name, F.dense_rank().over(order))
+
     def settle(self, df: DataFrame) -> DataFrame:
         return df
 
@@ -84,6 +89,13 @@ class Spread:
         kept = settled.drop(*facts)
         return attach_by_key(kept, table, keys, F.col("_n") > self.threshold, spread_on).drop("_n")
 
+    def ordinal(self, df: DataFrame, name: str) -> DataFrame:
+        settled = self.settle(df)
+        # one row per cloud: clouds of a barcode are dist_thresh apart, so the genome bounds them
+        table = settled.groupBy(*C.CLOUD).agg(F.count("*").alias("_n")).withColumn(
+            name, F.row_number().over(Window.partitionBy("bc").orderBy("chrom", "cloud")))
+        return attach_by_key(settled, table, C.CLOUD, F.col("_n") > self.threshold, ["ident", "mate"]).drop("_n")
+
     def settle(self, df: DataFrame) -> DataFrame:
         """Rows feed both an aggregate and the join with it: compute them once, reliably."""
         return cut_lineage(df)

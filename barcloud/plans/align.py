@@ -73,11 +73,15 @@ def resolve(
     candidates: DataFrame, platform: Platform | str = DEFAULT_PLATFORM, compat: bool = False,
     density: bool = False, policy: SkewPolicy = DEFAULT_POLICY, layout: str = "auto",
 ) -> DataFrame:
-    """One row per aligned read: best candidate, gamma, alt, mate_aln, duplicate."""
+    """One row per aligned read: best candidate, gamma, alt, mate_aln, duplicate.
+
+    ``mi`` numbers the clouds of a barcode, so (BX, MI) names a molecule.
+    """
     platform = get_platform(platform) if isinstance(platform, str) else platform
 
     def step(lay, rows):
         scored = posterior(lay, _clouded(lay, rows, platform, compat, density))
-        return mark_duplicates(lay, with_mates(best_alignments(scored)), platform)
+        selected = lay.ordinal(with_mates(best_alignments(scored)), "mi")
+        return mark_duplicates(lay, selected, platform)
 
     return _over_layouts(candidates, policy, layout, step)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barcloud.config import BC_LEN
+from barcloud.functions.bases import unpack
 
 READS_SQL = """
 select read_id, tru, kind, epos, q_epos, q_tail,
@@ -44,43 +45,39 @@ from (select *, 1 + (seed * 7919 + bwa_rank * 104729) % 3000000 as base,
 """
 
 
-def _char_sql(i: int) -> str:
-    """Barcode base i (from the left): N where the lens places one, else the packed base."""
-    e = BC_LEN - 1 - i
-    packed = f"substr('ACGT', cast(floor(obs / {4 ** e}) as bigint) % 4 + 1, 1)"
-    n_here = f"(n_cnt >= 1 and epos = {e}) or (n_cnt = 2 and (epos + 1) % 16 = {e})"
-    return f"case when {n_here} then 'N' else {packed} end"
-
-
-def _qual_sql(i: int) -> str:
-    e = BC_LEN - 1 - i
-    tail = "q_tail" if i >= BC_LEN - 2 else "33"
-    return f"chr(cast(33 + case when epos = {e} then q_epos else {tail} end as int))"
-
-
 _INSERT = "ACGTTGCAAC"
 
-FASTQ_SQL = f"""
-select read_id, concat('@r', cast(read_id as varchar(20)), ' 1:N:0:1') as name,
-  substr(concat({', '.join(_char_sql(i) for i in range(BC_LEN))}, 'TTTTTTT', repeat('{_INSERT}', 13)), 1, r1_len) as r1,
-  substr(concat({', '.join(_qual_sql(i) for i in range(BC_LEN))}, repeat('F', 140)), 1, r1_len) as q1,
-  concat('@r', cast(read_id as varchar(20)), ' 2:N:0:1') as name2,
-  concat('G', repeat('{_INSERT[::-1]}', 5)) as r2, repeat('I', 51) as q2
-from ({READS_SQL}) lens
-"""
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(READS_SQL, orders=table(spark, sf_dir, "orders"))
-
-
-def fastq_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """read_id, name, r1, q1, name2, r2, q2"""
-    return spark.sql(FASTQ_SQL, orders=table(spark, sf_dir, "orders"))
+def reads(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    return spark.sql(READS_SQL, orders=table(spark, sf_dir, "orders").where(where))
+
+
+def fastq_reads(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
+    """read_id, name, r1, q1, name2, r2, q2: the reads lens rendered as FASTQ fields.
+
+    Mate 1 is barcode (N where the lens has one; a second N follows the first towards the left,
+    wrapping around), 7 spacer bases and an insert.
+    """
+    at = (F.lit(BC_LEN) - F.col("epos")).cast("int")
+    second = (F.lit(BC_LEN) - (F.col("epos") + 1) % BC_LEN).cast("int")
+    n = F.lit("N")
+    bases = F.when(F.col("n_cnt") > 0, F.overlay(unpack("obs"), n, at)).otherwise(unpack("obs"))
+    bases = F.when(F.col("n_cnt") > 1, F.overlay(bases, n, second)).otherwise(bases)
+    char = lambda c: F.chr((F.lit(33) + F.col(c)).cast("int"))
+    quals = F.overlay(F.concat(F.lit("B" * 14), F.repeat(char("q_tail"), 2)), char("q_epos"), at)
+    name = lambda mate: F.concat(F.lit("@r"), F.col("read_id").cast("string"), F.lit(f" {mate}:N:0:1"))
+    cut = lambda text: F.substring(text, 1, F.col("r1_len"))
+    fields = F.struct(
+        "read_id", name(1).alias("name"),
+        cut(F.concat(bases, F.lit("T" * 7 + _INSERT * 13))).alias("r1"),
+        cut(F.concat(quals, F.lit("F" * 140))).alias("q1"),
+        name(2).alias("name2"), F.lit("G" + _INSERT[::-1] * 5).alias("r2"), F.lit("I" * 51).alias("q2"))
+    # a generator keeps filters from re-evaluating the rendering, as if the fields came from a file
+    return reads(spark, sf_dir, where).select(F.inline(F.array(fields)))
 
 
 def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:

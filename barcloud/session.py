@@ -13,7 +13,8 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # co-locate joins keyed (bc, ...) on an existing hash partitioning by bc
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
-    # 5 EM rounds make long straight window chains; the plan text is not needed in the event log
+    # the EM rounds are structurally equal: let their stages share one generated class
+    "spark.sql.codegen.useIdInClassName": "false",
     "spark.sql.maxPlanStringLength": "200000",
 }
 
@@ -33,6 +34,9 @@ def local_session(app: str = "barcloud", cores: str = "8", shuffle: str | None =
         .config("spark.sql.shuffle.partitions", shuffle or cores)
         .config("spark.driver.memory", os.environ.get("BARCLOUD_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        # static setting, for spark-submit too: the default of 100 generated classes is less than
+        # one long window chain has, and every task would compile all of them again
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
