@@ -57,8 +57,9 @@ def pack_haplotag(tag) -> Column:
     """AxxCxxBxxDxx -> A, C, B, D as the bytes of a 32-bit code; NULL when malformed."""
     digits = F.regexp_replace(_col(tag), _HAPLOTAG, "$1$2$3$4").try_cast("long")
     segment = lambda n, unit: F.floor(n / unit) % 100
-    return _let(digits, lambda n: segment(n, 1_000_000) * (1 << 24) + segment(n, 10_000) * (1 << 16)
-                + segment(n, 100) * (1 << 8) + n % 100)
+    code = lambda n: (segment(n, 1_000_000) * (1 << 24) + segment(n, 10_000) * (1 << 16)
+                      + segment(n, 100) * (1 << 8) + n % 100)
+    return _let(digits, lambda n: F.when(n < 100_000_000, code(n)))
 
 
 def _haplotag_byte(code: Column, shift: int) -> Column:

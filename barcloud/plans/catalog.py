@@ -101,7 +101,7 @@ def haplotag_parse(spark, sf):
     code = B.pack_haplotag(H.bx_tag("name"))
     return reads.select(
         "read_id", H.bx_tag("name").alias("tag"), code.alias("bc"), B.unpack_haplotag(code).alias("decoded"),
-        B.is_haplotag_code(code).alias("listed"), H.name_only("name").alias("ident"))
+        F.coalesce(B.is_haplotag_code(code), F.lit(False)).alias("listed"), H.name_only("name").alias("ident"))
 
 
 def _haplotag_reads(spark, sf):

@@ -90,7 +90,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     indel = F.when(F.col("i_len") > 0, F.concat(F.col("i_len").cast("string"), F.lit("I"))).otherwise(F.lit(""))
     clip = F.when(F.col("s_len") > 0, F.concat(F.col("s_len").cast("string"), F.lit("S"))).otherwise(F.lit(""))
     return raw.select(
-        "bc", "ident", "mate", "bwa_rank", "chrom", "pos", (F.col("rev") == 1).alias("rev"), "read_len",
+        "bc", "ident", F.col("mate").cast("long").alias("mate"), "bwa_rank", "chrom", "pos", (F.col("rev") == 1).alias("rev"), "read_len",
         F.col("s_len").alias("clip"), F.col("m_len").alias("match_len"), F.col("i_len").alias("indel_len"),
         F.when(F.col("i_len") > 0, F.lit(1)).otherwise(F.lit(0)).alias("indel_runs"),
         "edit_dist", "bwa_mapq", F.col("m_len").alias("ref_len"),

@@ -34,6 +34,7 @@ def local_session(app: str = "barcloud", cores: str = "8", shuffle: str | None =
         .config("spark.sql.shuffle.partitions", shuffle or cores)
         .config("spark.driver.memory", os.environ.get("BARCLOUD_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         # static setting, for spark-submit too: the default of 100 generated classes is less than
         # one long window chain has, and every task would compile all of them again
         .config("spark.sql.codegen.cache.maxEntries", "2000")
