@@ -65,3 +65,8 @@ def encode(text, platform: Platform) -> Column:
 
 def extract_barcode(header, platform: Platform) -> Column:
     return encode(split_header(header, platform)[0], platform)
+
+
+def identifier(name) -> Column:
+    """Read name without its leading '@'."""
+    return F.regexp_replace(_col(name), "^@", "")
