@@ -127,3 +127,12 @@ def n_count(bases) -> Column:
 
 def reverse_complement(seq) -> Column:
     return F.reverse(F.translate(_col(seq), "ACGT", "TGCA"))
+
+
+def unpack_key(key) -> tuple[Column, Column]:
+    """(bases, quals) of a BINARY(16) quality-aware key."""
+    byte = lambda i: F.conv(F.hex(F.substring(_col(key), i, F.lit(1))), 16, 10).cast("int")
+    each = lambda make: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(BC_LEN)), make), "")
+    width = MAX_QUAL + 1
+    bases = each(lambda i: F.substring(F.lit("ACGTN"), F.floor(byte(i) / width).cast("int") + 1, F.lit(1)))
+    return bases, each(lambda i: F.chr(byte(i) % width + PHRED_OFFSET))

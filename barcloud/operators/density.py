@@ -59,34 +59,42 @@ def density_bins(clouded: DataFrame) -> DataFrame:
     return clouded.groupBy(*CLOUD, bin_of.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def _is_pair(pos, rev, other_pos, other_rev):
-    """Proper pair of two candidates on one contig; works elementwise."""
-    gap = np.where(rev, pos - other_pos, other_pos - pos)
-    return (rev != other_rev) & (gap >= 0) & (gap <= INSERT_MAX)
+_DRAWS = 4096  # random numbers drawn at a time
 
 
-def _anneal_cloud(cloud: pd.DataFrame, log_p: np.ndarray, seed: int) -> np.ndarray:
+def _uniform(seed: int):
+    rng = np.random.default_rng(seed)
+    while True:
+        yield from rng.random(_DRAWS).tolist()
+
+
+def _anneal_cloud(cloud: pd.DataFrame, log_p: list[float], seed: int) -> np.ndarray:
     """Pick one candidate per read, maximising score / 20 plus the log density of the 1 kb bins.
 
     ``cloud`` has the columns ident, mate, bin, pos, rev, score, and is sorted by read.
     """
-    rng = np.random.default_rng(seed)
-    read_code = cloud.groupby(["ident", "mate"], sort=False).ngroup().to_numpy()
-    first = np.flatnonzero(np.r_[True, read_code[1:] != read_code[:-1]])
-    size = np.diff(np.r_[first, len(cloud)])
-    score, place = cloud["score"].to_numpy() / DENSITY_SCORE_SCALE, cloud["bin"].to_numpy()
-    pos, rev = cloud["pos"].to_numpy(), cloud["rev"].to_numpy()
-    chosen = np.array([f + int(np.argmax(score[f:f + n])) for f, n in zip(first, size)])
-
-    names, mates = cloud["ident"].to_numpy()[first], cloud["mate"].to_numpy()[first]
-    at = {(i, m): r for r, (i, m) in enumerate(zip(names, mates))}
-    partner = np.array([at.get((i, 1 - m), -1) for i, m in zip(names, mates)])
-    load = np.bincount(place[chosen], minlength=int(place.max()) + 1)
+    code = cloud.groupby(["ident", "mate"], sort=False).ngroup().to_numpy()
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    first, size = starts.tolist(), np.diff(np.r_[starts, len(cloud)]).tolist()
+    place, pos, rev = (cloud[c].tolist() for c in ("bin", "pos", "rev"))
+    score = (cloud["score"] / DENSITY_SCORE_SCALE).tolist()
+    chosen = [max(range(f, f + n), key=score.__getitem__) for f, n in zip(first, size)]
+
+    reads = list(zip(cloud["ident"].to_numpy()[starts].tolist(), cloud["mate"].to_numpy()[starts].tolist()))
+    number = {read: r for r, read in enumerate(reads)}
+    partner = [number.get((ident, 1 - mate), -1) for ident, mate in reads]
+    load = [0] * (max(place) + 1)
+    for c in chosen:
+        load[place[c]] += 1
+    last = len(log_p) - 1
 
     def density(n: int) -> float:
-        last = len(log_p) - 1
         return log_p[n] if n <= last else log_p[last] - (n - last) * math.log(2.0)
 
+    def paired(a: int, b: int) -> bool:
+        gap = pos[a] - pos[b] if rev[a] else pos[b] - pos[a]
+        return rev[a] != rev[b] and 0 <= gap <= INSERT_MAX
+
     def gain(moves) -> float:
         """Exact change of the objective over the distinct bins the moves touch."""
         shift: dict[int, int] = {}
@@ -97,28 +105,25 @@ def _anneal_cloud(cloud: pd.DataFrame, log_p: np.ndarray, seed: int) -> np.ndarr
             total += score[new] - score[old]
         return total + sum(density(load[b] + d) - density(load[b]) for b, d in shift.items() if d)
 
-    movable = np.flatnonzero(size > 1)
+    movable = [r for r, n in enumerate(size) if n > 1]
+    draw = _uniform(seed)
     rejected = 0
     for step in range(ANNEAL_STEPS):
         temperature = 10.0 ** (ANNEAL_LOG10_T0 + (ANNEAL_LOG10_T1 - ANNEAL_LOG10_T0) * step / ANNEAL_STEPS)
-        r = int(rng.choice(movable))
-        old = chosen[r]
-        options = [c for c in range(first[r], first[r] + size[r]) if c != old]
-        new = int(rng.choice(options))
+        r = movable[int(next(draw) * len(movable))]
+        old, p = chosen[r], partner[r]
+        # any other candidate of the read, with equal chances
+        new = first[r] + (old - first[r] + 1 + int(next(draw) * (size[r] - 1))) % size[r]
         moves, forced = [(old, new)], False
-        p = partner[r]
         if p >= 0:
-            mate = chosen[p]
-            was = _is_pair(pos[old], rev[old], pos[mate], rev[mate])
-            now = _is_pair(pos[new], rev[new], pos[mate], rev[mate])
-            forced = bool(now and not was)
+            was, now = paired(old, chosen[p]), paired(new, chosen[p])
+            forced = now and not was
             if was and not now and size[p] > 1:
-                own = np.arange(first[p], first[p] + size[p])
-                fits = own[_is_pair(pos[new], rev[new], pos[own], rev[own])]
-                if len(fits):
-                    moves.append((mate, int(fits[0])))
+                fits = next((c for c in range(first[p], first[p] + size[p]) if paired(new, c)), None)
+                if fits is not None:
+                    moves.append((chosen[p], fits))
         change = gain(moves)
-        if forced or change > 0 or math.exp(max(change / temperature, -700.0)) >= rng.random():
+        if forced or change > 0 or math.exp(max(change / temperature, -700.0)) >= next(draw):
             for source, target in moves:
                 load[place[source]] -= 1
                 load[place[target]] += 1
@@ -136,7 +141,7 @@ def _anneal_cloud(cloud: pd.DataFrame, log_p: np.ndarray, seed: int) -> np.ndarr
 
 def optimise_density(layout, clouded: DataFrame, platform: Platform) -> DataFrame:
     """``clouded`` with ``active`` set on exactly one candidate per read of every annealed cloud."""
-    log_p = np.log(np.array(platform.density_probs))
+    log_p = [math.log(p) for p in platform.density_probs]
     marked = layout.settle(prefilter(layout, clouded))
     chosen = F.col("anneal") & F.col("active")
     seed = F.xxhash64(*CLOUD).alias("seed")
