@@ -25,23 +25,42 @@ def build_clouds(candidates: DataFrame, dist_thresh: int) -> DataFrame:
     return marked.withColumn("cloud", F.max("_start").over(w.rowsBetween(*_ROWS_SO_FAR))).drop("_start")
 
 
+def _stitched(bins: DataFrame, group: list[str], dist_thresh: int) -> DataFrame:
+    """Add ``cloud`` to one-row-per-bin summaries (_bin, _lo, _hi) with bins of ``dist_thresh``.
+
+    Positions of one bin are closer than dist_thresh, so only the first of a bin can start a
+    cloud.  A group has at most axis length / dist_thresh bins, whatever the number of rows.
+    """
+    along = Window.partitionBy(*group).orderBy("_bin")
+    starts = F.coalesce(F.col("_lo") - F.lag("_hi").over(along) > dist_thresh, F.lit(True))
+    marked = bins.withColumn("_start", F.when(starts, F.col("_lo")))
+    return marked.withColumn("cloud", F.max("_start").over(along.rowsBetween(*_ROWS_SO_FAR))).drop("_start")
+
+
 def build_clouds_spread(
     candidates: DataFrame, dist_thresh: int, total_rows: int, policy: SkewPolicy = DEFAULT_POLICY
 ) -> DataFrame:
     """Add ``cloud`` without ever bringing a whole barcode, contig or cloud to one task."""
-    bin_of = F.floor(F.col("pos") / dist_thresh)
-    binned = candidates.withColumn("_bin", bin_of)
+    binned = candidates.withColumn("_bin", F.floor(F.col("pos") / dist_thresh))
     bins = binned.groupBy(*_CONTIG, "_bin").agg(
         F.min("pos").alias("_lo"), F.max("pos").alias("_hi"), F.count("*").alias("_n"))
-    # One row per bin: a contig has at most length / dist_thresh of them.
-    along = Window.partitionBy(*_CONTIG).orderBy("_bin")
-    starts = F.coalesce(F.col("_lo") - F.lag("_hi").over(along) > dist_thresh, F.lit(True))
-    stitched = bins.withColumn("_start", F.when(starts, F.col("_lo"))).withColumn(
-        "cloud", F.max("_start").over(along.rowsBetween(*_ROWS_SO_FAR))).drop("_lo", "_hi", "_start")
+    stitched = _stitched(bins, _CONTIG, dist_thresh).drop("_lo", "_hi")
     heavy = F.col("_n") > policy.threshold(total_rows)
     return attach_by_key(binned, stitched, [*_CONTIG, "_bin"], heavy, ["ident", "pos"]).drop("_bin", "_n")
 
 
+def island_totals(rows: DataFrame, key: str, axis: str, gap: int, value: str) -> DataFrame:
+    """(key, cloud, last, n, total) of the islands along any axis.
+
+    Rows are only pre-aggregated per bin; islands are then made of bins, so a key with a third of
+    all rows costs no more than its number of bins.
+    """
+    bins = rows.groupBy(key, F.floor(F.col(axis) / gap).alias("_bin")).agg(
+        F.min(axis).alias("_lo"), F.max(axis).alias("_hi"), F.count("*").alias("n"), F.sum(value).alias("total"))
+    return _stitched(bins, [key], gap).groupBy(key, "cloud").agg(
+        F.max("_hi").alias("last"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
 def cloud_summary(clouded: DataFrame) -> DataFrame:
     return clouded.groupBy(*CLOUD).agg(
         F.count("*").alias("n_candidates"), F.max("pos").alias("hi"),
@@ -60,8 +79,9 @@ def consecutive_runs(reads: DataFrame, value: str, order: str, max_bins: int = 6
     inherits from its predecessors comes from one summary row per bin, so the only unpartitioned
     window and the broadcast are bounded by ``max_bins`` whatever the size of the data.
     """
-    width = reads.agg(F.floor(F.max(order) / max_bins) + 1).scalar()
-    binned = reads.select(order, value).withColumn("_bin", F.floor(F.col(order) / width))
+    low = reads.agg(F.min(order)).scalar()
+    width = reads.agg(F.floor((F.max(order) - F.min(order)) / max_bins) + 1).scalar()
+    binned = reads.select(order, value).withColumn("_bin", F.floor((F.col(order) - low) / width))
     inside = Window.partitionBy("_bin").orderBy(order)
     before = Window.orderBy("_bin")
 

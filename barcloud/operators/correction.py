@@ -24,45 +24,36 @@ def _shift(position) -> int:
     return 2 * (BC_LEN - 1 - position)
 
 
-def _edit(delta: Column, i: int, j: int = -1) -> Column:
-    return F.struct(
-        (F.col("bc").bitwiseXOR(delta)).alias("cand"),
-        F.lit(i).cast("tinyint").alias("i"), F.lit(j).cast("tinyint").alias("j"),
-    )
+# Edits as (XOR mask, first position, second position); position -1 stands for "none".
+_SINGLE = [(0, -1, -1)] + [(x << _shift(i), i, -1) for i in range(BC_LEN) for x in (1, 2, 3)]
+_DOUBLE = [
+    ((x << _shift(i)) | (y << _shift(j)), i, j)
+    for i in range(BC_LEN) for j in range(i + 1, BC_LEN) for x in (1, 2, 3) for y in (1, 2, 3)
+]
+
+
+def _constants(values: list[int], kind: str) -> Column:
+    return F.lit(values).cast(f"array<{kind}>")
+
+
+def _probe(observed: DataFrame, edits: list[tuple[int, int, int]], dim: DataFrame) -> DataFrame:
+    """Whitelisted results of the given edits; positions are only looked up for hits."""
+    masks = _constants([m for m, _, _ in edits], "bigint")
+    tried = observed.select("bases", "n_keys", "bc", F.posexplode(masks).alias("e", "mask"))
+    hits = tried.select("bases", "n_keys", "e", F.col("bc").bitwiseXOR(F.col("mask")).alias("cand")).join(dim, "cand")
+    position = lambda k: F.get(_constants([edit[k] for edit in edits], "tinyint"), F.col("e"))
+    return hits.select("bases", "n_keys", "cand", position(1).alias("i"), position(2).alias("j"), "prior")
 
 
-def _single_edits() -> Column:
-    """Known check (i = -1) plus every single substitution; only the N position when there is one."""
-    own = [_edit(F.lit(0).cast("long"), -1)]
-    edits = [_edit(F.lit(x << _shift(i)).cast("long"), i) for i in range(BC_LEN) for x in (1, 2, 3)]
-    at_n = F.col("n_pos").cast("int")
-    step = F.lit(2) * (F.lit(BC_LEN - 1) - at_n)
-    fills = [
-        F.struct(
-            F.col("bc").bitwiseOR(F.call_function("shiftleft", F.lit(x).cast("long"), step)).alias("cand"),
-            at_n.cast("tinyint").alias("i"), F.lit(-1).cast("tinyint").alias("j"),
-        )
-        for x in range(4)
-    ]
-    return F.when(F.col("n_pos").isNull(), F.array(*own, *edits)).otherwise(F.array(*fills))
-
-
-def _double_edits(bc: Column) -> Column:
-    """The 1080 double substitutions, generated by nested transforms (a small expression)."""
-    positions = F.sequence(F.lit(0), F.lit(BC_LEN - 1))
-    pairs = F.flatten(F.transform(positions, lambda i: F.transform(
-        F.filter(positions, lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-    subs = F.sequence(F.lit(0), F.lit(8))
-    at = lambda p: F.lit(2) * (F.lit(BC_LEN - 1) - p)
-    move = lambda x, p: F.call_function("shiftleft", (x + 1).cast("long"), at(p))
-    return F.flatten(F.transform(pairs, lambda p: F.transform(subs, lambda s: F.struct(
-        bc.bitwiseXOR(move(F.floor(s / 3).cast("int"), p["i"])).bitwiseXOR(move(s % 3, p["j"])).alias("cand"),
-        p["i"].cast("tinyint").alias("i"), p["j"].cast("tinyint").alias("j"),
-    ))))
-
-
-def _exploded(edits: Column) -> list[Column]:
-    return ["bases", "n_keys", "bc", F.inline(edits)]
+def _probe_n(observed: DataFrame, dim: DataFrame) -> DataFrame:
+    """The four fillings of the single N."""
+    units = _constants([1 << _shift(i) for i in range(BC_LEN)], "bigint")
+    code = F.col("bc") + F.col("x") * F.get(units, F.col("n_pos"))
+    tried = observed.select("bases", "n_keys", "n_pos", "bc", F.explode(_constants([0, 1, 2, 3], "bigint")).alias("x"))
+    hits = tried.select("bases", "n_keys", "n_pos", code.alias("cand")).join(dim, "cand")
+    return hits.select(
+        "bases", "n_keys", "cand", F.col("n_pos").cast("tinyint").alias("i"),
+        F.lit(-1).cast("tinyint").alias("j"), "prior")
 
 
 def _masked_hits(observed: DataFrame, priors: DataFrame) -> DataFrame:
@@ -111,21 +102,23 @@ def _masked_double_hits(observed: DataFrame, priors: DataFrame) -> DataFrame:
 def _neighbour_hits(observed: DataFrame, priors: DataFrame, double: bool) -> DataFrame:
     """Hits by probing edited barcodes in the broadcast whitelist: no shuffle of the edits."""
     dim = F.broadcast(priors.select(F.col("bc").alias("cand"), "prior"))
-    near = observed.select(*_exploded(_single_edits())).drop("bc").join(dim, "cand")
-    if not double:
-        return near
-    known = observed.where(F.col("n_pos").isNull()).join(
-        F.broadcast(priors.select("bc")), "bc", "left_semi")
-    far = known.select(*_exploded(_double_edits(F.col("bc")))).drop("bc").join(dim, "cand")
-    return near.unionByName(far)
+    plain, with_n = observed.where(F.col("n_pos").isNull()), observed.where(F.col("n_pos").isNotNull())
+    hits = _probe(plain, _SINGLE, dim).unionByName(_probe_n(with_n, dim))
+    if double:
+        known = plain.join(F.broadcast(priors.select("bc")), "bc", "left_semi")
+        hits = hits.unionByName(_probe(known, _DOUBLE, dim))
+    return hits
 
 
 def observed_bases(keys: DataFrame) -> DataFrame:
     """(bases, n_keys, n_pos, bc): distinct base strings with at most one N."""
     n_pos = F.when(F.col("bases").contains("N"), F.instr("bases", "N") - 1)
+    # every row is about to be multiplied by its edits: keep all cores busy even on a small table
+    tasks = keys.sparkSession.sparkContext.defaultParallelism
     return (
         keys.where(B.n_count("bases") <= 1)
         .groupBy("bases").agg(F.count("*").alias("n_keys"))
+        .repartition(max(tasks, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bases")
         .withColumns({"n_pos": n_pos, "bc": B.pack("bases")})
     )
 

@@ -59,6 +59,20 @@ def clouded_candidates(
     return _over_layouts(candidates, policy, layout, step)
 
 
+def density_decisions(
+    candidates: DataFrame, platform: Platform | str = DEFAULT_PLATFORM, anneal: bool = True,
+    policy: SkewPolicy = DEFAULT_POLICY, layout: str = "auto",
+) -> DataFrame:
+    """Clouded candidates with ``active`` as the density optimisation (or its prefilter) leaves it."""
+    platform = get_platform(platform) if isinstance(platform, str) else platform
+
+    def step(lay, rows):
+        clouded = _clouded(lay, rows, platform, False, False)
+        return D.optimise_density(lay, clouded, platform) if anneal else D.prefilter(lay, clouded)
+
+    return _over_layouts(candidates, policy, layout, step)
+
+
 def posteriors(
     candidates: DataFrame, platform: Platform | str = DEFAULT_PLATFORM, rounds: int = EM_ROUNDS,
     compat: bool = False, density: bool = False, policy: SkewPolicy = DEFAULT_POLICY, layout: str = "auto",

@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barcloud.config import DEFAULT_POLICY, PLATFORMS, get_platform
+from barcloud.config import PLATFORMS, get_platform
 from barcloud.functions import alignment as A
 from barcloud.functions import bases as B
 from barcloud.functions import headers as H
-from barcloud.operators import buckets, candidates, clouds, correction, counting, density, em, sam, selection
-from barcloud.operators.layout import BarcodeLocal
+from barcloud.operators import buckets, candidates, clouds, correction, counting, density, em, sam
 from barcloud.plans import align, lens, preproc
 from barcloud.plans.count import count as count_reads
 from barcloud.session import cut_lineage, tune
@@ -132,11 +131,7 @@ def barcode_extract_platforms(spark, sf):
         "tellseq": F.when(F.col("read_id") % 2 == 0, F.concat(F.lit("@run:1:"), rid, F.lit(":"), bases, F.lit("TC 1:N:0:1")))
         .otherwise(F.concat(F.lit("@run:1:"), rid, F.lit(" BX:Z:"), bases, F.lit("TC"))),
     }
-    parts = []
-    for name, header in headers.items():
-        platform = PLATFORMS[name]
-        _, ident = H.split_header(F.col("header"), platform)
-        parts.append(F.struct(F.lit(name).alias("platform"), header.alias("header")))
+    parts = [F.struct(F.lit(name).alias("platform"), header.alias("header")) for name, header in headers.items()]
     tall = reads.select("read_id", F.inline(F.array(*parts)))
     code, ident = F.lit(None).cast("long"), F.lit(None).cast("string")
     for name in headers:
@@ -418,25 +413,16 @@ def density_scores(spark, sf):
     return bins.select(*clouds.CLOUD, "bin", F.round(A.log_density("n", P10X), 9).alias("log_density"))
 
 
-def _placed(spark, sf):
-    cands = _cands(spark, sf)
-    return BarcodeLocal(DEFAULT_POLICY, 0), cands
-
-
 @query
 def density_prefilter(spark, sf):
     """Candidates kept by the edit-distance cut inside colliding clouds, and clouds to anneal."""
-    layout, _ = _placed(spark, sf)
-    df = density.prefilter(layout, _clouded(spark, sf))
-    return df.select(*CAND_KEY, "active", "anneal")
+    return align.density_decisions(_cands(spark, sf), anneal=False).select(*CAND_KEY, "active", "anneal")
 
 
 @query
 def density_anneal(spark, sf):
     """Active candidates after density optimisation (seeded random walk)."""
-    layout, _ = _placed(spark, sf)
-    df = density.optimise_density(layout, _clouded(spark, sf), P10X)
-    return df.select(*CAND_KEY, "active")
+    return align.density_decisions(_cands(spark, sf)).select(*CAND_KEY, "active")
 
 
 @query
@@ -450,7 +436,6 @@ def barcode_runs(spark, sf):
 def session_clouds_events(spark, sf):
     """Clouds over event time: gaps above six hours split the events of a user."""
     events = lens.table(spark, sf, "events").select(
-        F.col("user_id").alias("bc"), F.lit(0).alias("chrom"), F.unix_micros(F.col("ts").cast("timestamp")).alias("pos"), "value")
-    clouded = clouds.build_clouds(events, 6 * 3600 * 1_000_000)
-    return clouded.groupBy("bc", "cloud").agg(
-        F.max("pos").alias("last"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+        F.col("user_id").alias("bc"), F.unix_micros(F.col("ts").cast("timestamp")).alias("pos"), "value")
+    totals = clouds.island_totals(events, "bc", "pos", 6 * 3600 * 1_000_000, "value")
+    return totals.select("bc", "cloud", "last", "n", F.round("total", 4).alias("total"))
