@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barcloud.config import (
@@ -31,17 +31,13 @@ def prefilter(layout, clouded: DataFrame) -> DataFrame:
     ``anneal`` marks the clouds to optimise: enough records before and after the cut, a span within
     the bin table, and a read that still has a choice.
     """
-    read = Window.partitionBy(*IN_CLOUD)
-    df = clouded.withColumns({
-        "_copies": F.count("*").over(read),
-        "_least": F.min("clip_edit_dist").over(read),
-    })
+    df = layout.read_facts(clouded, IN_CLOUD, {"_copies": F.count("*"), "_least": F.min("clip_edit_dist")})
     df = layout.facts(df, CLOUD, {"_records": F.count("*"), "_colliding": F.max(F.col("_copies") > 1)})
     eligible = F.col("_colliding") & F.col("_records").between(DENSITY_MIN_RECORDS, DENSITY_MAX_RECORDS)
     dropped = eligible & (F.col("clip_edit_dist") > F.col("_least") + SPLIT_EXTRA_SEARCH_DEPTH)
     df = df.withColumns({"_eligible": eligible, "active": F.col("active") & ~dropped})
     kept = F.when(F.col("active"), F.col("pos"))
-    df = df.withColumn("_choices", F.count(kept).over(read))
+    df = layout.read_facts(df, IN_CLOUD, {"_choices": F.count(kept)})
     df = layout.facts(df, CLOUD, {
         "_lo": F.min(kept), "_hi": F.max(kept), "_left": F.count(kept), "_most": F.max("_choices")})
     bins = F.floor((F.col("_hi") - F.col("_lo")) / DENSITY_BIN) + 1

@@ -22,31 +22,26 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barcloud.config import (
-    EM_MIN_PAIRS, EM_ROUNDS, GAMMA_FLOOR, GENOME_STRIDE, INSERT_MAX, INSERT_MIN, UNPAIRED_PENALTY,
+    EM_MIN_PAIRS, EM_ROUNDS, GAMMA_FLOOR, GENOME_STRIDE, UNPAIRED_PENALTY,
 )
-from barcloud.operators.candidates import PAIR
+from barcloud.operators.candidates import CANDIDATE
 from barcloud.operators.clouds import CLOUD
 
 _TINY = 1e-200  # keeps clouds without any active support finite
 _NO_MATE = math.exp(UNPAIRED_PENALTY)
 
 
-def _pair(*order: str) -> WindowSpec:
-    return Window.partitionBy(*PAIR).orderBy(*order)
+def _own(prefix: str) -> Column:
+    """Pick the pair fact of the row's own mate from columns <prefix>0 and <prefix>1."""
+    return F.when(F.col("mate") == 0, F.col(f"{prefix}0")).otherwise(F.col(f"{prefix}1"))
 
 
-def _whole(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-
-def _own(agg, value: Column, w: WindowSpec) -> Column:
-    """Aggregate over the rows of the current row's own mate, inside the pair window."""
-    of = lambda m: agg(F.when(F.col("mate") == m, value)).over(w)
-    return F.when(F.col("mate") == 0, of(0)).otherwise(of(1))
+def _per_mate(prefix: str, agg, value: Column) -> dict[str, Column]:
+    return {f"{prefix}{m}": agg(F.when(F.col("mate") == m, value)) for m in (0, 1)}
 
 
 def _floored(term: Column, largest: Column) -> Column:
@@ -54,24 +49,20 @@ def _floored(term: Column, largest: Column) -> Column:
     return F.when(term < largest * F.lit(GAMMA_FLOOR) / F.col("n_cands"), F.lit(0.0)).otherwise(term)
 
 
-def initialise(df: DataFrame) -> DataFrame:
+def initialise(layout, df: DataFrame) -> DataFrame:
     """Add gamma from alignment scores alone.
 
     Also: n_cands of the read, its likelihood relative to the read's best, and ``repeats`` (the
     read occurred in this cloud before, in position order).
     """
-    rows = _pair("gpos", "mate", "bwa_rank")
     gcloud = F.col("chrom").cast("long") * F.lit(GENOME_STRIDE) + F.col("cloud")
-    # along gpos clouds only ever advance, so the largest earlier cloud is the latest one
-    seen = _own(F.max, F.col("gcloud"), rows.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("gcloud", gcloud).withColumns({
-        "repeats": F.coalesce(seen == F.col("gcloud"), F.lit(False)),
-        "n_cands": _own(F.count, F.lit(1), _whole(rows)),
-        "likelihood": F.exp(F.col("score") - _own(F.max, F.col("score"), _whole(rows))),
-    })
-    kept = _floored(F.col("likelihood"), F.lit(1.0))
-    total = _own(F.sum, F.col("gamma"), _whole(rows))
-    return df.withColumn("gamma", kept).withColumn("gamma", F.col("gamma") / total)
+    df = layout.repeats(df.withColumn("gcloud", gcloud))
+    facts = {**_per_mate("_n", F.count, F.lit(1)), **_per_mate("_top", F.max, F.col("score"))}
+    df = layout.pair_pass(df, facts).withColumns({
+        "n_cands": _own("_n"), "likelihood": F.exp(F.col("score") - _own("_top"))}).drop(*facts)
+    df = df.withColumn("gamma", _floored(F.col("likelihood"), F.lit(1.0)))
+    sums = _per_mate("_sum", F.sum, F.col("gamma"))
+    return layout.pair_pass(df, sums).withColumn("gamma", F.col("gamma") / _own("_sum")).drop(*sums)
 
 
 def _position_order() -> Column:
@@ -101,48 +92,37 @@ def entry_order() -> Column:
     )
 
 
-def partner_max(value: Column) -> Column:
-    """Largest ``value`` among opposite-strand rows of the pair inside the insert window.
-
-    The caller's value is NULL on rows of the current row's own mate.
-    """
-    order = _pair("gpos")
-    # distance is reverse minus forward: reverse partners lie ahead, forward partners behind
-    ahead = F.max(F.when(F.col("rev"), value)).over(order.rangeBetween(INSERT_MIN, INSERT_MAX))
-    behind = F.max(F.when(~F.col("rev"), value)).over(order.rangeBetween(-INSERT_MAX, -INSERT_MIN))
-    return F.coalesce(F.when(F.col("rev"), behind).otherwise(ahead), F.lit(0.0))
+def with_support(layout, df: DataFrame, facts: dict[str, Column] | None = None) -> DataFrame:
+    """Add support, the partner gamma of every candidate (both mates at once)."""
+    of = {f"_support{m}": F.when(F.col("mate") == m, F.col("gamma")) for m in (0, 1)}
+    df = layout.pair_pass(df, facts or {}, of)
+    support = F.when(F.col("mate") == 0, F.col("_support1")).otherwise(F.col("_support0"))
+    return df.withColumn("support", support).drop(*of)
 
 
-def mate_support(gamma: str = "gamma") -> Column:
-    """Partner gamma of every candidate, both mates at once."""
-    of_mate = lambda m: partner_max(F.when(F.col("mate") == m, F.col(gamma)))
-    return F.when(F.col("mate") == 0, of_mate(1)).otherwise(of_mate(0))
-
-
-def with_leader(df: DataFrame) -> DataFrame:
+def with_leader(layout, df: DataFrame) -> DataFrame:
     """Add leads (this mate entered the sweep after the other one and moves first) and support."""
     df = df.withColumn("_entry", entry_order())
-    first = F.min_by("mate", "_entry").over(_whole(_pair("gpos")))
-    return df.withColumns({"leads": F.col("mate") != first, "support": mate_support()}).drop("_entry", "collision")
+    df = with_support(layout, df, {"_first": F.min_by("mate", "_entry")})
+    return df.withColumn("leads", F.col("mate") != F.col("_first")).drop("_entry", "_first", "collision")
 
 
-def _half_step(df: DataFrame, moves: Column, last: bool) -> DataFrame:
+def _half_step(layout, df: DataFrame, moves: Column, last: bool) -> DataFrame:
     """Move gamma of the rows where ``moves``; their mates get the new support."""
     product = F.col("likelihood") * F.greatest(F.col("weight"), F.lit(_TINY)) * F.greatest(
         F.col("support"), F.lit(_NO_MATE))
     df = df.withColumn("_p", F.when(F.col("em") & moves, product))
-    whole = _whole(_pair("gpos"))
-    added = {"_total": F.sum("_p").over(whole), "_partner": partner_max(F.col("_p"))}
+    facts = {"_total": F.sum("_p")}
     if last:
-        added["_top"] = F.max("_p").over(whole)
-    df = df.withColumns(added)
-    term = _floored(F.col("_p"), F.col("_top")) if last else F.col("_p")
+        facts["_largest"] = F.max("_p")
+    df = layout.pair_pass(df, facts, {"_partner": F.col("_p")})
+    term = _floored(F.col("_p"), F.col("_largest")) if last else F.col("_p")
     moved = F.col("_p").isNotNull()
     return df.withColumns({
         "gamma": F.when(moved, term / F.col("_total")).otherwise(F.col("gamma")),
         "support": F.when(~moved & F.col("_total").isNotNull(), F.col("_partner") / F.col("_total"))
         .otherwise(F.col("support")),
-    }).drop(*added, "_p")
+    }).drop(*facts, "_partner", "_p")
 
 
 def em(layout, df: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
@@ -151,8 +131,8 @@ def em(layout, df: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
     active = F.when(F.col("active"), F.col("gamma")).otherwise(F.lit(0.0))
     for r in range(rounds):
         last = r + 1 == rounds
-        df = _half_step(df, F.col("leads"), last)
-        df = _half_step(df, ~F.col("leads"), last)
+        df = _half_step(layout, df, F.col("leads"), last)
+        df = _half_step(layout, df, ~F.col("leads"), last)
         if not last:
             df = layout.facts(df, CLOUD, {"weight": F.sum(active)})
     return df
@@ -166,9 +146,18 @@ _WORKING = [
 ]
 
 
+def _sweep(layout, df: DataFrame, rounds: int) -> DataFrame:
+    return em(layout, with_leader(layout, cloud_facts(layout, initialise(layout, df))), rounds)
+
+
 def posterior(layout, clouded: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
     """Clouded candidates -> the same rows with gamma and bad."""
     rest = [c for c in clouded.columns if c not in _WORKING]
+    if layout.reshuffles:
+        # every round shuffles its rows: sweep over the narrow columns, then join back on the unique key
+        wide = layout.settle(clouded)
+        found = _sweep(layout, wide.select(*_WORKING), rounds).select(*CANDIDATE, "gamma", "bad")
+        return wide.join(found, CANDIDATE).select(*_WORKING, *rest, "bad", "gamma")
     packed = clouded.select(*_WORKING, F.struct(*rest).alias("rest")) if rest else clouded
-    swept = em(layout, with_leader(cloud_facts(layout, initialise(packed))), rounds)
+    swept = _sweep(layout, packed, rounds)
     return swept.select(*_WORKING, *[F.col(f"rest.{c}").alias(c) for c in rest], "bad", "gamma")

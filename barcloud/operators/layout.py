@@ -1,21 +1,25 @@
-"""Two physical layouts of the per-barcode work, chosen by barcode size.
+"""Physical layouts of the per-barcode work, chosen by barcode and read size.
 
 ``BarcodeLocal``: rows are hash partitioned by barcode once; every later window has the barcode in
 its key, so the whole resolution runs without another shuffle.  Only for barcodes that fit a task.
 
 ``Spread``: for heavy barcodes.  Rows are partitioned by read pair; facts about clouds, barcodes
 and duplicate groups are aggregated with map-side partials and attached skew-safely.
+
+``SpreadReads``: for barcodes with a heavy read pair.  Facts about reads are attached the same way,
+and partners are searched in position bins.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barcloud.config import SkewPolicy
+from barcloud.config import INSERT_MAX, INSERT_MIN, SkewPolicy
 from barcloud.operators import clouds as C
+from barcloud.operators.candidates import PAIR, READ
 from barcloud.operators.skew import attach_by_key
 from barcloud.session import cut_lineage
 
@@ -26,10 +30,55 @@ def _tasks(df: DataFrame, policy: SkewPolicy, total_rows: int) -> int:
     return max(policy.waves * cores, -(-total_rows // policy.rows_per_task))
 
 
+def _pair_order(*order: str) -> WindowSpec:
+    return Window.partitionBy(*PAIR).orderBy(*order)
+
+
+def _partner_max(value: Column, window: WindowSpec) -> Column:
+    """Largest ``value`` among opposite-strand rows inside the insert window of the current row.
+
+    Distance is reverse minus forward: reverse partners lie ahead, forward partners behind.
+    """
+    ahead = F.max(F.when(F.col("rev"), value)).over(window.rangeBetween(INSERT_MIN, INSERT_MAX))
+    behind = F.max(F.when(~F.col("rev"), value)).over(window.rangeBetween(-INSERT_MAX, -INSERT_MIN))
+    return F.coalesce(F.when(F.col("rev"), behind).otherwise(ahead), F.lit(0.0))
+
+
+class PairWindows:
+    """Per-read-pair work as windows of one sort order, for pairs that fit a task."""
+
+    def pair_pass(self, df: DataFrame, facts: dict[str, Column], partners: dict[str, Column] | None = None) -> DataFrame:
+        """Add facts of the read pair, and per row the largest partner value (NULL on own mate)."""
+        order = _pair_order("gpos")
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.withColumns({
+            **{name: agg.over(whole) for name, agg in facts.items()},
+            **{name: _partner_max(value, order) for name, value in (partners or {}).items()},
+        })
+
+    def repeats(self, df: DataFrame) -> DataFrame:
+        """Add repeats.  Along gpos clouds only advance: the largest earlier cloud is the latest one."""
+        before = _pair_order("gpos", "mate", "bwa_rank").rowsBetween(Window.unboundedPreceding, -1)
+        latest = lambda m: F.max(F.when(F.col("mate") == m, F.col("gcloud"))).over(before)
+        seen = F.when(F.col("mate") == 0, latest(0)).otherwise(latest(1))
+        return df.withColumn("repeats", F.coalesce(seen == F.col("gcloud"), F.lit(False)))
+
+    def read_facts(self, df: DataFrame, keys: list[str], facts: dict[str, Column]) -> DataFrame:
+        group = Window.partitionBy(*keys)
+        return df.withColumns({name: agg.over(group) for name, agg in facts.items()})
+
+    def top_two(self, df: DataFrame, order: list[Column], fields: Column) -> DataFrame:
+        """Best row per read, with ``_next`` = ``fields`` of the second one."""
+        ranked = Window.partitionBy(*READ).orderBy(*order)
+        marked = df.withColumns({"_rn": F.row_number().over(ranked), "_next": F.lead(fields).over(ranked)})
+        return marked.where("_rn = 1").drop("_rn")
+
+
 @dataclass(frozen=True)
-class BarcodeLocal:
+class BarcodeLocal(PairWindows):
     """All rows of a barcode in one partition."""
 
+    reshuffles = False
     policy: SkewPolicy
     total_rows: int
 
@@ -60,9 +109,10 @@ class BarcodeLocal:
 
 
 @dataclass(frozen=True)
-class Spread:
+class Spread(PairWindows):
     """Rows of a barcode spread by read pair."""
 
+    reshuffles = True
     policy: SkewPolicy
     total_rows: int
 
@@ -99,3 +149,52 @@ class Spread:
     def settle(self, df: DataFrame) -> DataFrame:
         """Rows feed both an aggregate and the join with it: compute them once, reliably."""
         return cut_lineage(df)
+
+
+_BIN = 1024  # positions; wider than the insert window, so a partner lies in a neighbouring bin
+
+
+@dataclass(frozen=True)
+class SpreadReads(Spread):
+    """Rows spread without regard to barcode or read: no group is ever brought to one task."""
+
+    def place(self, df: DataFrame) -> DataFrame:
+        return df
+
+    def read_facts(self, df: DataFrame, keys: list[str], facts: dict[str, Column]) -> DataFrame:
+        return self.facts(df, keys, facts)
+
+    def pair_pass(self, df: DataFrame, facts: dict[str, Column], partners: dict[str, Column] | None = None) -> DataFrame:
+        if facts:
+            df = self.facts(df, PAIR, facts)
+        for name, value in (partners or {}).items():
+            df = self._with_partner(df, name, value)
+        return df
+
+    def _with_partner(self, df: DataFrame, name: str, value: Column) -> DataFrame:
+        settled = self.settle(df)
+        site = [*PAIR, "rev", "gpos"]
+        # one row per position and strand: the positions around a bin bound every window group
+        sites = settled.groupBy(*site).agg(F.max(value).alias("_v"), F.count("*").alias("_n"))
+        bin_of = lambda p: F.floor(p / _BIN)
+        near = F.sequence(bin_of(F.col("gpos") - INSERT_MAX), bin_of(F.col("gpos") + INSERT_MAX))
+        spots = sites.select(*site, "_v", "_n", F.explode(near).alias("_bin")).withColumn(
+            "_mine", F.col("_bin") == bin_of(F.col("gpos")))
+        window = Window.partitionBy(*PAIR, "_bin").orderBy("gpos")
+        found = spots.withColumn(name, _partner_max(F.col("_v"), window)).where("_mine").select(*site, name, "_n")
+        return attach_by_key(settled, found, site, F.col("_n") > self.threshold, ["mate", "bwa_rank"]).drop("_n")
+
+    def repeats(self, df: DataFrame) -> DataFrame:
+        place = F.struct("pos", "bwa_rank")
+        known = self.facts(df, [*READ, "chrom", "cloud"], {"_earliest": F.min(place)})
+        return known.withColumn("repeats", place > F.col("_earliest")).drop("_earliest")
+
+    def top_two(self, df: DataFrame, order: list[Column], fields: Column) -> DataFrame:
+        settled = self.settle(df.withColumn("_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])))
+        row = F.struct(*df.columns)
+        best = settled.groupBy(*READ).agg(
+            F.min_by(row, "_order").alias("_row"), F.min("_order").alias("_best"), F.count("*").alias("_n"))
+        rest = attach_by_key(
+            settled, best.select(*READ, "_best", "_n"), READ, F.col("_n") > self.threshold, ["pos", "bwa_rank"])
+        second = rest.where(F.col("_order") != F.col("_best")).groupBy(*READ).agg(F.min_by(fields, "_order").alias("_next"))
+        return best.join(second, READ, "left").select("_row.*", "_next")

@@ -10,32 +10,41 @@ from pyspark.sql import functions as F
 from barcloud.config import DEFAULT_PLATFORM, DEFAULT_POLICY, EM_ROUNDS, Platform, SkewPolicy, get_platform
 from barcloud.operators import density as D
 from barcloud.operators.candidates import prepare
-from barcloud.operators.em import posterior
-from barcloud.operators.layout import BarcodeLocal, Spread
+from barcloud.operators.em import initialise, posterior, with_support
+from barcloud.operators.layout import BarcodeLocal, Spread, SpreadReads
 from barcloud.operators.selection import best_alignments, mark_duplicates, with_mates
 
 
+_LAYOUTS = {"local": BarcodeLocal, "spread": Spread, "spread_reads": SpreadReads}
+
+
 def plan_layouts(candidates: DataFrame, policy: SkewPolicy = DEFAULT_POLICY, layout: str = "auto"):
     """[(layout, rows)] covering all candidates: light barcodes local, heavy ones spread.
 
-    One narrow pass counts rows per barcode; only the barcodes above the policy's threshold (at
-    most ``max_heavy_keys``) reach the driver.
+    One narrow pass counts rows per read pair and barcode; only the barcodes above the policy's
+    threshold (at most ``max_heavy_keys``) reach the driver.
     """
-    sizes = candidates.groupBy("bc").agg(F.count("*").alias("n"))
+    pairs = candidates.groupBy("bc", "ident").agg(F.count("*").alias("n"))
+    sizes = pairs.groupBy("bc").agg(F.sum("n").alias("n"), F.max("n").alias("pair"))
     n, largest = sizes.agg(F.sum("n"), F.max("n")).first()
     total = n or 0
-    local, spread = BarcodeLocal(policy, total), Spread(policy, total)
+    kinds = {kind: make(policy, total) for kind, make in _LAYOUTS.items()}
     if layout != "auto":
-        return [({"local": local, "spread": spread}[layout], candidates)]
-    if (largest or 0) <= policy.threshold(total):
-        return [(local, candidates)]
+        return [(kinds[layout], candidates)]
+    limit = policy.threshold(total)
+    if (largest or 0) <= limit:
+        return [(kinds["local"], candidates)]
     # at most max_heavy_keys rows can pass
-    heavy = sizes.where(F.col("n") > policy.threshold(total)).select("bc").collect()
-    hot = F.broadcast(candidates.sparkSession.createDataFrame(heavy, "bc long"))
-    return [
-        (local, candidates.join(hot, "bc", "left_anti")),
-        (spread, candidates.join(hot, "bc", "left_semi")),
-    ]
+    heavy = sizes.where(F.col("n") > limit).select("bc", (F.col("pair") > limit).alias("reads")).collect()
+    parts = []
+    spark = candidates.sparkSession
+    table = lambda rows: F.broadcast(spark.createDataFrame([(r.bc,) for r in rows], "bc long"))
+    parts.append((kinds["local"], candidates.join(table(heavy), "bc", "left_anti")))
+    for kind, reads in (("spread", False), ("spread_reads", True)):
+        chosen = [r for r in heavy if r.reads == reads]
+        if chosen:
+            parts.append((kinds[kind], candidates.join(table(chosen), "bc", "left_semi")))
+    return parts
 
 
 def _over_layouts(candidates: DataFrame, policy, layout, step) -> DataFrame:
@@ -45,7 +54,7 @@ def _over_layouts(candidates: DataFrame, policy, layout, step) -> DataFrame:
 
 def _clouded(lay, rows: DataFrame, platform: Platform, compat: bool, density: bool) -> DataFrame:
     placed = lay.pair_counts(lay.place(rows))
-    clouded = lay.build_clouds(prepare(placed, platform, compat), platform.dist_thresh)
+    clouded = lay.build_clouds(prepare(placed, platform, compat, lay.read_facts), platform.dist_thresh)
     return D.optimise_density(lay, clouded, platform) if density else clouded
 
 
@@ -59,6 +68,20 @@ def clouded_candidates(
     return _over_layouts(candidates, policy, layout, step)
 
 
+def initial_state(
+    candidates: DataFrame, platform: Platform | str = DEFAULT_PLATFORM, support: bool = False,
+    policy: SkewPolicy = DEFAULT_POLICY, layout: str = "auto",
+) -> DataFrame:
+    """Clouded candidates with gamma from scores alone (and the support of their mates)."""
+    platform = get_platform(platform) if isinstance(platform, str) else platform
+
+    def step(lay, rows):
+        df = initialise(lay, _clouded(lay, rows, platform, False, False))
+        return with_support(lay, df) if support else df
+
+    return _over_layouts(candidates, policy, layout, step)
+
+
 def density_decisions(
     candidates: DataFrame, platform: Platform | str = DEFAULT_PLATFORM, anneal: bool = True,
     policy: SkewPolicy = DEFAULT_POLICY, layout: str = "auto",
@@ -95,7 +118,7 @@ def resolve(
 
     def step(lay, rows):
         scored = posterior(lay, _clouded(lay, rows, platform, compat, density))
-        selected = lay.ordinal(with_mates(best_alignments(scored)), "mi")
+        selected = lay.ordinal(with_mates(best_alignments(lay, scored)), "mi")
         return mark_duplicates(lay, selected, platform)
 
     return _over_layouts(candidates, policy, layout, step)

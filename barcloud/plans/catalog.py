@@ -282,7 +282,7 @@ def cloud_collisions(spark, sf):
 
 
 def _initial(spark, sf):
-    return em.initialise(_clouded(spark, sf))
+    return align.initial_state(_cands(spark, sf))
 
 
 @query
@@ -314,7 +314,7 @@ def mate_lookup(spark, sf):
 @query
 def mate_pair_score(spark, sf):
     """Mate term of every candidate under the initial probabilities."""
-    supported = _initial(spark, sf).withColumn("support", em.mate_support())
+    supported = align.initial_state(_cands(spark, sf), support=True)
     term = F.ln(F.greatest(F.col("support"), F.lit(em._NO_MATE)))
     return supported.select(*CAND_KEY, F.round(term, 6).alias("mate_term"))
 
@@ -334,6 +334,12 @@ def em_full(spark, sf):
     return _posterior(spark, sf, 5)
 
 
+@query
+def em_full_spread_reads(spark, sf):
+    """The same posteriors through the layout for heavy read pairs."""
+    return _posterior(spark, sf, 5, "spread_reads")
+
+
 @query
 def em_full_spread(spark, sf):
     """The same posteriors through the layout for heavy barcodes."""

@@ -399,6 +399,7 @@ def oracle_sql() -> dict[str, str]:
         "em_round1": _with(_em(1), post),
         "em_full": _with(_em(EM_ROUNDS), post),
         "em_full_spread": _with(_em(EM_ROUNDS), post),
+        "em_full_spread_reads": _with(_em(EM_ROUNDS), post),
         "best_alignment": _with(_selected(), f"select {read}, bwa_rank, chrom, pos, rev = 1 as rev, cloud, cast(mi as integer) as mi, bad, round(gamma, 6) as gamma from sel"),
         "second_best_xa": _with(_selected(), f"select {read}, alt_chrom, alt_pos, alt_rev = 1 as alt_rev, alt_cigar, cast(alt_edit_dist as integer) as alt_edit_dist from best where has_alt"),
         "duplicate_mark": _with(_selected(), f"select {read}, duplicate from sel"),

@@ -112,8 +112,7 @@ def admitted_rows(frame):
     return [r for r in rows if r["edit_dist"] - base[(r["bc"], r["ident"], r["mate"])] <= 12]
 
 
-@pytest.mark.parametrize("layout", ["local", "spread"])
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("layout, seed", [("local", 1), ("local", 2), ("spread", 1), ("spread_reads", 2)])
 def test_posteriors_equal_the_sequential_sweep(spark, layout, seed):
     frame = make(seed)
     expected = {}
@@ -144,6 +143,18 @@ def test_heavy_barcode_takes_the_spread_layout_and_changes_nothing(spark):
     assert resolved(spark, frame, policy=policy) == resolved(spark, frame, layout="local")
 
 
+def test_heavy_read_pair_changes_nothing(spark):
+    frame = make(5, 3, 40)
+    rows = frame[(frame.bc == 1) & (frame.ident == "r001") & (frame["mate"] == 0)].head(1)
+    many = pd.concat([rows] * 150, ignore_index=True).assign(
+        bwa_rank=lambda d: d.index + 10, pos=lambda d: 40_000 + d.index * 37, rev=lambda d: d.index % 3 == 0)
+    frame = pd.concat([frame, many, many.assign(mate=1, pos=many.pos + 90, rev=~many.rev)], ignore_index=True)
+    policy = SkewPolicy(max_group_rows=200, max_heavy_keys=1000)
+    kinds = [type(lay).__name__ for lay, _ in align.plan_layouts(to_spark(spark, frame), policy)]
+    assert kinds == ["BarcodeLocal", "SpreadReads"]
+    assert resolved(spark, frame, policy=policy) == resolved(spark, frame, layout="local")
+
+
 def test_row_order_does_not_matter(spark):
     frame = make(7)
     assert resolved(spark, frame) == resolved(spark, frame.sample(frac=1, random_state=3))
