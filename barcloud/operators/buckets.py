@@ -43,9 +43,26 @@ def assign_buckets(counts: DataFrame, n_buckets: int) -> DataFrame:
     return placed.select("bc", "n", (F.least(slot, F.lit(n_buckets - 1)) + 1).alias("bucket"))
 
 
+def _share(counts: DataFrame, policy: SkewPolicy) -> Column:
+    """Row count above which a key of a (key, n) table is heavy."""
+    part = counts.agg(F.sum("n") / policy.max_heavy_keys).scalar()
+    return F.greatest(F.lit(float(policy.max_group_rows)), part)
+
+
+def _with_bucket(
+    rows: DataFrame, buckets: DataFrame, policy: SkewPolicy, broadcast: bool, spread_on: list[str]
+) -> DataFrame:
+    """Add the bucket of ``bc``; a barcode may hold any share of the rows."""
+    if broadcast:
+        return rows.join(F.broadcast(buckets.select("bc", "bucket")), "bc", "left")
+    dim = buckets.select("bc", "bucket", F.col("n").alias("_reads"))
+    heavy = F.col("_reads") > _share(buckets, policy)
+    return attach_by_key(rows, dim, ["bc"], heavy, spread_on).drop("_reads")
+
+
 def route_reads(
     reads: DataFrame, buckets: DataFrame, replacements: DataFrame | None = None, double: bool = False,
-    policy: SkewPolicy = DEFAULT_POLICY, broadcast: bool | None = None, total_reads: int | None = None,
+    policy: SkewPolicy = DEFAULT_POLICY, broadcast: bool | None = None,
 ) -> DataFrame:
     """Add the final barcode ``bc`` and ``bucket`` (0 = no barcode) to every usable pair.
 
@@ -57,25 +74,19 @@ def route_reads(
     raw = F.when(B.n_count("bases") == 0, B.pack("bases"))
     if broadcast is None:
         broadcast = fits_broadcast(buckets.select("bc"), policy)
-    dim = buckets.select("bc", "bucket")
-    if broadcast:
-        dim = F.broadcast(dim)
     columns = [*reads.columns, "bc", F.coalesce("bucket", F.lit(0)).alias("bucket")]
-    placed = usable.withColumn("bc", raw).join(dim, "bc", "left")
+    placed = _with_bucket(usable.withColumn("bc", raw), buckets, policy, broadcast, ["name"])
     unknown = F.when(F.col("bucket").isNotNull(), F.col("bc")).alias("bc")
     if replacements is None:
         return placed.withColumn("bc", unknown).select(*columns)
 
     # The bucket of a replacement is looked up once per key, not once per read.
-    target = replacements.join(dim, replacements["assigned"] == dim["bc"]).select(
-        "bases", "quals", "n", "assigned", F.col("bucket").alias("new_bucket"))
-    if total_reads is None:
-        share = replacements.agg(F.sum("n") / policy.max_heavy_keys).scalar()
-        heavy = F.col("n") > F.greatest(F.lit(float(policy.max_group_rows)), share)
-    else:
-        heavy = F.col("n") > policy.threshold(total_reads)
+    changed = replacements.select("bases", "quals", "n", F.col("assigned").alias("bc"))
+    target = _with_bucket(changed, buckets, policy, broadcast, ["quals"]).select(
+        "bases", "quals", "n", F.col("bc").alias("assigned"), F.col("bucket").alias("new_bucket"))
     settled = placed.where(F.col("bucket").isNotNull() & F.lit(not double))
     pending = placed.where(F.col("bucket").isNull() | F.lit(double))
+    heavy = F.col("n") > _share(replacements, policy)
     moved = attach_by_key(pending, target, ["bases", "quals"], heavy, ["name"])
     moved = moved.withColumns({
         "bc": F.coalesce("assigned", unknown), "bucket": F.coalesce("new_bucket", "bucket"),
@@ -83,11 +94,15 @@ def route_reads(
     return settled.select(*columns).unionByName(moved.select(*columns))
 
 
-def route_haplotag(reads: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Header-coded reads; every code of the generated whitelist has a bucket, counted or not."""
+def route_haplotag(
+    reads: DataFrame, buckets: DataFrame, policy: SkewPolicy = DEFAULT_POLICY, broadcast: bool | None = None
+) -> DataFrame:
+    """Header-coded reads: codes of the generated whitelist go to the bucket of their count."""
+    if broadcast is None:
+        broadcast = fits_broadcast(buckets.select("bc"), policy)
     coded = reads.where(is_usable(haplotag=True)).withColumn("bc", B.pack_haplotag(H.bx_tag("name")))
     known = coded.withColumn("bc", F.when(B.is_haplotag_code("bc"), F.col("bc")))
-    return known.join(buckets.select("bc", "bucket"), "bc", "left").select(
+    return _with_bucket(known, buckets, policy, broadcast, ["name"]).select(
         *reads.columns, "bc", F.coalesce("bucket", F.lit(0)).alias("bucket"))
 
 

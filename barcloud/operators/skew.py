@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,9 @@ def attach_by_key(
     values = [c for c in facts.columns if c not in keys]
     hot = facts.where(heavy).select(*keys, F.struct(*values).alias("_hot"))
     cold = facts.where(~heavy).select(*keys, F.struct(*values).alias("_cold"), F.lit(0).alias(_SALT))
-    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
+    # rows without a key have no match either, and would all meet in one task
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    salt = F.when(F.col("_hot").isNull() & ~missing, F.lit(0)).otherwise(
         F.lit(1) + F.pmod(F.xxhash64(*spread_on), F.lit(1 << 20)).cast("int")
     )
     joined = (

@@ -231,3 +231,11 @@ def test_density_keeps_one_candidate_per_annealed_read(spark):
     # a whole resolution with the option on still gives one alignment per read
     rows = align.resolve(to_spark(spark, make(11, 3, 60, 1, 60_000)), density=True, layout="local").count()
     assert rows == clouded.select("bc", "ident", "mate").distinct().count()
+
+
+def test_light_barcodes_resolve_in_one_shuffle(spark, tmp_path):
+    to_spark(spark, make(12)).write.parquet(str(tmp_path / "c"))
+    df = align.resolve(spark.read.parquet(str(tmp_path / "c")), layout="local")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Join" not in plan and "SinglePartition" not in plan

@@ -107,7 +107,7 @@ def test_buckets_are_balanced_and_total(spark):
         running += r.n
 
 
-@pytest.mark.parametrize("policy", [SkewPolicy(), SkewPolicy(max_group_rows=2, max_heavy_keys=4)])
+@pytest.mark.parametrize("policy", [SkewPolicy(), SkewPolicy(max_group_rows=2, max_heavy_keys=4, max_broadcast_rows=1)])
 @pytest.mark.parametrize("double", [False, True])
 def test_routing(spark, policy, double):
     wl = whitelist_df(spark, [PREFIX + "AC", "G" * 16])
@@ -135,3 +135,19 @@ def test_ambiguous_known_barcode_keeps_its_raw_bucket(spark):
     corrections = preproc.correct(counts, whitelist_df(spark, wl), True)
     routed = preproc.route(reads_df(spark, rows), corrections, 2, True)
     assert {r.name: r.s for r in routed.select("name", B.unpack("bc").alias("s")).collect()}["@b"] == wl[0]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_haplotag_counts_and_routing(spark, broadcast):
+    tags = ["A01C02B03D04"] * 6 + ["A96C96B96D96", "A00C02B03D04"]
+    rows = [(f"@h{i} BX:Z:{t}", "G" * 40, "I" * 40, f"@h{i}", "C", "I") for i, t in enumerate(tags)] + [("@x", "G" * 40, "I" * 40, "@x", "C", "I")]
+    df = reads_df(spark, rows)
+    counts = counting.haplotag_counts(df)
+    assert sorted(r.n for r in counts.collect()) == [1, 6]
+    placed = buckets.assign_buckets(counts, 2)
+    policy = SkewPolicy(max_group_rows=2, max_heavy_keys=2)
+    routed = buckets.route_haplotag(df, placed, policy, broadcast)
+    got = {r.name: r.bucket for r in routed.collect()}
+    assert len(got) == 8 and got["@h7 BX:Z:A00C02B03D04"] == 0 and got["@h0 BX:Z:A01C02B03D04"] > 0
+    line = buckets.shard_lines(routed.where("name like '@h0 %'"), haplotag=True).first().value
+    assert line == f"A01C02B03D04 @h0 {'G' * 40} {'I' * 40} C I"
