@@ -9,7 +9,6 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from barcloud.config import DEFAULT_PLATFORM, PLATFORMS, get_platform
 from barcloud.functions import bases as B

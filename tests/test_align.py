@@ -5,10 +5,9 @@ import random
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from barcloud.config import SkewPolicy, get_platform
-from barcloud.operators import clouds, density, em
+from barcloud.operators import clouds, density
 from barcloud.operators.layout import BarcodeLocal
 from barcloud.plans import align
 
