@@ -15,24 +15,24 @@ _SALT = "_salt"
 def attach_by_key(
     rows: DataFrame, facts: DataFrame, keys: list[str], heavy: Column, spread_on: list[str]
 ) -> DataFrame:
-    """Left join ``rows`` with one-row-per-key ``facts`` without a hot task.
+    """Left join ``rows`` with one-row-per-key ``facts`` without a hot task, in one pass over ``rows``.
 
     ``heavy`` marks the facts of heavy keys (row count above ``SkewPolicy.threshold``): there are
-    at most ``max_heavy_keys`` of them, so they are broadcast.  Rows they already answered are
-    spread over all join tasks by a salt, every other key is light by definition and is joined
-    by hash.  Rows and results stay whole.
+    at most ``max_heavy_keys`` of them, so they are broadcast.  The rows they answer, and rows
+    without a key, get a salt from ``spread_on`` and so a join key that no fact has: they are dealt
+    over all join tasks.  Every other key is light and joined by hash with salt 0.  The zero of the
+    facts is computed from the key, because a literal would be folded into a filter and leave
+    the key alone in the exchange.  Rows and results stay whole.
     """
     values = [c for c in facts.columns if c not in keys]
     hot = facts.where(heavy).select(*keys, F.struct(*values).alias("_hot"))
-    cold = facts.where(~heavy).select(*keys, F.struct(*values).alias("_cold"), F.lit(0).alias(_SALT))
-    # rows without a key have no match either, and would all meet in one task
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
+    cold = facts.where(~heavy).select(*keys, F.struct(*values).alias("_cold"), zero.alias(_SALT))
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    salt = F.when(F.col("_hot").isNull() & ~missing, F.lit(0)).otherwise(
-        F.lit(1) + F.pmod(F.xxhash64(*spread_on), F.lit(1 << 20)).cast("int")
-    )
+    spread = F.lit(1) + F.pmod(F.xxhash64(*spread_on), F.lit(1 << 20)).cast("int")
     joined = (
         rows.join(F.broadcast(hot), keys, "left")
-        .withColumn(_SALT, salt)
+        .withColumn(_SALT, F.when(F.col("_hot").isNull() & ~missing, zero).otherwise(spread))
         .join(cold, [*keys, _SALT], "left")
     )
     fact = F.coalesce("_hot", "_cold")
@@ -40,8 +40,8 @@ def attach_by_key(
 
 
 def fits_broadcast(df: DataFrame, policy: SkewPolicy) -> bool:
-    """Proves the size bound by counting no further than the bound itself."""
-    return df.limit(policy.max_broadcast_rows + 1).count() <= policy.max_broadcast_rows
+    """Proves the size bound by a count: one number per task is shuffled."""
+    return df.count() <= policy.max_broadcast_rows
 
 
 def bounded_dim(df: DataFrame, policy: SkewPolicy) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +12,8 @@ _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # co-locate joins keyed (bc, ...) on an existing hash partitioning by bc
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # joins keyed (bc, salt) must be partitioned by both: see operators.skew
+    "spark.sql.requireAllClusterKeysForCoPartition": "true",
     # the EM rounds are structurally equal: let their stages share one generated class
     "spark.sql.codegen.useIdInClassName": "false",
     "spark.sql.maxPlanStringLength": "200000",
@@ -44,14 +45,33 @@ def local_session(app: str = "barcloud", cores: str = "8", shuffle: str | None =
     return tune(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests, local runs) a temporary folder is used.
+    A temporary folder stands in only on a local master, where all tasks run on one machine; a
+    cluster without the setting is an error, for its executors could not read each other's files.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="barcloud-ckpt-"))
+        if configured is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="barcloud-ckpt-")
+        sc.setCheckpointDir(configured)
+        current = sc._jsc.sc().getCheckpointDir()
+    return current.get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in :func:`shared_folder`."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in :func:`shared_folder` and read back: a lineage cut of compressed columns."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
