@@ -122,7 +122,7 @@ def pack(
     schema = ", ".join([*fields, "sequence_id long", "offset long"])
     names = cut.columns
 
-    def place(key, group: pa.Table) -> pa.Table:
+    def place(key, group):
         lengths, crc, start = (group.column(c).to_numpy() for c in ("length", "ids_crc32", "start"))
         order = np.lexsort([start, crc])
         window = np.arange(len(order)) // open_bins
