@@ -18,6 +18,7 @@ begins or the match before ended, and repetitions don't give back.  Offsets are
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,7 +96,12 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), weigh), F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def _valid(kind: str, value: Column) -> Column:
+def _valid(kind: str) -> Callable[[Column], Column]:
+    """Whether a span is a match that counts; Spark passes one argument for each parameter, so the kind is bound here."""
+    return lambda span: _counts(kind, span["value"])
+
+
+def _counts(kind: str, value: Column) -> Column:
     if kind == "ip":
         return value.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$")
     if kind == "card":
@@ -130,18 +136,21 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for kind, (pattern, part) in KINDS.items():
         found = _with_matches(found, "_text", f"_{kind}", pattern, part, CONTEXT)
     return found.select("_key", id_col, *[
-        F.filter(f"_{kind}", lambda s, k=kind: _valid(k, s["value"])).alias(kind) for kind in KINDS
+        F.filter(f"_{kind}", _valid(kind)).alias(kind) for kind in KINDS
     ])
 
 
 def contexts(found: DataFrame) -> DataFrame:
     """One row per base span: key, kind, entity (its value in a common form), start, end, left, right."""
     entity = {"email": lambda v: F.lower(v), "card": _digits, "phone": _digits, "ip": lambda v: v}
-    every = F.concat(*[
-        F.transform(kind, lambda s, k=kind: F.struct(
-            F.lit(k).alias("kind"), entity[k](s["value"]).alias("entity"), s["start"], s["end"], s["left"], s["right"],
-        ).cast("struct<kind:string,entity:string,start:int,end:int,left:string,right:string>")) for kind in KINDS
-    ])
+
+    def named(kind: str) -> Callable[[Column], Column]:
+        return lambda s: F.struct(
+            F.lit(kind).alias("kind"), entity[kind](s["value"]).alias("entity"),
+            *[s[c].alias(c) for c in ("start", "end", "left", "right")],
+        )
+
+    every = F.concat(*[F.transform(kind, named(kind)) for kind in KINDS])
     return found.select("_key", F.inline(every))
 
 
@@ -232,10 +241,14 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def _replacements(found: DataFrame) -> DataFrame:
     """(key, edits): disjoint (start, end, tag) in order; overlapping spans are one edit with the base span's tag."""
     edit = "array<struct<start:int,end:int,tag:string>>"
-    base = [F.transform(kind, lambda s, k=kind: F.struct(s["start"], s["end"], F.lit(f"<{k.upper()}>").alias("tag")))
-            .cast(edit) for kind in KINDS]
-    terms = F.transform("terms", lambda s: F.struct(s["start"], s["end"], s["action"].alias("tag"))).cast(edit)
-    ordered = F.array_sort(F.concat(*base, terms))
+
+    def tagged(tag: str | None) -> Callable[[Column], Column]:
+        return lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), (F.lit(tag) if tag else s["action"]).alias("tag")
+        )
+
+    every = [F.transform(kind, tagged(f"<{kind.upper()}>")) for kind in KINDS]
+    ordered = F.array_sort(F.concat(*every, F.transform("terms", tagged(None))))
     one = found.where(F.size(ordered) > 0).select("_key", ordered.alias("all")).dropDuplicates(["_key"])
 
     def step(acc: Column, s: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barcloud.llm import bytebpe, language, packing, repair, simhash
+from barcloud.llm import bytebpe, disclosure, language, packing, repair, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing_bounded": packing.op3_packing_bounded,
         "op6_bpe_prefixes": bytebpe.op6_bpe_prefixes,
         "op7_ids_repair": repair.op7_ids_repair,
+        "op8_pii_disclosure": disclosure.op8_pii_disclosure,
         "op10_simhash_bktree": simhash.op10_simhash_bktree,
     }
 
