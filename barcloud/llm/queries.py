@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barcloud.llm import bytebpe, disclosure, language, packing, repair, simhash
+from barcloud.llm import bytebpe, disclosure, language, packing, quality, repair, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe_prefixes": bytebpe.op6_bpe_prefixes,
         "op7_ids_repair": repair.op7_ids_repair,
         "op8_pii_disclosure": disclosure.op8_pii_disclosure,
+        "op9_quality_weak": quality.op9_quality_weak,
         "op10_simhash_bktree": simhash.op10_simhash_bktree,
     }
 
