@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from barcloud.llm.common import small_or_shuffled, table
 
-SLICES = 7
-WEIGHT_BITS = 5
+SLICES = 6
+WEIGHT_BITS = 12
 BLOCK_ROWS = 1 << 15
 CHUNK_QUERIES = 256
 #: Components beyond this many (after the factor of 256) count as this many; sums then fit 64 bits.
@@ -49,11 +49,13 @@ def index(rows: np.ndarray) -> Index:
     bits = int(above.max()).bit_length()
     drop = max(0, bits - SLICES)
     pad = -len(rows) % 64
-    packed = np.stack([
-        np.packbits(np.pad((above.T >> bit) & 1, ((0, 0), (0, pad))).astype(np.uint8), axis=1, bitorder="little").view("<u8")
-        for bit in range(drop, max(bits, drop + 1))
-    ], 1)
-    everyone = np.packbits(np.pad(np.ones(len(rows), np.uint8), (0, pad)), bitorder="little").view("<u8")
+
+    def bitmaps(flags: np.ndarray) -> np.ndarray:
+        padded = np.pad(flags.astype(np.uint8), ((0, 0), (0, pad)))
+        return np.ascontiguousarray(np.packbits(padded, axis=1, bitorder="little")).view("<u8")
+
+    packed = np.stack([bitmaps(above.T >> bit & 1) for bit in range(drop, max(bits, drop + 1))], 1)
+    everyone = bitmaps(np.ones((1, len(rows))))[0]
     return Index(rows, least, above.max(0), drop, packed, everyone)
 
 
@@ -170,23 +172,40 @@ def top(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     left = once.join(sizes, "dim").select("dim", "id", "q", own("blocks").alias("block"), numbers("chunks").alias("chunk"))
     right = asked.join(sizes, "dim").select("dim", "id", "q", own("chunks").alias("chunk"), numbers("blocks").alias("block"))
+    right = right.toDF("of_dim", "query_id", "weights", "of_chunk", "of_block")
     key = ["dim", "block", "chunk"]
 
     def cell(key, block, queries):
         found = [(np.zeros(0, np.int64),) * 3]
         if len(block) and len(queries):
-            matrix = lambda t: t.column("q").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-            ids, indexed = block.column("id").to_numpy(), index(matrix(block))
-            for query, q in zip(queries.column("id").to_numpy(), matrix(queries)):
+            matrix = lambda t, name: t.column(name).combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+            ids, indexed = block.column("id").to_numpy(), index(matrix(block, "q"))
+            for query, q in zip(queries.column("query_id").to_numpy(), matrix(queries, "weights")):
                 near, scores = best(indexed, ids, q, k + 1)
                 other = near != query
                 found.append((np.full(other.sum(), query), near[other], scores[other]))
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
 
-    cells = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(cell, "query_id long, vec_id long, score long")
+    cells = left.groupBy(*key).cogroup(right.groupBy("of_dim", "of_block", "of_chunk")).applyInArrow(cell, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return cells.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_topk_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP4_SQL = """
+WITH rows AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(list_sum([a.q[i] * b.q[i] FOR i IN range(1, len(a.q) + 1)]) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+WHERE rank <= 5
+"""

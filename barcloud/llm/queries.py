@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barcloud.llm import bytebpe, disclosure, language, packing, quality, repair, simhash
+from barcloud.llm import bitslice, bytebpe, disclosure, language, packing, postings, quality, repair, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_ppm": language.op1_language_ppm,
+        "op2_ann_postings": postings.op2_ann_postings,
         "op3_packing_bounded": packing.op3_packing_bounded,
+        "op4_topk_bitslice": bitslice.op4_topk_bitslice,
+        "op5_warc_revisits": warc.op5_warc_revisits,
         "op6_bpe_prefixes": bytebpe.op6_bpe_prefixes,
         "op7_ids_repair": repair.op7_ids_repair,
         "op8_pii_disclosure": disclosure.op8_pii_disclosure,
@@ -22,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_topk_bitslice": bitslice.OP4_SQL, "op5_warc_revisits": warc.OP5_SQL}
