@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from barcloud.llm import bitslice, bytebpe, disclosure, language, packing, postings, quality, repair, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_language_ppm": language.op1_language_ppm,
         "op2_ann_postings": postings.op2_ann_postings,
         "op3_packing_bounded": packing.op3_packing_bounded,

@@ -1,4 +1,69 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input.
 
-STAGES = []
+A stage is (spark, docs, sf_dir) -> DataFrame.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barcloud.llm import disclosure, language, packing, quality, simhash
+from barcloud.llm.common import has_letter, table
+from barcloud.session import write_table
+
+#: A text that no language's model codes in fewer bits a byte is none of them.
+MOST_BITS = 7.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter and texts that no learned language explains.
+
+    Models come from the labelled rows of the input itself; where there are none, any text with a letter stays.
+    """
+    model = language.train(docs)
+    if not model.languages:
+        return docs.where(has_letter(F.col("text")))
+    found = language.identify(docs.withColumnRenamed("text", "_text"), model, "_text")
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS))
+    return kept.withColumnRenamed("_text", "text").select(docs.columns)
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts the scorer, trained on weak labels of the input, takes for bad; texts without a word too."""
+    weights = quality.train(docs)
+    return quality.score(docs, weights).where("keep").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each component of linked fingerprints (4-word shingles, 4 bits, as the operator's contract has it)."""
+    return simhash.keep_one(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and the terms that disclose it; n_chars follows the new text; all rows stay."""
+    return disclosure.sanitise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the tokens of the documents left; see ``packing.pack_documents``."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality", quality_filter),
+    ("near_dedup", near_dedup),
+    ("pii", pii),
+    ("packing", pack),
+]
+
+#: SQL can express none of the models and fingerprints; tests compare the stages with brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
