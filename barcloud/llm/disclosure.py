@@ -178,23 +178,25 @@ def disclosures(docs: DataFrame, spans: DataFrame, text_col: str = "text", polic
     distinct = spans.groupBy("kind", "entity", "left", "right").agg(
         F.min("_key").alias("_key"), F.min("start").alias("start"), F.min("end").alias("end")
     )
+    total = docs.count()
     n_entity = distinct.groupBy("kind", "entity").agg(F.countDistinct("_key").alias("n_e"))
-    # a candidate needs SUPPORT contexts, and so does its entity: most have one
-    often = n_entity.where(F.col("n_e") >= policy.support)
-    shared = context_terms(distinct.join(small_or_shuffled(often), ["kind", "entity"]))
-    pairs = shared.groupBy("kind", "entity", "term").agg(
-        F.countDistinct("_key").alias("n_te"), F.first("n_e").alias("n_e")
-    ).where(F.col("n_te") >= policy.support)
+    around = write_table(context_terms(distinct).select("kind", "entity", "term", "_key").distinct(), "pii-around")
+    pairs = around.groupBy("kind", "entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= policy.support)
+    p_entity = F.col("n_e") / F.lit(total)
+
+    def told(n_term: Column) -> Column:
+        share = F.log(F.col("n_te") / n_term / p_entity) / -F.log(p_entity)
+        return F.when(F.col("n_e") < total, share).otherwise(0.0)
+
+    # documents with the term near any entity are a lower bound of all with the term, and so give an upper
+    # bound of the disclosure: common words are out before the corpus is counted
+    near = around.groupBy("term").agg(F.countDistinct("_key").alias("n_near"))
+    pairs = pairs.join(n_entity, ["kind", "entity"]).join(near, "term").where(told(F.col("n_near")) >= policy.generalise)
     pairs = write_table(pairs, "pii-pairs")
     terms = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(TERM), F.lit(0)))).alias("term")
     known = docs.select(terms).join(small_or_shuffled(pairs.select("term").distinct()), "term", "left_semi")
     n_term = known.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.agg(F.count("*").alias("n"))
-    p_entity = F.col("n_e") / F.col("n")
-    told = F.log(F.col("n_te") / F.col("n_t") / p_entity) / -F.log(p_entity)
-    scored = pairs.join(n_term, "term").join(F.broadcast(total)).withColumn(
-        "disclosure", F.when(F.col("n_e") < F.col("n"), told).otherwise(0.0)
-    )
+    scored = pairs.join(n_term, "term").withColumn("disclosure", told(F.col("n_t")))
     action = F.when(F.col("disclosure") >= policy.remove, "remove").when(F.col("disclosure") >= policy.generalise, "generalise")
     return scored.withColumn("action", action).where("action is not null").select(
         "kind", "entity", "term", "disclosure", "action"
