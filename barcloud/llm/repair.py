@@ -60,20 +60,37 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, least: i
     ])
 
 
+_SLOT_BITS = 18
+
+
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
 def _replace(symbols: np.ndarray, number: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """``symbols`` with frequent pairs replaced by nonterminals from ``number`` on, and those pairs."""
     none = np.zeros((0, 2), np.uint32)
     if len(symbols) < 2 * least:
         return symbols, none
     pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-    # a pair cannot be frequent where its hash isn't: most places need no sorting
-    slot = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-    places = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= least)
-    values, which, counts = np.unique(pairs[places], return_inverse=True, return_counts=True)
-    chosen = counts[which] >= least
-    places, which = places[chosen], which[chosen]
-    if not len(places):
+    held = np.sort(pairs)
+    edges = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1], [True]]))
+    values = held[edges[:-1]][np.diff(edges) >= least]
+    if not len(values):
         return symbols, none
+    # a place's pair by a table over hashes; where two frequent pairs share a hash, by search
+    at, slot = _slots(values), _slots(pairs)
+    table_ = np.zeros(1 << _SLOT_BITS, np.int32)
+    table_[at] = np.arange(len(values))
+    which = table_[slot]
+    chosen = values[which] == pairs
+    shared = np.bincount(at, minlength=1 << _SLOT_BITS) > 1
+    if shared.any():
+        other = np.flatnonzero(shared[slot] & ~chosen)
+        found = np.minimum(np.searchsorted(values, pairs[other]), len(values) - 1)
+        which[other], chosen[other] = found, values[found] == pairs[other]
+    places = np.flatnonzero(chosen)
+    which = which[places]
     # of overlapping occurrences (a run of neighbouring places) every other one
     run = np.concatenate([[0], np.flatnonzero(np.diff(places) > 1) + 1])
     within = np.arange(len(places)) - np.repeat(run, np.diff(np.append(run, len(places))))
@@ -102,8 +119,23 @@ class Block:
         self.lengths = np.frombuffer(blob, "<u4", n_rules, at := at + 8 * n_rules)
         self.starts = np.frombuffer(blob, "<i8", n_docs + 1, at := at + 4 * n_rules)
         self.symbols = np.frombuffer(blob, f"<u{width}", n_symbols, at + 8 * (n_docs + 1)).astype(np.uint32)
-        sizes = np.concatenate([np.ones(self.first, np.int64), self.lengths])[self.symbols]
-        self.ends = np.cumsum(sizes)
+        self.ends = np.cumsum(np.concatenate([np.ones(self.first, np.int64), self.lengths])[self.symbols])
+        self._bodies: np.ndarray | None = None
+
+    def _expanded(self) -> tuple[np.ndarray, np.ndarray]:
+        """The expansions of all rules one behind the other, and where each begins."""
+        if self._bodies is None:
+            part = self.rules.ravel()
+            while (inner := part >= self.first).any():
+                out = np.zeros(len(part) + int(inner.sum()), np.uint32)
+                at = np.arange(len(part)) + np.concatenate([[0], np.cumsum(inner)[:-1]])
+                out[at[~inner]] = part[~inner]
+                pairs = self.rules[part[inner] - self.first]
+                out[at[inner]], out[at[inner] + 1] = pairs[:, 0], pairs[:, 1]
+                part = out
+            self._bodies = part
+            self._begins = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        return self._bodies, self._begins
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """The ids from ``start`` to ``stop``: only the symbols over that range are expanded."""
@@ -112,16 +144,16 @@ class Block:
         a, b = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left") + 1
         begin = int(self.ends[a - 1]) if a else 0
         part = self.symbols[a:b]
-        while True:
-            inner = part >= self.first
-            if not inner.any():
-                return part[start - begin : stop - begin]
-            out = np.zeros(len(part) + int(inner.sum()), np.uint32)
-            at = np.arange(len(part)) + np.concatenate([[0], np.cumsum(inner)[:-1]])
-            out[at[~inner]] = part[~inner]
-            pairs = self.rules[part[inner] - self.first]
-            out[at[inner]], out[at[inner] + 1] = pairs[:, 0], pairs[:, 1]
-            part = out
+        inner = np.flatnonzero(part >= self.first)
+        ends = self.ends[a:b] - begin
+        sizes = np.diff(ends, prepend=0)
+        out = np.repeat(part, sizes)
+        if len(inner):
+            bodies, begins = self._expanded()
+            size = sizes[inner]
+            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            out[np.repeat(ends[inner] - size, size) + within] = bodies[np.repeat(begins[part[inner] - self.first], size) + within]
+        return out[start - begin : stop - begin]
 
     def document(self, number: int) -> np.ndarray:
         return self.ids(int(self.starts[number]), int(self.starts[number + 1]))
