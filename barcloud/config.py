@@ -23,17 +23,13 @@ SPLIT_EXTRA_SEARCH_DEPTH = 5
 SECONDARY_THRESHOLD = 0.9
 GAMMA_FLOOR = 1e-50
 DENSITY_BIN = 1000
-DENSITY_MAX_BINS = 1000
 DENSITY_SCORE_SCALE = 20.0
 DENSITY_MIN_RECORDS = 6
-DENSITY_MAX_RECORDS = 49_999
-ANNEAL_STEPS = 50_000
-ANNEAL_MAX_REJECTED = 500
-ANNEAL_LOG10_T0 = 0.0
-ANNEAL_LOG10_T1 = -12.0
 HAPLOTAG_SEGMENT_MAX = 96
 # --- end of fixed values ---
 
+DENSITY_ROUNDS = 3          # of the set-based density ascent; our own choice
+
 NOCHANGE, H1CHANGE, H2CHANGE, NOBUCKET = "NOCHANGE", "H1CHANGE", "H2CHANGE", "NOBUCKET"
 
 # chrom and pos are folded in one sortable LONG: chrom * GENOME_STRIDE + pos
@@ -78,7 +74,7 @@ def get_platform(name: str) -> Platform:
     try:
         return PLATFORMS[name]
     except KeyError:
-        raise ValueError(f"invalid platform name: '{name}' (known: {', '.join(PLATFORMS)})") from None
+        raise ValueError(f"platform '{name}' is not one of {', '.join(PLATFORMS)}") from None
 
 
 @dataclass(frozen=True)

@@ -1,25 +1,15 @@
-"""Read-density optimisation of clouds in which a read occurs several times.
-
-Which candidates take part, the edit-distance cut and all bounds are DataFrame work; only the
-annealing itself, an inherently sequential walk over one bounded cloud, runs in Python tasks.
-Clouds beyond the documented size limits are skipped by definition, so a group never exceeds
-``DENSITY_MAX_RECORDS`` rows.
-"""
+"""Read-density optimisation of clouds in which a read occurs several times, as set-based steps."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barcloud.config import (
-    ANNEAL_LOG10_T0, ANNEAL_LOG10_T1, ANNEAL_MAX_REJECTED, ANNEAL_STEPS, DENSITY_BIN,
-    DENSITY_MAX_BINS, DENSITY_MAX_RECORDS, DENSITY_MIN_RECORDS, DENSITY_SCORE_SCALE, INSERT_MAX,
+    DENSITY_BIN, DENSITY_MIN_RECORDS, DENSITY_ROUNDS, DENSITY_SCORE_SCALE, INSERT_MAX,
     SPLIT_EXTRA_SEARCH_DEPTH, Platform,
 )
+from barcloud.functions.alignment import log_density
 from barcloud.operators.clouds import CLOUD
 
 IN_CLOUD = [*CLOUD, "ident", "mate"]
@@ -28,25 +18,21 @@ IN_CLOUD = [*CLOUD, "ident", "mate"]
 def prefilter(layout, clouded: DataFrame) -> DataFrame:
     """Deactivate hopeless repeats of a read in a colliding cloud; add ``anneal``.
 
-    ``anneal`` marks the clouds to optimise: enough records before and after the cut, a span within
-    the bin table, and a read that still has a choice.
+    ``anneal`` marks the clouds to optimise: enough records before and after the cut, and a read
+    that still has a choice.
     """
     df = layout.read_facts(clouded, IN_CLOUD, {"_copies": F.count("*"), "_least": F.min("clip_edit_dist")})
     df = layout.facts(df, CLOUD, {"_records": F.count("*"), "_colliding": F.max(F.col("_copies") > 1)})
-    eligible = F.col("_colliding") & F.col("_records").between(DENSITY_MIN_RECORDS, DENSITY_MAX_RECORDS)
+    eligible = F.col("_colliding") & (F.col("_records") >= DENSITY_MIN_RECORDS)
     dropped = eligible & (F.col("clip_edit_dist") > F.col("_least") + SPLIT_EXTRA_SEARCH_DEPTH)
     df = df.withColumns({"_eligible": eligible, "active": F.col("active") & ~dropped})
     kept = F.when(F.col("active"), F.col("pos"))
     df = layout.read_facts(df, IN_CLOUD, {"_choices": F.count(kept)})
     df = layout.facts(df, CLOUD, {
-        "_lo": F.min(kept), "_hi": F.max(kept), "_left": F.count(kept), "_most": F.max("_choices")})
-    bins = F.floor((F.col("_hi") - F.col("_lo")) / DENSITY_BIN) + 1
-    anneal = (
-        F.col("_eligible") & (F.col("_left") >= DENSITY_MIN_RECORDS) & (F.col("_most") > 1)
-        & (bins < DENSITY_MAX_BINS)
-    )
+        "_lo": F.min(kept), "_left": F.count(kept), "_most": F.max("_choices")})
+    anneal = F.col("_eligible") & (F.col("_left") >= DENSITY_MIN_RECORDS) & (F.col("_most") > 1)
     return df.withColumn("anneal", F.coalesce(anneal, F.lit(False))).drop(
-        "_copies", "_least", "_records", "_colliding", "_eligible", "_choices", "_hi", "_left", "_most")
+        "_copies", "_least", "_records", "_colliding", "_eligible", "_choices", "_left", "_most")
 
 
 def density_bins(clouded: DataFrame) -> DataFrame:
@@ -55,105 +41,51 @@ def density_bins(clouded: DataFrame) -> DataFrame:
     return clouded.groupBy(*CLOUD, bin_of.alias("bin")).agg(F.count("*").alias("n"))
 
 
-_DRAWS = 4096  # random numbers drawn at a time
-
-
-def _uniform(seed: int):
-    rng = np.random.default_rng(seed)
-    while True:
-        yield from rng.random(_DRAWS).tolist()
-
-
-def _anneal_cloud(cloud: pd.DataFrame, log_p: list[float], seed: int) -> np.ndarray:
-    """Pick one candidate per read, maximising score / 20 plus the log density of the 1 kb bins.
-
-    ``cloud`` has the columns ident, mate, bin, pos, rev, score, and is sorted by read.
+def _ranked(df: DataFrame, platform: Platform, moving: Column) -> Column:
+    """Sortable worth of a candidate of a moving read: next to its mate first, then score and density, then as it is."""
+    mate = F.when(F.col("mate") == 0, F.col("_of1")).otherwise(F.col("_of0"))
+    gap = F.when(F.col("rev"), F.col("pos") - mate["pos"]).otherwise(mate["pos"] - F.col("pos"))
+    paired = F.coalesce((F.col("rev") != mate["rev"]) & gap.between(0, INSERT_MAX), F.lit(False))
+    # the load of the bin without this read
+    others = F.col("_load") - F.when(F.col("_bin") == F.col("_own"), 1).otherwise(0)
+    value = F.col("score") / DENSITY_SCORE_SCALE + log_density(others + 1, platform) - log_density(others, platform)
+    # equal worth is equal whatever the order of additions was
+    worth = F.floor(value * 1e9 + 0.5).cast("long")
+    return F.when(moving, F.struct(
+        paired.alias("a"), worth.alias("b"), F.col("_chosen").alias("c"), (-F.col("pos")).alias("d"), (-F.col("bwa_rank")).alias("e")
+    ))
+
+
+def optimise_density(layout, clouded: DataFrame, platform: Platform, rounds: int = DENSITY_ROUNDS) -> DataFrame:
+    """``clouded`` with ``active`` set on exactly one candidate per read of every cloud to optimise.
+
+    An ascent on score / 20 plus the log density of 1 kb bins, over sets: reads start at their best score;
+    in each of ``rounds`` rounds first one half of the reads, then the other, moves each to its best
+    candidate under the loads left by the half-step before.  The two mates of a pair are in different
+    halves, so a read sees where its mate is, and a place next to it comes before any other.
+    Every step is an aggregate per bin, per pair or per read, in any layout and for clouds of any size.
     """
-    code = cloud.groupby(["ident", "mate"], sort=False).ngroup().to_numpy()
-    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-    first, size = starts.tolist(), np.diff(np.r_[starts, len(cloud)]).tolist()
-    place, pos, rev = (cloud[c].tolist() for c in ("bin", "pos", "rev"))
-    score = (cloud["score"] / DENSITY_SCORE_SCALE).tolist()
-    chosen = [max(range(f, f + n), key=score.__getitem__) for f, n in zip(first, size)]
-
-    reads = list(zip(cloud["ident"].to_numpy()[starts].tolist(), cloud["mate"].to_numpy()[starts].tolist()))
-    number = {read: r for r, read in enumerate(reads)}
-    partner = [number.get((ident, 1 - mate), -1) for ident, mate in reads]
-    load = [0] * (max(place) + 1)
-    for c in chosen:
-        load[place[c]] += 1
-    last = len(log_p) - 1
-
-    def density(n: int) -> float:
-        return log_p[n] if n <= last else log_p[last] - (n - last) * math.log(2.0)
-
-    def paired(a: int, b: int) -> bool:
-        gap = pos[a] - pos[b] if rev[a] else pos[b] - pos[a]
-        return rev[a] != rev[b] and 0 <= gap <= INSERT_MAX
-
-    def gain(moves) -> float:
-        """Exact change of the objective over the distinct bins the moves touch."""
-        shift: dict[int, int] = {}
-        total = 0.0
-        for old, new in moves:
-            shift[place[old]] = shift.get(place[old], 0) - 1
-            shift[place[new]] = shift.get(place[new], 0) + 1
-            total += score[new] - score[old]
-        return total + sum(density(load[b] + d) - density(load[b]) for b, d in shift.items() if d)
-
-    movable = [r for r, n in enumerate(size) if n > 1]
-    draw = _uniform(seed)
-    rejected = 0
-    for step in range(ANNEAL_STEPS):
-        temperature = 10.0 ** (ANNEAL_LOG10_T0 + (ANNEAL_LOG10_T1 - ANNEAL_LOG10_T0) * step / ANNEAL_STEPS)
-        r = movable[int(next(draw) * len(movable))]
-        old, p = chosen[r], partner[r]
-        # any other candidate of the read, with equal chances
-        new = first[r] + (old - first[r] + 1 + int(next(draw) * (size[r] - 1))) % size[r]
-        moves, forced = [(old, new)], False
-        if p >= 0:
-            was, now = paired(old, chosen[p]), paired(new, chosen[p])
-            forced = now and not was
-            if was and not now and size[p] > 1:
-                fits = next((c for c in range(first[p], first[p] + size[p]) if paired(new, c)), None)
-                if fits is not None:
-                    moves.append((chosen[p], fits))
-        change = gain(moves)
-        if forced or change > 0 or math.exp(max(change / temperature, -700.0)) >= next(draw):
-            for source, target in moves:
-                load[place[source]] -= 1
-                load[place[target]] += 1
-            chosen[r] = new
-            if len(moves) > 1:
-                chosen[p] = moves[1][1]
-        else:
-            rejected += 1
-            if rejected >= ANNEAL_MAX_REJECTED:
-                break
-    active = np.zeros(len(cloud), dtype=bool)
-    active[chosen] = True
-    return active
-
-
-def optimise_density(layout, clouded: DataFrame, platform: Platform) -> DataFrame:
-    """``clouded`` with ``active`` set on exactly one candidate per read of every annealed cloud."""
-    log_p = [math.log(p) for p in platform.density_probs]
-    marked = layout.settle(prefilter(layout, clouded))
-    chosen = F.col("anneal") & F.col("active")
-    seed = F.xxhash64(*CLOUD).alias("seed")
-    bin_of = F.floor((F.col("pos") - F.col("_lo")) / DENSITY_BIN).alias("bin")
-    work = marked.where(chosen).select(*CLOUD, "ident", "mate", "bwa_rank", "pos", "rev", "score", bin_of, seed)
-
-    def solve(cloud: pd.DataFrame) -> pd.DataFrame:
-        cloud = cloud.sort_values(["ident", "mate", "pos", "bwa_rank"], ignore_index=True)
-        keep = _anneal_cloud(cloud, log_p, int(cloud["seed"].iloc[0]) & 0x7FFFFFFF)
-        return cloud.loc[~keep, ["bc", "ident", "mate", "bwa_rank"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in work.schema}
-    key = ["bc", "ident", "mate", "bwa_rank"]
-    schema = ", ".join(f"{c} {kinds[c]}" for c in key)
-    lost = work.groupBy(*CLOUD).applyInPandas(solve, schema).withColumn("_lost", F.lit(True))
-    # (bc, ident, mate, bwa_rank) is unique: the join has no heavy key
-    joined = marked.join(lost, key, "left")
-    active = F.col("active") & F.col("_lost").isNull()
-    return joined.withColumn("active", active).drop("_lost", "anneal", "_lo")
+    marked = prefilter(layout, clouded)
+    ours = F.col("anneal") & F.col("active")
+    best = F.max(F.when(ours, F.struct(
+        F.floor(F.col("score") * 1e9 + 0.5).cast("long").alias("b"), (-F.col("pos")).alias("d"), (-F.col("bwa_rank")).alias("e"))))
+    own = F.struct(
+        F.floor(F.col("score") * 1e9 + 0.5).cast("long").alias("b"), (-F.col("pos")).alias("d"), (-F.col("bwa_rank")).alias("e"))
+    df = marked.withColumn("_bin", F.floor((F.col("pos") - F.col("_lo")) / DENSITY_BIN))
+    df = layout.read_facts(df, IN_CLOUD, {"_best": best})
+    df = df.withColumn("_chosen", F.coalesce(ours & (own == F.col("_best")), F.lit(False))).drop("_best")
+    pair = [*CLOUD, "ident"]
+    for half in [0, 1] * rounds:
+        place = F.struct("pos", "rev")
+        df = layout.facts(df, [*CLOUD, "_bin"], {"_load": F.count(F.when(F.col("_chosen"), F.lit(1)))})
+        df = layout.read_facts(df, pair, {
+            f"_of{m}": F.max(F.when(F.col("_chosen") & (F.col("mate") == m), place)) for m in (0, 1)})
+        df = layout.read_facts(df, IN_CLOUD, {"_own": F.max(F.when(F.col("_chosen"), F.col("_bin")))})
+        moving = ours & (F.pmod(F.col("ident") + F.col("mate"), F.lit(2)) == half)
+        df = df.withColumn("_rank", _ranked(df, platform, moving))
+        df = layout.read_facts(df, IN_CLOUD, {"_best": F.max("_rank")})
+        moved = F.coalesce(F.col("_rank") == F.col("_best"), F.lit(False))
+        df = df.withColumn("_chosen", F.when(moving, moved).otherwise(F.col("_chosen")))
+        df = df.drop("_load", "_of0", "_of1", "_own", "_rank", "_best")
+    active = F.when(ours, F.col("_chosen")).otherwise(F.col("active"))
+    return df.withColumn("active", active).drop("_chosen", "_bin", "anneal", "_lo")

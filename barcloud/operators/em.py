@@ -125,9 +125,9 @@ def _half_step(layout, df: DataFrame, moves: Column, last: bool) -> DataFrame:
     }).drop(*facts, "_partner", "_p")
 
 
-def em(layout, df: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
-    """gamma after ``rounds`` sweeps for barcodes with enough pairs."""
-    df = df.withColumn("em", F.col("n_pairs") >= EM_MIN_PAIRS)
+def em(layout, df: DataFrame, rounds: int = EM_ROUNDS, min_pairs: int = EM_MIN_PAIRS) -> DataFrame:
+    """gamma after ``rounds`` sweeps for barcodes with ``min_pairs`` read pairs or more."""
+    df = df.withColumn("em", F.col("n_pairs") >= min_pairs)
     active = F.when(F.col("active"), F.col("gamma")).otherwise(F.lit(0.0))
     for r in range(rounds):
         last = r + 1 == rounds
@@ -146,18 +146,18 @@ _WORKING = [
 ]
 
 
-def _sweep(layout, df: DataFrame, rounds: int) -> DataFrame:
-    return em(layout, with_leader(layout, cloud_facts(layout, initialise(layout, df))), rounds)
+def _sweep(layout, df: DataFrame, rounds: int, min_pairs: int) -> DataFrame:
+    return em(layout, with_leader(layout, cloud_facts(layout, initialise(layout, df))), rounds, min_pairs)
 
 
-def posterior(layout, clouded: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
+def posterior(layout, clouded: DataFrame, rounds: int = EM_ROUNDS, min_pairs: int = EM_MIN_PAIRS) -> DataFrame:
     """Clouded candidates -> the same rows with gamma and bad."""
     rest = [c for c in clouded.columns if c not in _WORKING]
     if layout.reshuffles:
         # every round shuffles its rows: sweep over the narrow columns, then join back on the unique key
         wide = layout.settle(clouded)
-        found = _sweep(layout, wide.select(*_WORKING), rounds).select(*CANDIDATE, "gamma", "bad")
+        found = _sweep(layout, wide.select(*_WORKING), rounds, min_pairs).select(*CANDIDATE, "gamma", "bad")
         return wide.join(found, CANDIDATE).select(*_WORKING, *rest, "bad", "gamma")
     packed = clouded.select(*_WORKING, F.struct(*rest).alias("rest")) if rest else clouded
-    swept = _sweep(layout, packed, rounds)
+    swept = _sweep(layout, packed, rounds, min_pairs)
     return swept.select(*_WORKING, *[F.col(f"rest.{c}").alias(c) for c in rest], "bad", "gamma")

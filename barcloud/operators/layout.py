@@ -85,8 +85,11 @@ class BarcodeLocal(PairWindows):
     def place(self, df: DataFrame) -> DataFrame:
         return df.repartition(_tasks(df, self.policy, self.total_rows), "bc")
 
-    def pair_counts(self, df: DataFrame) -> DataFrame:
-        """Add n_pairs, the read pairs of the barcode."""
+    def pair_counts(self, df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Add n_pairs, the read pairs of the barcode: as ``known`` (bc, n_pairs) has it, else those with a candidate."""
+        if known is not None:
+            # barcodes are light here: the rows keep their place and only ``known`` moves
+            return df.join(known, "bc", "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
         pair = Window.partitionBy("bc", "ident").orderBy("mate", "bwa_rank")
         first = F.when(F.row_number().over(pair) == 1, F.lit(1)).otherwise(F.lit(0))
         return df.withColumn("_first", first).withColumn(
@@ -123,9 +126,11 @@ class Spread(PairWindows):
     def place(self, df: DataFrame) -> DataFrame:
         return df.repartition(_tasks(df, self.policy, self.total_rows), "bc", "ident")
 
-    def pair_counts(self, df: DataFrame) -> DataFrame:
+    def pair_counts(self, df: DataFrame, known: DataFrame | None = None) -> DataFrame:
         pairs = df.groupBy("bc", "ident").agg(F.count("*").alias("_n"))
         counts = pairs.groupBy("bc").agg(F.count("*").alias("n_pairs"), F.sum("_n").alias("_rows"))
+        if known is not None:
+            counts = counts.drop("n_pairs").join(known, "bc", "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
         return attach_by_key(df, counts, ["bc"], F.col("_rows") > self.threshold, ["ident"]).drop("_rows")
 
     def build_clouds(self, df: DataFrame, dist_thresh: int) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barcloud.config import DEFAULT_PLATFORM, DEFAULT_POLICY, EM_ROUNDS, Platform, SkewPolicy, get_platform
+from barcloud.config import DEFAULT_PLATFORM, DEFAULT_POLICY, EM_MIN_PAIRS, EM_ROUNDS, Platform, SkewPolicy, get_platform
 from barcloud.operators import density as D
 from barcloud.operators.candidates import prepare
 from barcloud.operators.em import initialise, posterior, with_support
@@ -26,7 +26,9 @@ def plan_layouts(candidates: DataFrame, policy: SkewPolicy = DEFAULT_POLICY, lay
     """
     pairs = candidates.groupBy("bc", "ident").agg(F.count("*").alias("n"))
     sizes = pairs.groupBy("bc").agg(F.sum("n").alias("n"), F.max("n").alias("pair"))
-    n, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    n, largest, missing = sizes.agg(F.sum("n"), F.max("n"), F.max(F.when(F.col("bc").isNull(), F.col("n")))).first()
+    if missing:
+        raise ValueError(f"{missing} candidates have no barcode; align reads without barcode separately")
     total = n or 0
     kinds = {kind: make(policy, total) for kind, make in _LAYOUTS.items()}
     if layout != "auto":
@@ -52,8 +54,10 @@ def _over_layouts(candidates: DataFrame, policy, layout, step) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _clouded(lay, rows: DataFrame, platform: Platform, compat: bool, density: bool) -> DataFrame:
-    placed = lay.pair_counts(lay.place(rows))
+def _clouded(
+    lay, rows: DataFrame, platform: Platform, compat: bool, density: bool, pair_counts: DataFrame | None = None,
+) -> DataFrame:
+    placed = lay.pair_counts(lay.place(rows), pair_counts)
     clouded = lay.build_clouds(prepare(placed, platform, compat, lay.read_facts), platform.dist_thresh)
     return D.optimise_density(lay, clouded, platform) if density else clouded
 
@@ -99,26 +103,35 @@ def density_decisions(
 def posteriors(
     candidates: DataFrame, platform: Platform | str = DEFAULT_PLATFORM, rounds: int = EM_ROUNDS,
     compat: bool = False, density: bool = False, policy: SkewPolicy = DEFAULT_POLICY, layout: str = "auto",
+    pair_counts: DataFrame | None = None, min_pairs: int = EM_MIN_PAIRS,
 ) -> DataFrame:
-    """Admitted candidates with gamma, cloud and bad."""
+    """Admitted candidates with gamma, cloud and bad; see ``resolve`` for the last two options."""
     platform = get_platform(platform) if isinstance(platform, str) else platform
-    step = lambda lay, rows: posterior(lay, _clouded(lay, rows, platform, compat, density), rounds)
+    step = lambda lay, rows: posterior(lay, _clouded(lay, rows, platform, compat, density, pair_counts), rounds, min_pairs)
     return _over_layouts(candidates, policy, layout, step)
 
 
 def resolve(
     candidates: DataFrame, platform: Platform | str = DEFAULT_PLATFORM, compat: bool = False,
     density: bool = False, policy: SkewPolicy = DEFAULT_POLICY, layout: str = "auto",
+    pair_counts: DataFrame | None = None, min_pairs: int = EM_MIN_PAIRS,
 ) -> DataFrame:
     """One row per aligned read: best candidate, gamma, alt, mate_aln, duplicate.
 
-    ``mi`` numbers the clouds of a barcode, so (BX, MI) names a molecule.
+    ``mi`` numbers the clouds of a barcode, so (BX, MI) names a molecule.  Expectation-maximisation runs for
+    barcodes with ``min_pairs`` read pairs or more: by ``pair_counts`` (bc, n_pairs), which counts all pairs
+    of the reads (``read_pair_counts``), or, without it, by the pairs that have a candidate.
     """
     platform = get_platform(platform) if isinstance(platform, str) else platform
 
     def step(lay, rows):
-        scored = posterior(lay, _clouded(lay, rows, platform, compat, density))
+        scored = posterior(lay, _clouded(lay, rows, platform, compat, density, pair_counts), min_pairs=min_pairs)
         selected = lay.ordinal(with_mates(best_alignments(lay, scored)), "mi")
         return mark_duplicates(lay, selected, platform)
 
     return _over_layouts(candidates, policy, layout, step)
+
+
+def read_pair_counts(reads: DataFrame) -> DataFrame:
+    """(bc, n_pairs): read pairs per barcode, aligned or not."""
+    return reads.where(F.col("bc").isNotNull()).groupBy("bc").agg(F.count("*").alias("n_pairs"))

@@ -297,9 +297,19 @@ def cloud_weight_init(spark, sf):
 
 @query
 def em_gate(spark, sf):
-    """Barcodes with enough read pairs for expectation-maximisation."""
-    pairs = _cands(spark, sf).groupBy("bc").agg(F.countDistinct("ident").alias("n_pairs"))
-    return pairs.withColumn("em", F.col("n_pairs") >= 30)
+    """Barcodes with enough read pairs, aligned or not, for expectation-maximisation."""
+    return _pair_counts(spark, sf).withColumn("em", F.col("n_pairs") >= 30)
+
+
+def _pair_counts(spark, sf):
+    """Read pairs per barcode of the reads lens: small barcodes have unaligned pairs too, up to 29, 30 or 31."""
+    key = F.col("l_orderkey")
+    bc = F.when(key % 11 == 0, 1000 + key % 509).otherwise(key % 97)
+    aligned = lens.table(spark, sf, "lineitem").select(bc.alias("bc"), key.alias("ident")).distinct()
+    sizes = aligned.groupBy("bc").agg(F.count("*").alias("n"))
+    more = F.when(F.col("bc") >= 1000, 29 + F.col("bc") % 3 - F.col("n")).otherwise(0)
+    unaligned = sizes.where(more > 0).select("bc", F.explode(F.sequence(F.lit(-1).cast("long"), -more, F.lit(-1).cast("long"))).alias("ident"))
+    return align.read_pair_counts(aligned.unionByName(unaligned))
 
 
 @query
@@ -320,7 +330,7 @@ def mate_pair_score(spark, sf):
 
 
 def _posterior(spark, sf, rounds, layout="auto"):
-    df = align.posteriors(_cands(spark, sf), rounds=rounds, layout=layout)
+    df = align.posteriors(_cands(spark, sf), rounds=rounds, layout=layout, pair_counts=_pair_counts(spark, sf))
     return df.select(*CAND_KEY, "chrom", "cloud", "bad", F.round("gamma", 6).alias("gamma"))
 
 
@@ -347,7 +357,7 @@ def em_full_spread(spark, sf):
 
 
 def _resolved(spark, sf, layout="auto"):
-    return align.resolve(_cands(spark, sf), layout=layout)
+    return align.resolve(_cands(spark, sf), layout=layout, pair_counts=_pair_counts(spark, sf))
 
 
 READ = ["bc", "ident", "mate"]
@@ -392,12 +402,14 @@ def contigs(spark: SparkSession) -> DataFrame:
 
 
 def sam_reads(spark, sf):
-    """One read pair of 100 bases per identifier of the candidates lens."""
-    idents = lens.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("ident")).distinct()
+    """One read pair of 100 bases per barcode and identifier of the candidates lens."""
+    key = F.col("l_orderkey")
+    bc = F.when(key % 11 == 0, 1000 + key % 509).otherwise(key % 97)
+    idents = lens.table(spark, sf, "lineitem").select(bc.alias("bc"), key.alias("ident")).distinct()
     base = lambda k: F.substring(F.lit("ACGT"), ((F.col("ident") + k) % 4 + 1).cast("int"), F.lit(1))
     unit = F.concat(*[base(k) for k in (0, 1, 3, 2, 0)])
     return idents.select(
-        "ident", F.repeat(unit, 20).alias("r1"), F.repeat(F.lit("FFFF:"), 20).alias("q1"),
+        "bc", "ident", F.repeat(unit, 20).alias("r1"), F.repeat(F.lit("FFFF:"), 20).alias("q1"),
         F.repeat(F.reverse(unit), 20).alias("r2"), F.repeat(F.lit("IIIIA"), 20).alias("q2"))
 
 
@@ -407,6 +419,18 @@ def sam_lines(spark, sf):
     return records.select("bc", "ident", "mate", sam.sam_line(records).alias("line"))
 
 
+@query
+def sam_lines_shared_names(spark, sf):
+    """SAM lines where every read name occurs under two barcodes, with other bases."""
+    twice = lambda df: df.unionByName(df.withColumn("bc", F.col("bc") + 5000))
+    reads = sam_reads(spark, sf)
+    other = reads.select((F.col("bc") + 5000).alias("bc"), "ident", F.col("r2").alias("r1"), F.col("q2").alias("q1"),
+                         F.col("r1").alias("r2"), F.col("q1").alias("q2"))
+    selected = align.resolve(twice(_cands(spark, sf)), pair_counts=twice(_pair_counts(spark, sf)))
+    records = sam.sam_records(selected, reads.unionByName(other), contigs(spark), P10X, read_group="@RG\tID:rg1\tSM:s1")
+    return records.select("bc", "ident", "mate", sam.sam_line(records).alias("line"))
+
+
 @query
 def density_bins(spark, sf):
     return density.density_bins(_clouded(spark, sf))
@@ -427,10 +451,22 @@ def density_prefilter(spark, sf):
 
 @query
 def density_anneal(spark, sf):
-    """Active candidates after density optimisation (seeded random walk)."""
+    """Active candidates after density optimisation."""
     return align.density_decisions(_cands(spark, sf)).select(*CAND_KEY, "active")
 
 
+@query
+def density_anneal_spread(spark, sf):
+    return align.density_decisions(_cands(spark, sf), layout="spread").select(*CAND_KEY, "active")
+
+
+@query
+def best_alignment_density(spark, sf):
+    """Best alignments with the density optimisation before expectation-maximisation."""
+    df = align.resolve(_cands(spark, sf), density=True, pair_counts=_pair_counts(spark, sf))
+    return df.select(*READ, "bwa_rank", "chrom", "pos", F.round("gamma", 6).alias("gamma"))
+
+
 @query
 def barcode_runs(spark, sf):
     """Runs of consecutive reads with equal status, in read order."""

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import math
 
-from barcloud.config import EM_ROUNDS, get_platform
+from barcloud.config import DENSITY_ROUNDS, EM_ROUNDS, get_platform
 from barcloud.plans.catalog import N_BUCKETS
 from barcloud.plans.lens import _INSERT, CANDIDATES_SQL, READS_SQL
 
 _P = get_platform("10x")
+# read pairs of a barcode: those of the candidates lens, and unaligned ones that fill small barcodes up
+_PAIRS = "case when bc >= 1000 then greatest(count(distinct ident), 29 + bc % 3) else count(distinct ident) end"
 
 
 def _with(ctes: list[tuple[str, str]], final: str) -> str:
@@ -212,9 +214,10 @@ def _softmax(source: str, logit: str, extra: str = "*") -> str:
         window r as (partition by bc, ident, mate)"""
 
 
-def _initial() -> list[tuple[str, str]]:
-    return _clouded() + [
-        ("cn", "select *, count(*) over (partition by bc, ident, mate) as nc from cl"),
+def _initial(density: bool = False) -> list[tuple[str, str]]:
+    before, source = (_annealed(), "dens") if density else (_clouded(), "(select *, true as active from cl)")
+    return before + [
+        ("cn", f"select *, count(*) over (partition by bc, ident, mate) as nc from {source}"),
         ("ini", "select * rename (gamma_new as gamma) from (" + _softmax("cn", "score") + ") z"),
     ]
 
@@ -230,8 +233,8 @@ def _mate_term(gamma_table: str) -> str:
         group by 1, 2, 3, 4"""
 
 
-def _em(rounds: int) -> list[tuple[str, str]]:
-    ctes = _initial() + [
+def _em(rounds: int, density: bool = False) -> list[tuple[str, str]]:
+    ctes = _initial(density) + [
         ("rnk", """select *, row_number() over (partition by bc, chrom, cloud, ident, mate order by pos, bwa_rank) as seen,
             {'a': pos, 'b': ident, 'c': mate, 'd': bwa_rank} as place from ini"""),
         ("bad", "select bc, chrom, cloud, min(place) as hit from rnk where seen = 2 group by 1, 2, 3"),
@@ -240,14 +243,15 @@ def _em(rounds: int) -> list[tuple[str, str]]:
               else {'g': gpos - pos + r.cloud, 'l': 0, 'p': pos, 'm': mate, 'r': bwa_rank} end as entry
             from rnk r left join bad b on r.bc = b.bc and r.chrom = b.chrom and r.cloud = b.cloud"""),
         ("lead", "select bc, ident, arg_min(mate, entry) as follower from ord group by 1, 2"),
-        ("gate", "select bc, count(distinct ident) >= 30 as em from lens group by 1"),
+        ("gate", f"select bc, {_PAIRS} >= 30 as em from lens group by 1"),
         ("g0", "select o.* exclude (entry, place, seen), l.follower <> o.mate as leads, g.em from ord o "
                "join lead l using (bc, ident) join gate g using (bc)"),
     ]
     current = "g0"
     for r in range(rounds):
         weight = f"w{r}"
-        ctes.append((weight, f"select bc, chrom, cloud, sum(gamma) as weight from {current} group by 1, 2, 3"))
+        summed = "case when active then gamma else 0 end" if r else "gamma"
+        ctes.append((weight, f"select bc, chrom, cloud, sum({summed}) as weight from {current} group by 1, 2, 3"))
         for half, who in (("a", "leads"), ("b", "not leads")):
             terms, logits, soft, step = (f"{x}{r}{half}" for x in ("t", "l", "s", "g"))
             ctes += [
@@ -262,12 +266,12 @@ def _em(rounds: int) -> list[tuple[str, str]]:
     return ctes
 
 
-def _selected() -> list[tuple[str, str]]:
-    return _em(EM_ROUNDS) + [
-        ("rk", "select *, row_number() over w as rn, lead(gamma) over w as g2, lead(chrom) over w as alt_chrom, "
+def _selected(density: bool = False) -> list[tuple[str, str]]:
+    return _em(EM_ROUNDS, density) + [
+        ("rk", "select *, row_number() over w as rn, lead(case when active then gamma else -1 end) over w as g2, lead(chrom) over w as alt_chrom, "
                "lead(pos) over w as alt_pos, lead(rev) over w as alt_rev, lead(cigar_text) over w as alt_cigar, "
                "lead(edit_dist) over w as alt_edit_dist from post "
-               "window w as (partition by bc, ident, mate order by floor(gamma * 1e9 + 0.5) desc, gpos, bwa_rank)"),
+               "window w as (partition by bc, ident, mate order by active desc, floor(gamma * 1e9 + 0.5) desc, gpos, bwa_rank)"),
         ("best", "select *, gamma <= 0.9 and g2 > 0 as has_alt from rk where rn = 1"),
         ("pairs", """select b.*, m.chrom as mchrom, m.pos as mpos, m.rev as mrev, m.m_len as mlen, m.bc is not null as mapped,
               dense_rank() over (partition by b.bc order by b.chrom, b.cloud) as mi
@@ -285,7 +289,7 @@ def _selected() -> list[tuple[str, str]]:
     ]
 
 
-def _sam() -> str:
+def _sam(shared: bool = False) -> str:
     seq = lambda unit: f"repeat({unit}, 20)"
     unit = " || ".join(f"substr('ACGT', (ident + {k}) % 4 + 1, 1)" for k in (0, 1, 3, 2, 0))
     tab = "chr(9)"
@@ -296,6 +300,14 @@ def _sam() -> str:
               case when mate = 0 then r2 else r1 end as os, case when mate = 0 then q2 else q1 end as oq,
               {_unpack('bc')} as code from fl join rd using (ident)"""),
     ]
+    if shared:  # the same alignments under a second barcode, whose reads have the mates' bases exchanged
+        ctes += [
+            ("j1", "select * from j"),
+            ("j2", f"""select * exclude (bc, code, s, q, os, oq), bc + 5000 as bc, {_unpack('(bc + 5000)')} as code,
+                os as s, oq as q, s as os, q as oq from j1"""),
+            ("jj", "select * from j1 union all by name select * from j2"),
+        ]
+    lines = "jj" if shared else "j"
     rg = f"{tab} || 'RG:Z:rg1'"
     mapped = f""" || {tab} || """.join([
         "ident", "flag", "'chr' || (chrom + 1)", "pos", "mapq", "cigar_text",
@@ -310,22 +322,60 @@ def _sam() -> str:
     missing = f" || {tab} || ".join([
         "ident", "(5 + rev * 32 + case when mate = 0 then 128 else 64 end)", "'*'", "0", "0", "'*'",
         "'chr' || (chrom + 1)", "pos", "0", "os", "oq", "'BX:Z:' || code || '-1'"])
-    return _with(ctes, f"select bc, ident, mate, {mapped} || {rg} || {xa} as line from j "
-                       f"union all select bc, ident, 1 - mate, {missing} || {rg} as line from j where not mapped")
+    return _with(ctes, f"select bc, ident, mate, {mapped} || {rg} || {xa} as line from {lines} "
+                       f"union all select bc, ident, 1 - mate, {missing} || {rg} as line from {lines} where not mapped")
 
 
-def _prefilter() -> str:
-    ctes = _clouded() + [
+def _prefiltered() -> list[tuple[str, str]]:
+    return _clouded() + [
         ("a1", "select *, min(clip_edit_dist) over (partition by bc, chrom, cloud, ident, mate) as least_, "
                "count(*) over (partition by bc, chrom, cloud) as recs, max(copies) over (partition by bc, chrom, cloud) as most from cl"),
-        ("a2", "select *, most > 1 and recs between 6 and 49999 as elig from a1"),
+        ("a2", "select *, most > 1 and recs >= 6 as elig from a1"),
         ("a3", "select *, not (elig and clip_edit_dist > least_ + 5) as active from a2"),
         ("a4", "select *, case when active then pos end as kp, "
                "count(case when active then 1 end) over (partition by bc, chrom, cloud, ident, mate) as choices from a3"),
-        ("a5", "select *, count(kp) over c as left_, max(choices) over c as mostc, (max(kp) over c - min(kp) over c) // 1000 + 1 as bins "
+        ("a5", "select *, count(kp) over c as left_, max(choices) over c as mostc, min(kp) over c as lo "
                "from a4 window c as (partition by bc, chrom, cloud)"),
     ]
-    return _with(ctes, f"select {_KEY}, active, elig and left_ >= 6 and mostc > 1 and bins < 1000 as anneal from a5")
+
+
+def _prefilter() -> str:
+    return _with(_prefiltered(), f"select {_KEY}, active, elig and left_ >= 6 and mostc > 1 as anneal from a5")
+
+
+def _log_density(n: str) -> str:
+    dens = ", ".join(f"{math.log(p)!r}::double" for p in _P.density_probs)
+    return (f"case when {n} < 4 then list_extract([{dens}], cast({n} + 1 as integer)) "
+            f"else {math.log(_P.density_probs[-1])!r}::double - ({n} - 3) * {math.log(2.0)!r}::double end")
+
+
+def _annealed() -> list[tuple[str, str]]:
+    """The density ascent, half-step by half-step; ``dens`` has the candidates with ``active``."""
+    read = "bc, chrom, cloud, ident, mate"
+    first = "floor(score * 1e9 + 0.5) desc, pos, bwa_rank"
+    ctes = _prefiltered() + [
+        ("den_b0", "select *, coalesce(active and elig and left_ >= 6 and mostc > 1, false) as ours, (pos - lo) // 1000 as bin from a5"),
+        ("den_c0", f"select *, ours and row_number() over (partition by {read}, ours order by {first}) = 1 as chosen from den_b0"),
+    ]
+    now = "den_c0"
+    for k, half in enumerate([0, 1] * DENSITY_ROUNDS):
+        ctes += [
+            (f"den_d{k}", f"""select *, count(case when chosen then 1 end) over (partition by bc, chrom, cloud, bin) as n_load,
+                max(case when chosen and mate = 0 then pos end) over w as p0, max(case when chosen and mate = 0 then rev end) over w as v0,
+                max(case when chosen and mate = 1 then pos end) over w as p1, max(case when chosen and mate = 1 then rev end) over w as v1,
+                max(case when chosen then bin end) over (partition by {read}) as own
+                from {now} window w as (partition by bc, chrom, cloud, ident)"""),
+            (f"den_e{k}", f"""select *, case when mate = 0 then p1 else p0 end as mp, case when mate = 0 then v1 else v0 end as mv,
+                n_load - case when bin = own then 1 else 0 end as oth from den_d{k}"""),
+            (f"den_f{k}", f"""select *, coalesce(rev <> mv and (case when rev = 1 then pos - mp else mp - pos end) between 0 and 750, false) as paired,
+                cast(floor((score / 20.0 + ({_log_density('(oth + 1)')}) - ({_log_density('oth')})) * 1e9 + 0.5) as bigint) as worth from den_e{k}"""),
+            (f"den_g{k}", f"""select * exclude (chosen, n_load, p0, v0, p1, v1, own, mp, mv, oth, paired, worth),
+                case when ours and (ident + mate) % 2 = {half}
+                  then row_number() over (partition by {read}, ours order by paired desc, worth desc, chosen desc, pos, bwa_rank) = 1
+                  else chosen end as chosen from den_f{k}"""),
+        ]
+        now = f"den_g{k}"
+    return ctes + [("dens", f"select * exclude (active), case when ours then chosen else active end as active from {now}")]
 
 
 def _density(final: str) -> str:
@@ -344,9 +394,7 @@ def _compat() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    dens = ", ".join(f"{math.log(p)!r}::double" for p in _P.density_probs)
-    logs = (f"case when n < 4 then list_extract([{dens}], cast(n + 1 as integer)) "
-            f"else {math.log(_P.density_probs[-1])!r}::double - (n - 3) * {math.log(2.0)!r}::double end")
+    logs = _log_density("n")
     post = f"select {_KEY}, chrom, cloud, bad, round(gamma, 6) as gamma from post"
     cloud_rows = f"select {_KEY}, chrom, pos, cloud from cl"
     read = "bc, ident, mate"
@@ -391,7 +439,7 @@ def oracle_sql() -> dict[str, str]:
         "cloud_collisions": _with(_clouded(), "select bc, chrom, cloud, ident, mate, cast(count(*) as bigint) as n from cl group by 1, 2, 3, 4, 5 having count(*) > 1"),
         "softmax_init": _with(_initial(), f"select {_KEY}, round(gamma, 9) as gamma from ini"),
         "cloud_weight_init": _with(_initial(), "select bc, chrom, cloud, round(sum(gamma), 6) as weight from ini group by 1, 2, 3"),
-        "em_gate": _with(_scored(), "select bc, cast(count(distinct ident) as bigint) as n_pairs, count(distinct ident) >= 30 as em from lens group by 1"),
+        "em_gate": _with(_scored(), f"select bc, cast({_PAIRS} as bigint) as n_pairs, {_PAIRS} >= 30 as em from lens group by 1"),
         "mate_lookup": _with(_admitted() + [("c", f"select {read}, cast(count(*) as bigint) as n_cands from adm group by 1, 2, 3")],
                              "select a.*, b.n_cands as mate_cands from c a left join c b on a.bc = b.bc and a.ident = b.ident and a.mate <> b.mate"),
         "mate_pair_score": _with(_initial() + [("t", _mate_term("ini"))],
@@ -406,9 +454,13 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_mark_spread": _with(_selected(), f"select {read}, cast(mi as integer) as mi, duplicate from sel"),
         "sam_flags": _with(_selected(), f"select {read}, flag, proper, mapq, tlen from fl"),
         "sam_lines": _sam(),
+        "sam_lines_shared_names": _sam(shared=True),
         "density_bins": _density("select * from bins"),
         "density_scores": _density(f"select bc, chrom, cloud, bin, round({logs}, 9) as log_density from bins"),
         "density_prefilter": _prefilter(),
+        "best_alignment_density": _with(_selected(True), f"select {read}, bwa_rank, chrom, pos, round(gamma, 6) as gamma from sel"),
+        "density_anneal": _with(_annealed(), f"select {_KEY}, active from dens"),
+        "density_anneal_spread": _with(_annealed(), f"select {_KEY}, active from dens"),
         "barcode_runs": """select min(o_orderkey) as run_start, o_orderstatus, cast(count(*) as bigint) as n
             from (select *, row_number() over (order by o_orderkey) - row_number() over (partition by o_orderstatus order by o_orderkey) as grp from orders) z
             group by o_orderstatus, grp""",

@@ -34,9 +34,11 @@ def read_contigs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode_contigs(df: DataFrame, contigs: DataFrame, column: str, to: str) -> DataFrame:
-    """Replace contig names by codes; exact match."""
+    """Replace contig names by codes; exact match, and an unknown name is an error."""
     names = contigs.select(F.col("name").alias(column), F.col("chrom_id").alias(to))
-    return df.join(names, column, "left").drop(column)
+    fail = F.raise_error(F.concat(F.lit("unknown contig "), F.col(column))).cast(contigs.schema["chrom_id"].dataType)
+    missing = F.col(to).isNull() & F.col(column).isNotNull()
+    return df.join(names, column, "left").withColumn(to, F.when(missing, fail).otherwise(F.col(to))).drop(column)
 
 
 def read_single_line(spark: SparkSession, path, platform: Platform) -> DataFrame:

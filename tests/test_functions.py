@@ -106,12 +106,3 @@ def test_general_format(spark, value):
 def test_density_and_strand(spark):
     assert one(spark, A.log_density(F.lit(0), P10X), A.log_density(F.lit(4), P10X)) == pytest.approx((math.log(0.6), -5.298317), abs=1e-6)
     assert one(spark, B.reverse_complement(F.lit("AACGTN"))) == ("NACGTT",)
-
-
-def test_single_end_mapq(spark):
-    args = dict(score=100, sub_score=0, sub_n=0, length=100, frac_rep=0.0)
-    value = one(spark, A.single_end_mapq(**{k: F.lit(v) for k, v in args.items()}))[0]
-    assert value == int(6.02 * 81 * (3 / math.log(100)) ** 2 + 0.499)
-    args["score"], args["length"] = 140, 140
-    assert one(spark, A.single_end_mapq(**{k: F.lit(v) for k, v in args.items()})) == (min(254, int(6.02 * 121 * (3 / math.log(140)) ** 2 + 0.499)),)
-    assert one(spark, A.single_end_mapq(*[F.lit(v) for v in (50, 60, 0, 100, 0.0)])) == (0,)
