@@ -37,8 +37,8 @@ def build_parser() -> argparse.ArgumentParser:
     pre = modes.add_parser("preproc", help="correct barcodes and shard reads", add_help=False)
     pre.add_argument("--help", action="help")
     pre.add_argument("-w", dest="whitelist")
-    pre.add_argument("-n", dest="buckets", type=int, default=500, help="number of buckets [500]")
-    pre.add_argument("-h", dest="double", action="store_true", help="apply Hamming-2 correction")
+    pre.add_argument("-n", dest="buckets", type=int, default=500, help="how many buckets (500)")
+    pre.add_argument("-h", dest="double", action="store_true", help="correct two substitutions too")
     pre.add_argument("-o", dest="out", required=True, help="output directory")
     pre.add_argument("-b", dest="bx", action="store_true", help="BX:Z-tagged FASTQ output")
     pre.add_argument("-p", dest="haplotag", action="store_true")
@@ -54,35 +54,35 @@ def build_parser() -> argparse.ArgumentParser:
     al.add_argument("-r", dest="reference", required=True, help="reference FASTA; its .fai index is read")
     al.add_argument("-o", dest="out", required=True)
     al.add_argument("-R", dest="read_group")
-    al.add_argument("-d", dest="density", action="store_true", help="read density optimisation")
+    al.add_argument("-d", dest="density", action="store_true", help="optimise the density of reads in clouds")
     al.add_argument("-p", dest="platform", default=DEFAULT_PLATFORM, choices=sorted(PLATFORMS))
     al.add_argument("-i", dest="index", default="1", help="index after the BX tag [1]")
     al.add_argument("-t", dest="threads", type=int, default=1)
     al.add_argument("--candidates", required=True, help="Parquet table of candidate alignments")
     al.add_argument("inputs", nargs="*")
 
-    modes.add_parser("help", help="print this help message")
+    modes.add_parser("help", help="show the options of all modes")
     return parser
 
 
 def validate(parser: argparse.ArgumentParser, args) -> None:
     if args.mode in ("count", "preproc") and not args.whitelist and not args.haplotag:
-        parser.error("specify barcode whitelist with -w")
+        parser.error("-w is needed: only haplotag barcodes (-p) come without a whitelist file")
     if args.mode == "preproc":
         for path in args.counts:
             if not path.endswith(NCNT):
-                parser.error(f"{path} is not a {NCNT} file")
+                parser.error(f"count outputs end with {NCNT}: {path}")
             try:
                 files.expand(path)
                 if not args.haplotag:
                     files.expand(_sibling(path))
             except FileNotFoundError as missing:
-                parser.error(f"{missing} does not exist")
+                parser.error(f"cannot find {missing}")
     if args.mode == "align":
         if args.second and not args.first:
-            parser.error("cannot specify -2 without -1")
+            parser.error("-2 needs -1 beside it")
         if bool(args.first) + bool(args.single) + args.multi != 1:
-            parser.error("must specify *exactly one* of -1/-2, -s or -x")
+            parser.error("give the reads in one way: -1 (and -2), -s or -x")
         if args.read_group:
             args.read_group = sam.unescape(args.read_group)
             try:
@@ -100,10 +100,10 @@ def run_count(spark: SparkSession, args) -> None:
     whitelist = None if args.haplotag else tables.read_whitelist(spark, args.whitelist)
     counts = count_plan.count(reads, whitelist, args.haplotag)
     count_files.register(spark)
-    counts.barcodes.write.format("barcode_counts").mode("append").save(args.out + NCNT)
+    counts.barcodes.write.format("barcode_counts").mode("overwrite").save(args.out + NCNT)
     if counts.keys is not None:
         coded = counts.keys.select(B.key_binary("bases", "quals").alias("bc_key"), "n")
-        coded.write.format("key_counts").mode("append").save(args.out + FCNT)
+        coded.write.format("key_counts").mode("overwrite").save(args.out + FCNT)
 
 
 def read_counts(spark: SparkSession, paths: list[str], haplotag: bool) -> count_plan.Counts:
@@ -121,7 +121,7 @@ def read_counts(spark: SparkSession, paths: list[str], haplotag: bool) -> count_
 
 def run_preproc(spark: SparkSession, args) -> None:
     if not args.counts:
-        print("warning: no input files specified; nothing to do", file=sys.stderr)
+        print("no inputs given: there is nothing to process", file=sys.stderr)
         return
     reads = fastq.read_pairs(spark, ",".join(args.reads))
     counts = read_counts(spark, args.counts, args.haplotag)
@@ -157,12 +157,14 @@ def read_candidates(spark: SparkSession, path: str, contigs: DataFrame) -> DataF
 
 def run_align(spark: SparkSession, args) -> None:
     if args.multi and not args.inputs:
-        print("warning: no input files specified; nothing to do", file=sys.stderr)
+        print("no inputs given: there is nothing to process", file=sys.stderr)
         return
     platform = get_platform(args.platform)
     contigs = tables.read_contigs(spark, args.reference + ".fai")
     reads = read_inputs(spark, args, platform)
-    selected = align_plan.resolve(read_candidates(spark, args.candidates, contigs), platform, density=args.density)
+    selected = align_plan.resolve(
+        read_candidates(spark, args.candidates, contigs), platform, density=args.density,
+        pair_counts=align_plan.read_pair_counts(reads))
     records = sam.sam_records(selected, reads, contigs, platform, args.index, args.read_group)
     sinks.write_sam(records, contigs, args.out, args.read_group, " ".join(["barcloud", *sys.argv[1:]]))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barcloud.config import BC_LEN, DEFAULT_POLICY, MATE1_TRIM, SkewPolicy
+from barcloud.config import BC_LEN, DEFAULT_POLICY, MATE1_TRIM, MIN_READ_SIZE, SkewPolicy
 from barcloud.functions import bases as B
 from barcloud.functions import headers as H
 from barcloud.operators.counting import is_usable, with_key
@@ -97,13 +97,25 @@ def route_reads(
 def route_haplotag(
     reads: DataFrame, buckets: DataFrame, policy: SkewPolicy = DEFAULT_POLICY, broadcast: bool | None = None
 ) -> DataFrame:
-    """Header-coded reads: codes of the generated whitelist go to the bucket of their count."""
+    """Header-coded reads: every code of the generated whitelist has a bucket, tags that are no code have none (0).
+
+    Buckets hold consecutive codes, so a code without a count goes where the codes around it are.
+    """
     if broadcast is None:
         broadcast = fits_broadcast(buckets.select("bc"), policy)
-    coded = reads.where(is_usable(haplotag=True)).withColumn("bc", B.pack_haplotag(H.bx_tag("name")))
+    long_enough = F.coalesce(F.length("r1") >= MIN_READ_SIZE, F.lit(False))
+    coded = reads.where(long_enough & H.bx_tag("name").isNotNull()).withColumn("bc", B.pack_haplotag(H.bx_tag("name")))
     known = coded.withColumn("bc", F.when(B.is_haplotag_code("bc"), F.col("bc")))
-    return _with_bucket(known, buckets, policy, broadcast, ["name"]).select(
-        *reads.columns, "bc", F.coalesce("bucket", F.lit(0)).alias("bucket"))
+    placed = _with_bucket(known, buckets, policy, broadcast, ["name"])
+    # one row per bucket, as many as the caller asked for
+    starts = buckets.groupBy("bucket").agg(F.min("bc").alias("first")).orderBy("first").collect()
+    edges = F.array(*[F.struct(F.lit(r["first"]).alias("first"), F.lit(r["bucket"]).alias("bucket")) for r in starts])
+    near = F.lit(1)
+    if starts:
+        at = F.filter(edges, lambda e: e["first"] <= F.col("bc"))
+        near = F.coalesce(F.try_element_at(at, F.lit(-1))["bucket"], F.lit(starts[0]["bucket"]))
+    bucket = F.when(F.col("bc").isNull(), 0).otherwise(F.coalesce("bucket", near)).cast("int")
+    return placed.select(*reads.columns, "bc", bucket.alias("bucket"))
 
 
 def trimmed(column: str, haplotag: bool = False) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barcloud.config import DEFAULT_POLICY, SkewPolicy
 from barcloud.operators.skew import attach_by_key
+from barcloud.session import cut_lineage
 
 CLOUD = ["bc", "chrom", "cloud"]
 _CONTIG = ["bc", "chrom"]
@@ -75,13 +76,14 @@ def collisions(clouded: DataFrame) -> DataFrame:
 def consecutive_runs(reads: DataFrame, value: str, order: str, max_bins: int = 65_536) -> DataFrame:
     """(run_start, value, n): runs of equal consecutive values along a numeric read order.
 
-    The order range is cut in at most ``max_bins`` bins.  Runs are found inside bins; what a bin
+    The order is cut in at most ``max_bins`` bins of similar numbers of rows: they are the partitions
+    of a range partitioning, so outlying values make no bin large.  Runs are found inside bins; what a bin
     inherits from its predecessors comes from one summary row per bin, so the only unpartitioned
     window and the broadcast are bounded by ``max_bins`` whatever the size of the data.
     """
-    low = reads.agg(F.min(order)).scalar()
-    width = reads.agg(F.floor((F.max(order) - F.min(order)) / max_bins) + 1).scalar()
-    binned = reads.select(order, value).withColumn("_bin", F.floor((F.col(order) - low) / width))
+    tasks = min(max_bins, int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    binned = cut_lineage(
+        reads.select(order, value).repartitionByRange(tasks, order).withColumn("_bin", F.spark_partition_id()))
     inside = Window.partitionBy("_bin").orderBy(order)
     before = Window.orderBy("_bin")
 

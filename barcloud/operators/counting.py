@@ -81,5 +81,5 @@ def read_totals(reads: DataFrame, whitelist: DataFrame) -> DataFrame:
 
 def check_whitelist(whitelist: DataFrame) -> DataFrame:
     """Fail on the all-A barcode (code 0), which stands for 'none' downstream."""
-    bad = F.raise_error(F.lit("invalid barcode AAA...AA whitelisted")).cast("long")
+    bad = F.raise_error(F.lit("a barcode of sixteen A stands for none and may not be whitelisted")).cast("long")
     return whitelist.select(F.when(F.col("bc") == 0, bad).otherwise(F.col("bc")).alias("bc"))

@@ -116,6 +116,15 @@ def haplotag_count(spark, sf):
     return counting.haplotag_counts(_haplotag_reads(spark, sf))
 
 
+@query
+def haplotag_route(spark, sf):
+    """Buckets of header-coded reads when only every second order was counted: uncounted codes have a bucket too."""
+    reads = _haplotag_reads(spark, sf)
+    counts = cut_lineage(counting.haplotag_counts(reads.where("read_id % 2 = 0")))
+    placed = cut_lineage(buckets.assign_buckets(counts, N_BUCKETS))
+    return buckets.route_haplotag(reads, placed).select("read_id", "bc", "bucket")
+
+
 @query
 def barcode_extract_platforms(spark, sf):
     """Barcode and identifier of one header per platform and read."""

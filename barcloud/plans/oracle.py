@@ -415,6 +415,13 @@ def oracle_sql() -> dict[str, str]:
               replace(bases, 'N', 'A') as unpacked, translate(bases, 'ACGTN', '01234') as digits, cast({_NCOUNT} as integer) as n_count from d"""),
         "haplotag_parse": _with(_haplotag(), "select read_id, tag, bc, tag as decoded, coalesce(listed, false) as listed, '@r' || read_id as ident from hap"),
         "haplotag_count": _with(_haplotag(), "select bc, cast(count(*) as bigint) as n from hap where listed and len >= 32 group by bc"),
+        "haplotag_route": _with(_haplotag() + [
+            ("cnt", "select bc, cast(count(*) as bigint) as n from hap where listed and len >= 32 and read_id % 2 = 0 group by bc"),
+            ("run", "select bc, n, coalesce(sum(n) over (order by bc rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over () as total from cnt"),
+            ("bk", f"select bc, least(cast(floor(before * {N_BUCKETS} / total) as integer), {N_BUCKETS - 1}) + 1 as bucket from run"),
+            ("rd", "select read_id, case when listed then cast(bc as bigint) end as bc from hap where len >= 32 and tag is not null"),
+        ], """select read_id, r.bc, cast(case when r.bc is null then 0 else coalesce(k.bucket, (select min(bucket) from bk)) end as integer) as bucket
+            from rd r asof left join bk k on r.bc >= k.bc"""),
         "barcode_extract_platforms": _extract(),
         "barcode_prior": _with(_keys(), "select bc, n, round(prior, 12) as prior from pri"),
         "barcode_correct_h1": h1,

@@ -3,6 +3,7 @@
 ``barcode_counts``: little-endian int64 n, then n x (uint32 barcode, int64 count).
 ``key_counts``: blocks of int64 n, then n x (16 key bytes, int64 count).
 Written directories hold one self-contained file per task; readers take any number of files.
+``mode("overwrite")`` replaces what a directory holds, ``append`` adds to it.
 Inside Spark pipelines Parquet tables are the better choice.
 """
 
@@ -85,8 +86,11 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, kind: str, options):
-        self.kind, self.directory = kind, options["path"]
+    """One file per task under a name of this run; an overwrite removes what was there once all tasks are done."""
+
+    def __init__(self, kind: str, options, overwrite: bool):
+        self.kind, self.directory, self.overwrite = kind, options["path"], overwrite
+        self.run = uuid.uuid4().hex
         self.suffix = "ncnt" if kind == "barcode_counts" else "fcnt"
 
     def write(self, iterator):
@@ -95,7 +99,7 @@ class _Writer(DataSourceArrowWriter):
 
         layout = _Layout(self.kind)
         context = TaskContext.get()
-        final = files.join(self.directory, f"part-{context.partitionId():05d}.{self.suffix}")
+        final = files.join(self.directory, f"part-{context.partitionId():05d}-{self.run}.{self.suffix}")
         temporary = files.join(self.directory, f"_tmp-{uuid.uuid4().hex}")
         system, inner = files.filesystem(temporary)
         system.create_dir(files.filesystem(self.directory)[1], recursive=True)
@@ -127,6 +131,10 @@ class _Writer(DataSourceArrowWriter):
         return _Written(temporary, final)
 
     def commit(self, messages):
+        if self.overwrite:
+            system, inner = files.filesystem(self.directory)
+            for old in files.visible(system, inner):
+                system.delete_file(old.path)
         for m in messages:
             if m is not None and m.temporary:
                 system, inner = files.filesystem(m.temporary)
@@ -151,7 +159,7 @@ class BarcodeCounts(DataSource):
         return _Reader(self.name(), self.options)
 
     def writer(self, schema, overwrite):
-        return _Writer(self.name(), self.options)
+        return _Writer(self.name(), self.options, overwrite)
 
 
 class KeyCounts(BarcodeCounts):

@@ -95,6 +95,8 @@ class FastqReader(DataSourceReader):
                 picked = lines.take(pa.array(np.arange(line, rows * per_row, per_row)))
                 columns[field] = pc.utf8_rtrim(picked, "\r\n").cast(pa.string())
             seen += rows
+            if self.pairs:
+                _check_mates(columns["name"], columns["name2"])
             yield pa.RecordBatch.from_pydict(columns)
 
 
@@ -130,6 +132,15 @@ def _whole_rows(stream, offset: int, end: int | None, per_row: int):
             return
 
 
+def _check_mates(first, second) -> None:
+    import pyarrow.compute as pc
+
+    one, two = (pc.replace_substring_regex(c, r"(/[12])?(\s.*)?$", "") for c in (first, second))
+    wrong = pc.index(pc.not_equal(one, two), True).as_py()
+    if wrong >= 0:
+        raise ValueError(f"mates with different names: {first[wrong]} and {second[wrong]}")
+
+
 def _read_name(line: bytes) -> bytes:
     return re.sub(rb"/[12]$", b"", line.split(None, 1)[0] if line.split() else b"")
 
@@ -138,35 +149,50 @@ def _first_record(stream, start: int, pairs: bool) -> int | None:
     """Offset of the first record (pair) that begins at or after ``start``.
 
     A header is a line starting with '@' two lines above a line starting with '+': sequence lines
-    start with neither, so quality lines cannot be mistaken.  A pair starts where two records
-    share their name.
+    start with neither, so quality lines cannot be mistaken.  Mates share their name, so where two
+    neighbouring records differ, and at the end of the file, a pair ends; which of the records before
+    begin a pair follows by counting, however many pairs share one name.
     """
     if start == 0:
         return 0
     stream.seek(start - 1)
-    data, need = b"", 8 if pairs else 4
-    while True:
-        block = stream.read(1 << 16)
-        data += block
-        at = data.find(b"\n")
-        lines = data[at + 1:].split(b"\n") if at >= 0 else []
-        whole = lines[:-1] if block else lines
-        position = start + at
-        for i, line in enumerate(whole):
-            complete = len(whole) - i >= need
-            if not complete and block:
+    lines = _lines(stream)
+    position = start - 1 + next(lines, (b"", 0))[1]
+    window: list[tuple[bytes, int]] = []
+    for line, size in lines:
+        window.append((line, size))
+        if len(window) == 3:
+            if window[0][0].startswith(b"@") and window[2][0].startswith(b"+"):
                 break
-            if line.startswith(b"@") and len(whole) - i >= 4 and whole[i + 2].startswith(b"+"):
-                if not pairs:
-                    return position
-                if len(whole) - i < 8:
-                    return None  # second mate of the last pair
-                if _read_name(line) == _read_name(whole[i + 4]):
-                    return position
-                return position + sum(len(x) + 1 for x in whole[i: i + 4])
-            position += len(line) + 1
-        if not block:
-            return None
+            position += window.pop(0)[1]
+    else:
+        return None  # no record begins here
+    if not pairs:
+        return position
+    name, size = _read_name(window[0][0]), sum(s for _, s in window)
+    records, first_size, at = 0, 0, 3
+    for line, length in lines:
+        if at == 0:  # the next record's header
+            records += 1
+            if _read_name(line) != name:
+                break
+        size += length
+        at = (at + 1) % 4
+        if at == 0 and records == 0:
+            first_size = size
+    else:
+        records += 1 if at == 0 and first_size else 0
+    return position if records % 2 == 0 else position + first_size
+
+
+def _lines(stream):
+    """(line without its break, bytes with it) from where the stream is."""
+    rest = b""
+    while block := stream.read(1 << 16):
+        *whole, rest = (rest + block).split(b"\n")
+        yield from ((line, len(line) + 1) for line in whole)
+    if rest:
+        yield rest, len(rest)
 
 
 def read_pairs(spark: SparkSession, paths: str, **options) -> DataFrame:

@@ -10,14 +10,18 @@ from barcloud.functions import bases as B
 from barcloud.operators.counting import is_usable
 
 
-def barcode_counts(reads: DataFrame) -> DataFrame:
+def barcode_counts(reads: DataFrame, whitelist: DataFrame | None = None) -> DataFrame:
     """Running reads per N-free barcode of a stream of pairs (complete or update mode).
 
-    State is one row per barcode, so it is bounded by the barcode space and needs no watermark.
+    With a static ``whitelist`` (bc) other barcodes are dropped before they are counted: state is
+    one row per listed barcode.  Without it, erroneous barcodes have a row each.
     """
     bases = B.normalize_bases(F.substring("r1", 1, BC_LEN))
     coded = reads.where(is_usable()).select(bases.alias("bases")).where(B.n_count("bases") == 0)
-    return coded.groupBy(B.pack("bases").alias("bc")).agg(F.count("*").alias("n"))
+    packed = coded.select(B.pack("bases").alias("bc"))
+    if whitelist is not None:
+        packed = packed.join(whitelist.select("bc"), "bc", "left_semi")
+    return packed.groupBy("bc").agg(F.count("*").alias("n"))
 
 
 def whitelisted(counts: DataFrame, whitelist: DataFrame) -> DataFrame:

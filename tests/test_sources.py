@@ -45,6 +45,42 @@ def test_fastq_splits_on_any_boundary(spark, tmp_path, split):
     assert [tuple(r) for r in got] == rows
 
 
+@pytest.mark.parametrize("split", [130, 1000, 5003])
+def test_fastq_pairs_that_share_one_name(spark, tmp_path, split):
+    rows = [("@same 1:N:0", a, b, "@same 2:N:0", c, d) for _, a, b, _, c, d in pairs(60)]
+    rows[40] = ("@odd/1", *rows[40][1:3], "@odd/2", *rows[40][4:])
+    (tmp_path / "a.fq").write_text(text(rows))
+    got = fastq.read_pairs(spark, str(tmp_path), splitBytes=split).orderBy("split", "idx").select(*fastq.PAIR_FIELDS)
+    assert [tuple(r) for r in got.collect()] == rows
+
+
+def test_mates_of_different_names_fail(spark, tmp_path):
+    rows = pairs(4)
+    rows[2] = (rows[2][0], *rows[2][1:3], "@other 2:N:0", *rows[2][4:])
+    (tmp_path / "a.fq").write_text(text(rows))
+    with pytest.raises(Exception, match="different names"):
+        fastq.read_pairs(spark, str(tmp_path)).collect()
+
+
+def test_a_rerun_replaces_counts(spark, tmp_path):
+    counts.register(spark)
+    df, path = spark.range(40).selectExpr("id + 1 as bc", "id as n"), str(tmp_path / "run.ncnt")
+    load = lambda: sorted(map(tuple, spark.read.format("barcode_counts").load(path).collect()))
+    for tasks in (4, 2):
+        df.repartition(tasks).write.format("barcode_counts").mode("overwrite").save(path)
+        assert load() == sorted(map(tuple, df.collect()))
+    df.write.format("barcode_counts").mode("append").save(path)
+    assert len(load()) == 80
+
+
+def test_unknown_contigs_and_missing_reads_fail(spark):
+    names = spark.createDataFrame([(0, "c1", 10)], "chrom_id int, name string, length long")
+    df = spark.createDataFrame([("c1",), (None,)], "chrom string")
+    assert {r[0] for r in tables.encode_contigs(df, names, "chrom", "code").collect()} == {0, None}
+    with pytest.raises(Exception, match="unknown contig c9"):
+        tables.encode_contigs(spark.createDataFrame([("c9",)], "chrom string"), names, "chrom", "code").collect()
+
+
 def test_fastq_gzip_and_truncation(spark, tmp_path):
     rows = pairs(30)
     with gzip.open(tmp_path / "a.fq.gz", "wt") as f:
