@@ -9,11 +9,12 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barcloud.config import DEFAULT_PLATFORM, PLATFORMS, get_platform
 from barcloud.functions import bases as B
 from barcloud.functions.alignment import parse_cigar, cigar_string, cigar_sum, reference_length
-from barcloud.operators import buckets, counting, sam
+from barcloud.operators import buckets, correction, counting, sam
 from barcloud.plans import align as align_plan
 from barcloud.plans import count as count_plan
 from barcloud.plans import preproc as preproc_plan
@@ -99,6 +100,9 @@ def run_count(spark: SparkSession, args) -> None:
     reads = fastq.read_pairs(spark, ",".join(args.reads))
     whitelist = None if args.haplotag else tables.read_whitelist(spark, args.whitelist)
     counts = count_plan.count(reads, whitelist, args.haplotag)
+    # sums of the tables made, not another scan of the reads
+    size = lambda table: table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    print(f"pairs with a listed barcode: {size(counts.barcodes)}" + (f" of {size(counts.keys)} usable" if counts.keys is not None else ""))
     count_files.register(spark)
     counts.barcodes.write.format("barcode_counts").mode("overwrite").save(args.out + NCNT)
     if counts.keys is not None:
@@ -126,13 +130,15 @@ def run_preproc(spark: SparkSession, args) -> None:
     reads = fastq.read_pairs(spark, ",".join(args.reads))
     counts = read_counts(spark, args.counts, args.haplotag)
     if args.haplotag:
-        routed = preproc_plan.route_haplotag(reads, counts, args.buckets)
+        routed, load = preproc_plan.route_haplotag(reads, counts, args.buckets)
     else:
         whitelist = tables.read_whitelist(spark, args.whitelist)
         corrections = preproc_plan.correct(counts, whitelist, args.double)
-        routed = preproc_plan.route(reads, corrections, args.buckets, args.double)
+        outcomes = correction.outcome_histogram(corrections.decisions).orderBy("outcome").collect()
+        print("pairs by correction:", ", ".join(f"{r['n_reads']} {r['outcome']}" for r in outcomes))
+        routed, load = preproc_plan.route_with_load(reads, corrections, args.buckets, args.double)
     lines = buckets.shard_lines(routed, args.bx, args.haplotag)
-    sinks.write_shards(lines, args.out, sinks.bucket_load(routed))
+    sinks.write_shards(lines, args.out, load)
 
 
 def read_inputs(spark: SparkSession, args, platform) -> DataFrame:

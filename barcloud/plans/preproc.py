@@ -48,12 +48,26 @@ def route(
     policy: SkewPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Every usable pair with its final barcode and bucket."""
+    return route_with_load(reads, corrections, n_buckets, double, policy)[0]
+
+
+def route_with_load(
+    reads: DataFrame, corrections: Corrections, n_buckets: int, double: bool = False,
+    policy: SkewPolicy = DEFAULT_POLICY,
+) -> tuple[DataFrame, DataFrame]:
+    """``route`` and the pairs (bucket, n) each bucket will get, which the distinct keys already tell."""
     settled = Corrections(cut_lineage(corrections.decisions), corrections.priors, corrections.broadcast)
     buckets = cut_lineage(K.assign_buckets(bucket_counts(settled), n_buckets))
     replacements = correction.replacement_map(settled.decisions)
-    return K.route_reads(reads, buckets, replacements, double, policy, settled.broadcast)
+    routed = K.route_reads(reads, buckets, replacements, double, policy, settled.broadcast)
+    bucket = F.coalesce("bucket", F.lit(0)).alias("bucket")
+    # accepted keys are counted with their bucket, all others go to bucket 0
+    placed = buckets.groupBy("bucket").agg(F.sum("n").alias("n"))
+    rest = settled.decisions.where(F.col("assigned").isNull()).agg(F.sum("n").alias("n"))
+    return routed, placed.select(bucket, "n").unionByName(rest.select(F.lit(0).alias("bucket"), F.coalesce("n", F.lit(0)).alias("n")))
 
 
-def route_haplotag(reads: DataFrame, counts: Counts, n_buckets: int) -> DataFrame:
-    """Header-coded barcodes need no correction; counts decide the buckets."""
-    return K.route_haplotag(reads, cut_lineage(K.assign_buckets(counts.barcodes, n_buckets)))
+def route_haplotag(reads: DataFrame, counts: Counts, n_buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Header-coded barcodes need no correction; counts decide the buckets and tell their load."""
+    buckets = cut_lineage(K.assign_buckets(counts.barcodes, n_buckets))
+    return K.route_haplotag(reads, buckets), buckets.groupBy("bucket").agg(F.sum("n").alias("n"))

@@ -13,18 +13,17 @@ def write_shards(lines: DataFrame, path: str, load: DataFrame, policy: SkewPolic
     """One directory per bucket (``bucket=0`` holds the pairs without barcode).
 
     ``load``: (bucket, n), one row per bucket.  Rows are shuffled by bucket so that tasks do not
-    write to all buckets, and a heavy bucket is spread over as many tasks as its size asks for.
+    write to all buckets, and a heavy bucket is spread over as many tasks as its size asks for; a bucket
+    of unknown load is spread as if it held all rows.
     """
     parts = F.ceil(F.col("n") / policy.target_file_rows).cast("int")
+    tasks = load.agg(F.sum(F.greatest(parts, F.lit(1))).alias("t"), F.sum(parts).alias("all")).first()
     sized = load.select("bucket", F.greatest(parts, F.lit(1)).alias("_parts"))
     # one row per bucket: bounded by the bucket count the caller chose
     spread = lines.join(F.broadcast(sized), "bucket", "left").withColumn(
-        "_part", F.pmod(F.xxhash64("value"), F.coalesce("_parts", F.lit(1))))
-    spread.repartition("bucket", "_part").select("bucket", "value").write.partitionBy("bucket").text(path)
-
-
-def bucket_load(routed: DataFrame) -> DataFrame:
-    return routed.groupBy("bucket").agg(F.count("*").alias("n"))
+        "_part", F.pmod(F.xxhash64("value"), F.coalesce("_parts", F.lit(max(1, tasks["all"] or 0)))))
+    at_least = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread.repartition(max(at_least, tasks["t"] or 1), "bucket", "_part").select("bucket", "value").write.partitionBy("bucket").text(path)
 
 
 def write_sam(records: DataFrame, contigs: DataFrame, path: str, read_group: str | None = None, command: str = "barcloud") -> None:

@@ -15,6 +15,9 @@ HEADLINE = [
     "bucket_assign_cumulative", "bucket_route", "trim_and_format", "haplotag_count", "alignment_score", "candidate_filter",
     "cloud_build", "cloud_summary", "softmax_init", "em_full", "best_alignment", "duplicate_mark", "sam_lines",
     "density_bins", "barcode_runs", "session_clouds_events",
+    # the plans for heavy keys, large whitelists and colliding clouds
+    "barcode_correct_h1_shuffle", "cloud_build_spread", "em_full_spread", "em_full_spread_reads", "duplicate_mark_spread",
+    "density_anneal", "best_alignment_density", "haplotag_route",
 ]
 
 
