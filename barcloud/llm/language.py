@@ -78,9 +78,9 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = np.zeros(len(buffer), bool)
             for start, length in zip(starts, np.diff(lengths)):
                 held[start : start + length] = True
-            places, grams, counts = np.flatnonzero(held), [], []
-            for at in range(0, len(places), WINDOW):
-                where = places[at : at + WINDOW]
+            grams, counts = [], []
+            for at in range(0, len(buffer), WINDOW):
+                where = np.flatnonzero(held[at : at + WINDOW]) + at
                 gram = np.zeros(len(where), np.uint32)
                 for back in range(ORDER, -1, -1):
                     gram = (gram << np.uint32(8)) | buffer[where - back]

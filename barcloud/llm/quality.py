@@ -143,7 +143,7 @@ def _shape(word: str) -> str:
 
 
 _SAME, _SEEN = _slot("\x00same"), _slot("\x00seen")
-_features = Memory(lambda w: np.array([_slot("w" + w.lower()), _slot("s" + _shape(w))], "<u2").tobytes())
+_features = Memory(lambda w: np.array([_slot("w" + w.lower()), _slot("s" + _shape(w))], "<u2").tobytes(), limit=50_000)
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Keys of one generation of a worker's memory; there are two.
-MEMORY = 500_000
+MEMORY = 400_000
 
 
 class Memory(dict):
