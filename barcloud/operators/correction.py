@@ -25,7 +25,8 @@ def _shift(position) -> int:
 
 
 # Edits as (XOR mask, first position, second position); position -1 stands for "none".
-_SINGLE = [(0, -1, -1)] + [(x << _shift(i), i, -1) for i in range(BC_LEN) for x in (1, 2, 3)]
+_SAME = [(0, -1, -1)]
+_SINGLE = [(x << _shift(i), i, -1) for i in range(BC_LEN) for x in (1, 2, 3)]
 _DOUBLE = [
     ((x << _shift(i)) | (y << _shift(j)), i, j)
     for i in range(BC_LEN) for j in range(i + 1, BC_LEN) for x in (1, 2, 3) for y in (1, 2, 3)
@@ -66,8 +67,11 @@ def _masked_hits(observed: DataFrame, priors: DataFrame) -> DataFrame:
         for i in range(BC_LEN)
     ])
     clear = lambda c: F.col(c).bitwiseAND(F.bitwise_not(F.col("m"))).alias("masked")
+    # a whitelisted barcode has no single edits to try: only the others are multiplied
+    marked = observed.join(priors.select("bc", "prior"), "bc", "left")
+    known = F.col("n_pos").isNull() & F.col("prior").isNotNull()
     left = (
-        observed.select("bases", "n_keys", "n_pos", "bc", F.inline(masks))
+        marked.where(~known).select("bases", "n_keys", "n_pos", "bc", F.inline(masks))
         .where(F.col("n_pos").isNull() | (F.col("n_pos") == F.col("i")))
         .select("bases", "n_keys", "n_pos", "bc", "i", clear("bc"))
     )
@@ -75,8 +79,7 @@ def _masked_hits(observed: DataFrame, priors: DataFrame) -> DataFrame:
         F.col("bc").alias("cand"), "prior", "i", clear("bc")
     )
     near = left.join(right, ["i", "masked"]).where(F.col("n_pos").isNotNull() | (F.col("bc") != F.col("cand")))
-    own = observed.where(F.col("n_pos").isNull()).join(
-        priors.select("bc", "prior"), "bc").withColumn("cand", F.col("bc")).withColumn("i", F.lit(-1).cast("tinyint"))
+    own = marked.where(known).withColumn("cand", F.col("bc")).withColumn("i", F.lit(-1).cast("tinyint"))
     minus = F.lit(-1).cast("tinyint").alias("j")
     return near.select("bases", "n_keys", "cand", "i", minus, "prior").unionByName(
         own.select("bases", "n_keys", "cand", "i", minus, "prior"))
@@ -103,22 +106,19 @@ def _neighbour_hits(observed: DataFrame, priors: DataFrame, double: bool) -> Dat
     """Hits by probing edited barcodes in the broadcast whitelist: no shuffle of the edits."""
     dim = F.broadcast(priors.select(F.col("bc").alias("cand"), "prior"))
     plain, with_n = observed.where(F.col("n_pos").isNull()), observed.where(F.col("n_pos").isNotNull())
-    hits = _probe(plain, _SINGLE, dim).unionByName(_probe_n(with_n, dim))
-    if double:
-        known = plain.join(F.broadcast(priors.select("bc")), "bc", "left_semi")
-        hits = hits.unionByName(_probe(known, _DOUBLE, dim))
-    return hits
+    # a whitelisted barcode has no single edits to try: only the others are multiplied
+    listed = F.broadcast(priors.select("bc"))
+    unknown, known = plain.join(listed, "bc", "left_anti"), plain.join(listed, "bc", "left_semi")
+    hits = _probe(known, _SAME, dim).unionByName(_probe(unknown, _SINGLE, dim)).unionByName(_probe_n(with_n, dim))
+    return hits.unionByName(_probe(known, _DOUBLE, dim)) if double else hits
 
 
 def observed_bases(keys: DataFrame) -> DataFrame:
     """(bases, n_keys, n_pos, bc): distinct base strings with at most one N."""
     n_pos = F.when(F.col("bases").contains("N"), F.instr("bases", "N") - 1)
-    # every row is about to be multiplied by its edits: keep all cores busy even on a small table
-    tasks = keys.sparkSession.sparkContext.defaultParallelism
     return (
         keys.where(B.n_count("bases") <= 1)
         .groupBy("bases").agg(F.count("*").alias("n_keys"))
-        .repartition(max(tasks, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bases")
         .withColumns({"n_pos": n_pos, "bc": B.pack("bases")})
     )
 
