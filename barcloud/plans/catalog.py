@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from barcloud.functions import headers as H
 from barcloud.operators import buckets, candidates, clouds, correction, counting, density, em, sam
 from barcloud.plans import align, lens, preproc
 from barcloud.plans.count import count as count_reads
-from barcloud.session import cut_lineage, tune
+from barcloud.session import cut_lineage, shared_folder, tune
+from barcloud.sources import counts, fastq, sinks, tables
 
 P10X = get_platform("10x")
 N_BUCKETS = 50
@@ -44,8 +46,8 @@ def _whitelist(spark, sf):
 
 def _corrections(spark, sf, double=False, broadcast=None):
     whitelist = _whitelist(spark, sf)
-    counts = count_reads(lens.fastq_reads(spark, sf), whitelist)
-    return preproc.correct(counts, whitelist, double, broadcast=broadcast)
+    counted = count_reads(lens.fastq_reads(spark, sf), whitelist)
+    return preproc.correct(counted, whitelist, double, broadcast=broadcast)
 
 
 def _corrected(spark, sf, double=False, broadcast=None):
@@ -120,8 +122,8 @@ def haplotag_count(spark, sf):
 def haplotag_route(spark, sf):
     """Buckets of header-coded reads when only every second order was counted: uncounted codes have a bucket too."""
     reads = _haplotag_reads(spark, sf)
-    counts = cut_lineage(counting.haplotag_counts(reads.where("read_id % 2 = 0")))
-    placed = cut_lineage(buckets.assign_buckets(counts, N_BUCKETS))
+    counted = cut_lineage(counting.haplotag_counts(reads.where("read_id % 2 = 0")))
+    placed = cut_lineage(buckets.assign_buckets(counted, N_BUCKETS))
     return buckets.route_haplotag(reads, placed).select("read_id", "bc", "bucket")
 
 
@@ -203,8 +205,8 @@ def _routed(spark, sf, double=False):
 
 @query
 def bucket_assign_cumulative(spark, sf):
-    counts = preproc.bucket_counts(_corrections(spark, sf))
-    return buckets.assign_buckets(cut_lineage(counts), N_BUCKETS)
+    counted = preproc.bucket_counts(_corrections(spark, sf))
+    return buckets.assign_buckets(cut_lineage(counted), N_BUCKETS)
 
 
 @query
@@ -228,6 +230,68 @@ def bx_format(spark, sf):
     return buckets.shard_lines(_routed(spark, sf), bx_format=True)
 
 
+# ---- files: written from the given tables, read back by the sources ------------------------------
+
+def _folder(spark, name):
+    """A new path in the shared folder, in the form every file system client takes."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return path[len("file:"):] if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+@query
+def whitelist_file(spark, sf):
+    path = _folder(spark, "whitelist")
+    lens.whitelist(spark, sf).select(F.concat(B.unpack("bc"), F.lit("-1")).alias("value")).write.text(path)
+    return tables.read_whitelist(spark, path)
+
+
+@query
+def fastq_file(spark, sf):
+    """Interleaved FASTQ written and read in splits that begin anywhere."""
+    path = _folder(spark, "fastq")
+    lines = ["name", "r1", F.lit("+"), "q1", "name2", "r2", F.lit("+"), "q2"]
+    lens.fastq_reads(spark, sf).select(F.concat_ws("\n", *lines).alias("value")).write.text(path)
+    return fastq.read_pairs(spark, path, splitBytes=100_000).select(*fastq.PAIR_FIELDS)
+
+
+@query
+def barcode_count_file(spark, sf):
+    counts.register(spark)
+    path = _folder(spark, "ncnt")
+    table = counting.whitelisted_counts(_keys(spark, sf), lens.whitelist(spark, sf))
+    table.write.format("barcode_counts").mode("overwrite").save(path)
+    return spark.read.format("barcode_counts").load(path)
+
+
+@query
+def key_count_file(spark, sf):
+    counts.register(spark)
+    path = _folder(spark, "fcnt")
+    coded = _keys(spark, sf).select(B.key_binary("bases", "quals").alias("bc_key"), "n")
+    coded.write.format("key_counts").mode("overwrite").save(path)
+    bases, quals = B.unpack_key("bc_key")
+    return spark.read.format("key_counts").load(path).select(bases.alias("bases"), quals.alias("quals"), "n")
+
+
+@query
+def single_line_file(spark, sf):
+    """Shards written as single-line records and read as aligner input."""
+    path = _folder(spark, "shards")
+    routed, load = preproc.route_with_load(lens.fastq_reads(spark, sf), _corrections(spark, sf), N_BUCKETS)
+    sinks.write_shards(buckets.shard_lines(routed), path, load)
+    return tables.read_single_line(spark, [f"{path}/bucket={b}" for b in range(1, N_BUCKETS + 1)], P10X)
+
+
+@query
+def sam_header_text(spark, sf):
+    """Header lines of a contig index rendered from the nations."""
+    path = _folder(spark, "fai")
+    line = F.format_string("%s\t%d\t7\t60\t61", F.regexp_replace("n_name", " ", "_"), F.col("n_nationkey") + 1000)
+    ordered = lens.table(spark, sf, "nation").coalesce(1).sortWithinPartitions("n_nationkey")
+    ordered.select(line.alias("value")).write.text(path)
+    return sam.sam_header(tables.read_contigs(spark, path), "@RG\tID:rg1", "run")
+
+
 # ---- align ------------------------------------------------------------------------------------
 
 def _cands(spark, sf):

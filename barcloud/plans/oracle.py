@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 from barcloud.config import DENSITY_ROUNDS, EM_ROUNDS, get_platform
+from barcloud.operators.sam import PROGRAM, VERSION
 from barcloud.plans.catalog import N_BUCKETS
 from barcloud.plans.lens import _INSERT, CANDIDATES_SQL, READS_SQL
 
@@ -402,6 +403,15 @@ def oracle_sql() -> dict[str, str]:
     return {
         "barcode_count": _with(_keys(), "select bc, n from ncnt"),
         "quality_key_count": _with(_keys(), "select bases, quals, n from keys"),
+        "whitelist_file": _with(_fastq(), "select distinct tru as bc from lens"),
+        "fastq_file": _with(_fastq(), "select name, r1, q1, name2, r2, q2 from fq"),
+        "barcode_count_file": _with(_keys(), "select bc, n from ncnt"),
+        "key_count_file": _with(_keys(), "select bases, quals, n from keys"),
+        "single_line_file": _with(_bucketed(False), "select bc, 'r' || read_id as ident, substr(r1, 24) as r1, substr(q1, 24) as q1, r2, q2 from routed where bucket > 0"),
+        "sam_header_text": f"""select '@HD' || chr(9) || 'VN:1.3' || chr(9) || 'SO:unsorted' as value
+            union all select '@SQ' || chr(9) || 'SN:' || replace(n_name, ' ', '_') || chr(9) || 'LN:' || (n_nationkey + 1000) from nation
+            union all select '@RG' || chr(9) || 'ID:rg1'
+            union all select concat_ws(chr(9), '@PG', 'ID:{PROGRAM}', 'PN:{PROGRAM}', 'VN:{VERSION}', 'CL:run')""",
         "quality_key_bytes": _with(_keys(), "select " + " || ".join(
             f"printf('%02X', (instr('CGTN', substr(bases, {i}, 1))) * 34 + ascii(substr(quals, {i}, 1)) - 33)" for i in range(1, 17))
             + " as key_hex, n from keys"),
