@@ -34,6 +34,7 @@ def local_session(app: str = "barcloud", cores: str = "8", shuffle: str | None =
         .appName(app)
         .config("spark.sql.shuffle.partitions", shuffle or cores)
         .config("spark.driver.memory", os.environ.get("BARCLOUD_DRIVER_MEMORY", "12g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         # static setting, for spark-submit too: the default of 100 generated classes is less than
@@ -73,5 +74,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in :func:`shared_folder` and read back: a lineage cut of compressed columns."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Deletes what :func:`write_table` wrote in this driver, once no result is read from it any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -29,3 +29,23 @@ def test_a_key_with_three_quarters_of_the_rows_is_spread(no_auto_broadcast, hot)
         ~F.col("n").eqNullSafe(F.when(F.col("bc") == 7, 150_000).when(F.col("bc").isNotNull(), 1))
     )
     assert wrong.count() == 0
+
+
+def test_written_tables_can_be_removed(spark):
+    import os
+
+    from barcloud import session
+
+    df = session.write_table(spark.range(3), "probe")
+    path = df.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+    assert os.path.exists(path) and df.count() == 3
+    session.remove_tables(spark)
+    assert not os.path.exists(path)
+
+
+def test_candidates_without_a_barcode_are_an_error(spark):
+    from barcloud.plans import align
+
+    df = spark.createDataFrame([(None, 1)], "bc long, ident long")
+    with pytest.raises(ValueError, match="no barcode"):
+        align.plan_layouts(df)
