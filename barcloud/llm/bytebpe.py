@@ -124,7 +124,7 @@ class ByteBPE:
 
     def __init__(self, path: str, pattern: str):
         self.ranks = Ranks(path)
-        space = r"\t-\r \x85\xa0  -     　"
+        space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         exact = pattern.replace(r"[^\s", f"[^{space}").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
         self._matches = regex.compile(exact).findall
         self._pieces = Memory(self._piece)
