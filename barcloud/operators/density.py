@@ -81,7 +81,9 @@ def optimise_density(layout, clouded: DataFrame, platform: Platform, rounds: int
         df = layout.read_facts(df, pair, {
             f"_of{m}": F.max(F.when(F.col("_chosen") & (F.col("mate") == m), place)) for m in (0, 1)})
         df = layout.read_facts(df, IN_CLOUD, {"_own": F.max(F.when(F.col("_chosen"), F.col("_bin")))})
-        moving = ours & (F.pmod(F.col("ident") + F.col("mate"), F.lit(2)) == half)
+        # the parity of a digest: names may be text
+        digest = F.ascii(F.right(F.md5(F.col("ident").cast("string")), F.lit(1)))
+        moving = ours & ((digest + F.col("mate")) % 2 == half)
         df = df.withColumn("_rank", _ranked(df, platform, moving))
         df = layout.read_facts(df, IN_CLOUD, {"_best": F.max("_rank")})
         moved = F.coalesce(F.col("_rank") == F.col("_best"), F.lit(False))

@@ -371,7 +371,7 @@ def _annealed() -> list[tuple[str, str]]:
             (f"den_f{k}", f"""select *, coalesce(rev <> mv and (case when rev = 1 then pos - mp else mp - pos end) between 0 and 750, false) as paired,
                 cast(floor((score / 20.0 + ({_log_density('(oth + 1)')}) - ({_log_density('oth')})) * 1e9 + 0.5) as bigint) as worth from den_e{k}"""),
             (f"den_g{k}", f"""select * exclude (chosen, n_load, p0, v0, p1, v1, own, mp, mv, oth, paired, worth),
-                case when ours and (ident + mate) % 2 = {half}
+                case when ours and (ascii(right(md5(cast(ident as varchar)), 1)) + mate) % 2 = {half}
                   then row_number() over (partition by {read}, ours order by paired desc, worth desc, chosen desc, pos, bwa_rank) = 1
                   else chosen end as chosen from den_f{k}"""),
         ]
