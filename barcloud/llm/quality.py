@@ -14,6 +14,7 @@ this model; it then scores every whole text.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,14 +67,13 @@ def facts(text: str, words: list[str]) -> Facts:
     count = lambda chars: len(data) - len(data.translate(None, chars))
     letters, n = count(_LETTERS), len(words)
     lines = [x for x in map(str.strip, text.split("\n")) if x]
-    first = words[:100]
 
     def share(part: float, whole: int) -> float:
         return part / whole if whole else 0.0
 
     return Facts(
         n, len(lines), share(n - 1 - len(set(zip(words, words[1:]))), n - 1),
-        share(max(map(first.count, set(first)), default=0), len(first)), share(count(_SYMBOLS), visible),
+        share(max(Counter(words).values(), default=0), n), share(count(_SYMBOLS), visible),
         share(sum(w[-1] in _MARKS for w in words), n), share(count(_UPPER), letters),
         share(data.count(b"!") + data.count(b"?"), n), share(len(lines) - len(set(lines)), len(lines)),
         share(sum(map(_LONE.__contains__, words)), n), share(sum(x[-1] not in _STOPS for x in lines), len(lines)),
@@ -138,7 +138,7 @@ def _slot(feature: str) -> int:
 
 
 def _shape(word: str) -> str:
-    kinds = ["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:40]]
+    kinds = ["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word]
     return "".join(k for k, before in zip(kinds, [""] + kinds) if k != before)
 
 

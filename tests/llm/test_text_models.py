@@ -100,3 +100,11 @@ def test_quality_odd_inputs(spark):
     assert len(out) == 5 and all(isinstance(r["keep"], bool) for r in out)
     assert {r["doc_id"]: r["score"] for r in out}[2] == 0.0 == {r["doc_id"]: r["score"] for r in out}[3]
     assert quality.score(docs.limit(0), quality.train(docs.limit(0))).count() == 0
+
+
+def test_quality_looks_at_whole_texts_and_words():
+    opening = [f"w{i}" for i in range(100)]
+    assert quality.facts(" ".join(opening + ["x"] * 900), opening + ["x"] * 900).top_word == 0.9
+    listed = ["x"] * 30 + [f"w{i}" for i in range(970)]
+    assert quality.facts(" ".join(listed), listed).top_word == 0.03
+    assert quality._shape("a" * 50 + "9Z") == "x9X"
