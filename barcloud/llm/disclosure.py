@@ -1,16 +1,16 @@
 """Personal data and the terms that disclose it: information-theoretic sanitisation, as DataFrame work alone.
 
 *Base spans* are e-mail addresses, IP addresses, payment cards and phone numbers by pattern.  Each
-distinct value is a protected entity.  A *term* (a word of three or more characters) within
-``CONTEXT`` characters of an entity, up to the next entity of its kind, discloses it by
+distinct value is a protected entity.  A *term* (a word of three or more characters outside addresses) anywhere
+in a text that holds an entity discloses it by
 
     ``log(P(entity | term) / P(entity)) / log(1 / P(entity))``
 
-which is 1 if the term only occurs with the entity and 0 if it tells nothing.  ``P(entity | term)`` is
-the number of different contexts (equal contexts count once, so copies prove nothing) that have
-both, over the documents of the corpus with the term; ``P(entity)`` likewise over all documents.  Terms that
-share ``SUPPORT`` or more contexts with an entity are removed from its contexts from ``REMOVE`` on, and
-generalised to their word class from ``GENERALISE`` on.
+which is 1 if the term only occurs with the entity and 0 if it tells nothing.  All counts are of distinct whole
+texts, so copies neither prove nor hide anything: ``P(entity | term)`` is the share of the texts with the term that
+have the entity; ``P(entity)`` is its share of all texts.  Terms that share ``SUPPORT`` or more texts with an
+entity are removed wherever they stand in the entity's texts from ``REMOVE`` on, and generalised to their word
+class from ``GENERALISE`` on.
 
 Patterns are written so that matching is linear: a match may only begin where a run of its characters
 begins or the match before ended, and repetitions don't give back.  Offsets are in code points.
@@ -24,10 +24,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barcloud.llm.common import small_or_shuffled, table
+from barcloud.llm.common import attach_facts, small_or_shuffled, table
 from barcloud.session import write_table
 
-CONTEXT = 80
 SUPPORT = 3
 REMOVE = 0.95
 GENERALISE = 0.8
@@ -44,7 +43,7 @@ KINDS = {
 _BYTE = r"0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Spans gathered before they join the longer list, which keeps appending linear.
 _BLOCK = 256
-_SPAN = "struct<value:string,start:int,end:int,left:string,right:string>"
+_SPAN = "struct<value:string,start:int,end:int>"
 
 
 @dataclass(frozen=True)
@@ -56,11 +55,8 @@ class Policy:
     generalise: float = GENERALISE
 
 
-def located(hits: Column, gaps: Column, context: int = 0) -> Column:
-    """Spans of the matches ``hits``, given the texts between them (one more than matches).
-
-    Each has up to ``context`` characters of the gap before and of the gap behind it.
-    """
+def located(hits: Column, gaps: Column) -> Column:
+    """Spans of the matches ``hits``, given the texts between them (one more than matches)."""
     none = F.array().cast(f"array<{_SPAN}>")
     start = F.struct(
         F.array().cast(f"array<array<{_SPAN}>>").alias("done"), none.alias("now"), F.lit(0).alias("at")
@@ -69,8 +65,7 @@ def located(hits: Column, gaps: Column, context: int = 0) -> Column:
     def step(acc: Column, item: Column) -> Column:
         begin = acc["at"] + F.length(item["gap"])
         span = F.struct(
-            item["hit"].alias("value"), begin.alias("start"), (begin + F.length(item["hit"])).alias("end"),
-            F.right(item["gap"], F.lit(context)).alias("left"), F.left(item["behind"], F.lit(context)).alias("right"),
+            item["hit"].alias("value"), begin.alias("start"), (begin + F.length(item["hit"])).alias("end")
         )
         full = F.size(acc["now"]) >= _BLOCK
         return F.struct(
@@ -79,8 +74,7 @@ def located(hits: Column, gaps: Column, context: int = 0) -> Column:
             (begin + F.length(item["hit"])).alias("at"),
         )
 
-    behind = F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1)))
-    items = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"), behind.alias("behind"))
+    items = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"))
     return F.aggregate(items, start, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["now"]))
 
 
@@ -112,13 +106,13 @@ def _counts(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _with_matches(df: DataFrame, text: str, out: str, pattern: str, part: str, context: int) -> DataFrame:
+def _with_matches(df: DataFrame, text: str, out: str, pattern: str, part: str) -> DataFrame:
     """``df`` with the spans of ``pattern``; three steps, so that each pattern runs once per text and purpose."""
     some = F.contains(F.col(text), F.lit(part)) if part else F.lit(True)
     df = df.withColumn(f"{out}_hits", F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
     gaps = F.when(F.size(f"{out}_hits") > 0, F.split(F.col(text), pattern, -1))
     df = df.withColumn(f"{out}_gaps", gaps)
-    spans = F.when(F.size(f"{out}_hits") > 0, located(F.col(f"{out}_hits"), F.col(f"{out}_gaps"), context))
+    spans = F.when(F.size(f"{out}_hits") > 0, located(F.col(f"{out}_hits"), F.col(f"{out}_gaps")))
     spans = F.coalesce(spans, F.array().cast(f"array<{_SPAN}>"))
     return df.withColumn(out, spans).drop(f"{out}_hits", f"{out}_gaps")
 
@@ -128,75 +122,82 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
 
 
+def text_key(text_col: str) -> Column:
+    """One value for equal texts; null is empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: key, id and for each kind an array of (value, start, end, left, right)."""
+    """Per row: key, key of the text, id and for each kind an array of (value, start, end)."""
     found = docs.select(
-        row_key(id_col, text_col).alias("_key"), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")
+        row_key(id_col, text_col).alias("_key"), text_key(text_col).alias("_text_key"), F.col(id_col),
+        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
     )
     for kind, (pattern, part) in KINDS.items():
-        found = _with_matches(found, "_text", f"_{kind}", pattern, part, CONTEXT)
-    return found.select("_key", id_col, *[
+        found = _with_matches(found, "_text", f"_{kind}", pattern, part)
+    return found.select("_key", "_text_key", id_col, *[
         F.filter(f"_{kind}", _valid(kind)).alias(kind) for kind in KINDS
     ])
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """One row per base span: key, kind, entity (its value in a common form), start, end, left, right."""
+    """One row per row and entity it holds: key, key of the text, kind, entity (its value in a common form)."""
     entity = {"email": lambda v: F.lower(v), "card": _digits, "phone": _digits, "ip": lambda v: v}
 
     def named(kind: str) -> Callable[[Column], Column]:
-        return lambda s: F.struct(
-            F.lit(kind).alias("kind"), entity[kind](s["value"]).alias("entity"),
-            *[s[c].alias(c) for c in ("start", "end", "left", "right")],
-        )
+        return lambda s: F.struct(F.lit(kind).alias("kind"), entity[kind](s["value"]).alias("entity"))
 
     every = F.concat(*[F.transform(kind, named(kind)) for kind in KINDS])
-    return found.select("_key", F.inline(every))
+    return found.select("_key", "_text_key", F.inline(F.array_distinct(every)))
 
 
-def context_terms(spans: DataFrame) -> DataFrame:
-    """``spans`` with one row per term: term (lower case), at, until; words cut by the edge of the context are none."""
-    kept = [c for c in spans.columns]
-    for side in ("left", "right"):
-        spans = _with_matches(spans, side, f"_{side}", TERM, "", 0)
-    left = F.filter("_left", lambda s: (s["start"] > 0) | (F.length("left") < CONTEXT))
-    right = F.filter("_right", lambda s: (s["end"] < CONTEXT) | (F.length("right") < CONTEXT))
+def unaddressed(text: Column) -> Column:
+    """``text`` with a line break for every character of an e-mail address: no other base span has letters, and places stay."""
+    pattern, part = KINDS["email"]
+    pieces = F.arrays_zip(
+        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
+    )
+    blank = F.transform(pieces, lambda x: F.concat(x["gap"], F.repeat(F.lit("\n"), F.coalesce(F.length(x["hit"]), F.lit(0)))))
+    return F.when(F.contains(text, F.lit(part)), F.array_join(blank, "")).otherwise(text)
 
-    def placed(terms: Column, origin: Column) -> Column:
-        return F.transform(terms, lambda s: F.struct(
-            F.lower(s["value"]).alias("term"), (origin + s["start"]).alias("at"), (origin + s["end"]).alias("until")
-        ))
 
-    spans = spans.withColumn("_l", left).withColumn("_r", right)
-    return spans.select(*kept, F.inline(F.concat(
-        placed(F.col("_l"), F.col("start") - F.length("left")), placed(F.col("_r"), F.col("end"))
-    )))
+def _terms(texts: DataFrame) -> DataFrame:
+    """(text key, term) of ``texts`` (text key, text): each term once a row, in lower case."""
+    found = F.transform(F.regexp_extract_all(unaddressed(F.col("_text")), F.lit(TERM), F.lit(0)), F.lower)
+    return texts.select("_text_key", F.explode(F.array_distinct(found)).alias("term"))
 
 
 def disclosures(docs: DataFrame, spans: DataFrame, text_col: str = "text", policy: Policy = Policy()) -> DataFrame:
     """(kind, entity, term, disclosure, action) of terms beyond the policy's thresholds, over the whole corpus."""
-    distinct = spans.groupBy("kind", "entity", "left", "right").agg(
-        F.min("_key").alias("_key"), F.min("start").alias("start"), F.min("end").alias("end")
-    )
-    total = docs.count()
-    n_entity = distinct.groupBy("kind", "entity").agg(F.countDistinct("_key").alias("n_e"))
-    around = write_table(context_terms(distinct).select("kind", "entity", "term", "_key").distinct(), "pii-around")
-    pairs = around.groupBy("kind", "entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= policy.support)
+    texts = docs.select(text_key(text_col).alias("_text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    total = texts.select("_text_key").distinct().count()
+    held = write_table(spans.select("_text_key", "kind", "entity").distinct(), "pii-held")
+    # an entity of fewer texts cannot share enough of them with a term
+    n_entity = held.groupBy("kind", "entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= policy.support)
+    n_entity = write_table(n_entity, "pii-entities")
+    held = attach_facts(held, n_entity, ["kind", "entity"], "n_e", ["_text_key"]).where("n_e is not null")
+    held = write_table(held, "pii-shared")
     p_entity = F.col("n_e") / F.lit(total)
 
-    def told(n_term: Column) -> Column:
-        share = F.log(F.col("n_te") / n_term / p_entity) / -F.log(p_entity)
+    def told(n_both: Column, n_term: Column) -> Column:
+        share = F.log(n_both / n_term / p_entity) / -F.log(p_entity)
         return F.when(F.col("n_e") < total, share).otherwise(0.0)
 
-    # documents with the term near any entity are a lower bound of all with the term, and so give an upper
-    # bound of the disclosure: common words are out before the corpus is counted
-    near = around.groupBy("term").agg(F.countDistinct("_key").alias("n_near"))
-    pairs = pairs.join(n_entity, ["kind", "entity"]).join(near, "term").where(told(F.col("n_near")) >= policy.generalise)
+    # texts with the term and any entity are a lower bound of all with the term, and so give an upper
+    # bound of the disclosure: common words are out before pairs are made and before the corpus is counted
+    with_any = texts.join(small_or_shuffled(held.select("_text_key").distinct()), "_text_key", "left_semi")
+    words = write_table(_terms(with_any).distinct(), "pii-words")
+    near = words.groupBy("term").agg(F.count("*").alias("n_near")).where(F.col("n_near") >= policy.support)
+    near = write_table(near, "pii-near")
+    words = attach_facts(words, near, ["term"], "n_near", ["_text_key"]).where("n_near is not null")
+    at_most = told(F.least("n_e", "n_near"), F.col("n_near"))
+    pairs = words.join(held, "_text_key").where(at_most >= policy.generalise)
+    pairs = pairs.groupBy("kind", "entity", "term", "n_e", "n_near").agg(F.count("*").alias("n_te"))
+    pairs = pairs.where((F.col("n_te") >= policy.support) & (told(F.col("n_te"), F.col("n_near")) >= policy.generalise))
     pairs = write_table(pairs, "pii-pairs")
-    terms = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(TERM), F.lit(0)))).alias("term")
-    known = docs.select(terms).join(small_or_shuffled(pairs.select("term").distinct()), "term", "left_semi")
+    known = _terms(texts).join(small_or_shuffled(pairs.select("term").distinct()), "term", "left_semi").distinct()
     n_term = known.groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = pairs.join(n_term, "term").withColumn("disclosure", told(F.col("n_t")))
+    scored = pairs.join(n_term, "term").withColumn("disclosure", told(F.col("n_te"), F.col("n_t")))
     action = F.when(F.col("disclosure") >= policy.remove, "remove").when(F.col("disclosure") >= policy.generalise, "generalise")
     return scored.withColumn("action", action).where("action is not null").select(
         "kind", "entity", "term", "disclosure", "action"
@@ -211,10 +212,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy
     found = write_table(base_spans(docs, id_col, text_col), "pii-spans")
     spans = contexts(found)
     flagged = write_table(disclosures(docs, spans, text_col, policy), "pii-terms")
-    marked = context_terms(spans.join(
-        small_or_shuffled(flagged.select("kind", "entity").distinct()), ["kind", "entity"], "left_semi"
-    )).join(small_or_shuffled(flagged), ["kind", "entity", "term"])
     # a word may disclose several entities: removal wins
+    wanted = spans.join(small_or_shuffled(flagged), ["kind", "entity"]).groupBy("_key", "term").agg(F.max("action").alias("action"))
+    wanted = write_table(wanted, "pii-wanted")
+    rows = docs.select(row_key(id_col, text_col).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = rows.join(small_or_shuffled(wanted.select("_key").distinct()), "_key", "left_semi")
+    rows = _with_matches(rows.withColumn("_text", unaddressed(F.col("_text"))), "_text", "_words", TERM, "")
+    words = rows.select("_key", F.inline(F.transform("_words", lambda s: F.struct(
+        F.lower(s["value"]).alias("term"), s["start"].alias("at"), s["end"].alias("until")
+    ))))
+    marked = words.join(small_or_shuffled(wanted), ["_key", "term"])
     marked = marked.groupBy("_key", "at", "until").agg(F.max("action").alias("action"))
     terms = marked.groupBy("_key").agg(F.sort_array(F.collect_list(
         F.struct(F.col("at").alias("start"), F.col("until").alias("end"), "action")

@@ -169,6 +169,25 @@ def test_copies_prove_nothing(spark):
     assert all("term" not in r["spans"] for r in disclosure.digests(disclosure.find(docs)).collect())
 
 
+def test_copies_of_a_document_hide_nothing(spark):
+    texts = [f"Osprey wrote to bo@x.org about {w} today" for w in ("tea", "rain", "maps")] + [f"note {i} today" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:1] * 200)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in disclosure.sanitise(docs).collect()}
+    assert not any("Osprey" in t for t in out.values()) and out[5] == texts[5]
+
+
+def test_terms_are_found_and_marked_anywhere_in_a_text(spark):
+    filler = "and so the day went on " * 20
+    texts = [f"Osprey, {filler}{w} by a{i}@y.net, b{i}@y.net, bo@x.org, c{i}@y.net. {filler} osprey" for i, w in enumerate(("tea", "rain", "maps"))]
+    texts += [f"note {i} {filler}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in disclosure.find(docs).collect()}
+    for i in range(3):
+        got = {(t["start"], t["end"]) for t in rows[i]["terms"]}
+        assert got == {m.span() for m in re.finditer("osprey", texts[i], re.I)}
+    assert not any(rows[i]["terms"] for i in range(3, len(texts)))
+
+
 def test_sanitise_odd_rows(spark):
     docs = spark.createDataFrame(
         [(1, "mail a@b.cc now", "k"), (1, "mail a@b.cc now", "k"), (None, None, None), (2, "", "x"), (3, "4111111111111111@b.cc", "y")],
