@@ -235,11 +235,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return components(write_table(printed, "simhash-printed"), id_col)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    losers = write_table(found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct(), "simhash-losers")
-    return docs.join(small_or_shuffled(losers), id_col, "left_anti").select(docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without near copies by the pipeline's rule; see ``nearcopies``."""
+    from barcloud.llm import nearcopies  # it builds on this module
+
+    return nearcopies.keep_one(docs, id_col, text_col)
 
 
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barcloud.llm import disclosure, language, packing, quality, simhash
+from barcloud.llm import disclosure, language, nearcopies, packing, quality
 from barcloud.llm.common import has_letter, table
 from barcloud.session import write_table
 
@@ -36,8 +36,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of linked fingerprints (4-word shingles, 4 bits, as the operator's contract has it)."""
-    return simhash.keep_one(docs)
+    """Keeps the smallest doc_id of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return nearcopies.keep_one(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

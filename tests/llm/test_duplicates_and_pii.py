@@ -81,6 +81,50 @@ def test_near_duplicate_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def slow_near_copies(texts: dict[int, str]) -> dict[int, int]:
+    """Smallest id connected by a Jaccard similarity of 0.8 or more of five-word shingles, by comparing all with all."""
+    def cut(text: str) -> set:
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = {k: cut(t) for k, t in texts.items()}
+    near = {a: [b for b, y in sets.items() if x == y or 5 * len(x & y) >= 4 * len(x | y)] for a, x in sets.items()}
+    out = {}
+    for key in sorted(near):
+        waiting = [key] if key not in out else []
+        while waiting:
+            at = waiting.pop()
+            if at not in out:
+                out[at] = key
+                waiting += near[at]
+    return out
+
+
+@pytest.mark.parametrize("shard_rows", [4096, 6])
+def test_the_stage_finds_planted_near_copies(spark, monkeypatch, shard_rows):
+    import corpus_pipeline
+    from barcloud.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "SHARD_ROWS", shard_rows)
+    rng, texts = random.Random(4), []
+    for n in (8, 40, 300, 300, 300, 1000):
+        base = [f"v{rng.randrange(3000)}" for _ in range(n)]
+        texts.append(base)
+        for changed in [0, 1, 1, 2, 3, 5, 8, 13, 20, 40]:
+            copy = list(base)
+            for i in rng.sample(range(n), min(n, changed)):
+                copy[i] = f"u{rng.randrange(10**6)}"
+            texts += [copy, copy + [f"t{rng.randrange(10**6)}" for _ in range(changed)]]
+    line = [f"common{i}" for i in range(30)]
+    texts += [line + [f"x{rng.randrange(10**6)}" for _ in range(60)] for _ in range(30)]
+    rng.shuffle(texts)
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    want = slow_near_copies(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(docs).collect()} == want
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {k for k, v in want.items() if k == v}
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
