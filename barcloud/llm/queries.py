@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from barcloud.llm import bitslice, bytebpe, disclosure, language, packing, postings, quality, repair, simhash, warc
+from barcloud.llm import (
+    bitslice, bytebpe, disclosure, language, linededup, packing, postings, quality, repair, simhash, warc,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +25,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_disclosure": disclosure.op8_pii_disclosure,
         "op9_quality_weak": quality.op9_quality_weak,
         "op10_simhash_bktree": simhash.op10_simhash_bktree,
+        "op11_lines_range": linededup.op11_lines_range,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk_bitslice": bitslice.OP4_SQL, "op5_warc_revisits": warc.OP5_SQL}
+    return {
+        "op4_topk_bitslice": bitslice.OP4_SQL,
+        "op5_warc_revisits": warc.OP5_SQL,
+        "op11_lines_range": linededup.OP11_SQL,
+    }
