@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from barcloud.llm import (
-    bitslice, bytebpe, disclosure, language, linededup, packing, postings, quality, repair, simhash, warc,
+    bitslice, bytebpe, disclosure, language, linededup, packing, postings, quality, repair, simhash, turns, warc,
 )
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_weak": quality.op9_quality_weak,
         "op10_simhash_bktree": simhash.op10_simhash_bktree,
         "op11_lines_range": linededup.op11_lines_range,
+        "op12_turns_hirschberg": turns.op12_turns_hirschberg,
     }
 
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_topk_bitslice": bitslice.OP4_SQL,
         "op5_warc_revisits": warc.OP5_SQL,
         "op11_lines_range": linededup.OP11_SQL,
+        "op12_turns_hirschberg": turns.OP12_SQL,
     }
