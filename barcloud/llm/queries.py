@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from barcloud.llm import (
-    bitslice, bytebpe, disclosure, language, linededup, packing, postings, quality, repair, simhash, turns, warc,
+    bitslice, bytebpe, crosstoken, disclosure, language, linededup, packing, postings, quality, repair, simhash, turns, warc,
 )
 
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash_bktree": simhash.op10_simhash_bktree,
         "op11_lines_range": linededup.op11_lines_range,
         "op12_turns_hirschberg": turns.op12_turns_hirschberg,
+        "op13_align_identity": crosstoken.op13_align_identity,
     }
 
 

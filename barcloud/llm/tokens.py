@@ -52,7 +52,7 @@ _WORDS = re.compile(
     f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+"
 )
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable stand-in of every byte in byte-level vocabularies: printable Latin-1 stands for itself."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     table = {b: chr(b) for b in own}
@@ -67,7 +67,7 @@ class WordBPE:
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True
         self._model = self._library.model
-        self._letters = _byte_letters()
+        self._letters = byte_letters()
         self._words = Memory(self._word)
         self._chunks = Memory(self._chunk)
 
