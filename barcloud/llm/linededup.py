@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barcloud.llm.common import attach_facts, table, with_arrow_columns
+from barcloud.llm.common import attach_facts, table, with_arrow_columns, without
 from barcloud.session import write_table
 
 LEAST = 10
@@ -168,30 +168,32 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text stays null and counts as one empty line.  Input columns named like a result give way to it.
     """
-    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    facts = write_table(keep_bitmaps(docs, id_col, text_col, least), "line-bitmaps").withColumnRenamed("n_lines", "_n")
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], *_row_key(id_col, text_col), F.monotonically_increasing_id().alias("_at"))
-    joined = attach_facts(rows, facts.select("_k1", "_k2", "copies", "_n", "bitmap", "n_dropped"), ["_k1", "_k2"], "copies", ["_at"])
-    text = F.col(f"`{text_col}`")
-    lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(1))
-    joined = joined.select(*[F.col(f"`{c}`") for c in columns], "bitmap", lines.cast("long").alias("n_lines"),
+    columns = without(docs, "n_lines", "n_dropped").columns
+    facts = write_table(keep_bitmaps(docs, id_col, text_col, least), "line-bitmaps").drop("n_lines")
+    # the caller's columns travel in a struct, so that their names can't clash
+    rest = F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("rest")
+    rows = docs.select(rest, F.col(f"`{text_col}`").alias("body"), *_row_key(id_col, text_col), F.monotonically_increasing_id().alias("at"))
+    joined = attach_facts(rows, facts, ["_k1", "_k2"], "copies", ["at"])
+    lines = F.coalesce(F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit(""))) + 1, F.lit(1))
+    joined = joined.select("rest", "body", "bitmap", lines.cast("long").alias("n_lines"),
                            F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
-    new = T.StructType([T.StructField(text_col, T.StringType())])
+    new = T.StructType([T.StructField("body", T.StringType())])
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        texts = batch.column(text_col)
+        texts = batch.column("body")
         marked = np.flatnonzero(batch.column("bitmap").is_valid().to_numpy(zero_copy_only=False))
         if not len(marked):
-            return {text_col: texts}
+            return {"body": texts}
         out = texts.to_pylist()
         for i in marked:
             lines = out[i].split("\n")
             keep = keep_mask(batch.column("bitmap")[i].as_py(), len(lines))
             out[i] = "\n".join(line for line, k in zip(lines, keep) if k)
-        return {text_col: pa.array(out, texts.type)}
+        return {"body": pa.array(out, texts.type)}
 
     made = with_arrow_columns(joined, make, new, drop=("bitmap",))
-    return made.select(*[F.col(f"`{c}`") for c in columns], "n_lines", "n_dropped")
+    back = [F.col("body").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in columns]
+    return made.select(*back, "n_lines", "n_dropped")
 
 
 def op11_lines_range(spark: SparkSession, sf_dir: str) -> DataFrame:
