@@ -8,8 +8,9 @@ An array gives for each A id the B id with the same bytes.  A group of one token
 *exact*: such groups are counted by A id alone, in vectors of the vocabulary's length, and never leave a task as pairs.  Only
 the links of other groups enter the shuffle of pairs, summed per block of documents before.
 
-No token of either reaches from a character into following white space, so a text is aligned in stretches of white
-space and what follows, each distinct stretch once per worker.  Texts with other white space, controls or U+2581 are one stretch.
+No token of either reaches from a character into following white space, or from a letter into a following full stop or comma,
+so texts are cut there; each distinct stretch of a block of documents goes through both tokenizers once and all are
+aligned together, as arrays.  Texts with other white space, controls or U+2581 are one stretch.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -34,46 +36,24 @@ from barcloud.session import write_table
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A block of documents ends with the one that reaches so many characters.
-BLOCK_CHARS = 1 << 21
-#: Bytes of stretches a worker remembers; one generation of two.
-MEMORY_CHARS = 16 << 20
+BLOCK_CHARS = 1 << 22
 _SPACE = "\u2581"
+_LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _WHOLE = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2581\u3000\ufeff]")
-_STRETCH = re.compile("[ \t\n]*[^ \t\n]+|[ \t\n]+")
+_STRETCH = re.compile(f"\n(?=[^ \t\n])|[ \t\n]*[^ \t\n.,]*[{_LETTER}](?=[.,])|[ \t\n]*[^ \t\n]+|[ \t\n]+")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
-class Stretch:
-    """The alignment of one stretch: tokens of both, groups as text, exact A ids, links of the other groups."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "text", "exact", "pairs")
-
-    def __init__(self, a: list[int], b: list[int], ends_a: list[int], ends_b: list[int], same: np.ndarray):
-        groups, exact, pairs = [], [], []
-        i = j = 0
-        while i < len(a):
-            from_a, from_b = i, j
-            i, j = i + 1, j + 1
-            while ends_a[i - 1] != ends_b[j - 1]:
-                if ends_a[i - 1] < ends_b[j - 1]:
-                    i += 1
-                else:
-                    j += 1
-            if i - from_a == 1 and j - from_b == 1 and same[a[from_a]] == b[from_b]:
-                exact.append(a[from_a])
-            else:
-                x, y = from_a, from_b
-                while x < i and y < j:  # both ends of the group meet, so this walks all overlaps
-                    pairs.append(a[x] << 32 | b[y])
-                    end_a, end_b = ends_a[x], ends_b[y]
-                    x, y = x + (end_a <= end_b), y + (end_b <= end_a)
-            groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-        self.n_a, self.n_b, self.n_groups, self.text = len(a), len(b), len(groups), ";".join(groups)
-        self.exact, self.pairs = exact, pairs
+class _Numbers(dict):
+    """Numbers keys in the order they come."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
 
 
 class Aligner:
-    """Both tokenizers; ``stretches(text)`` are a text's aligned stretches, or None where it has no tokens."""
+    """Both tokenizers and the bytes of their tokens; ``same`` has for each A id the B id with its bytes, or -1."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its own core
@@ -88,16 +68,14 @@ class Aligner:
         self._bytes_a = [bytes_a.get(i, b"") for i in range(self.size_a)]
         pieces = [self._b.id_to_piece(i) for i in range(self._b.piece_size())]
         self._bytes_b = [self._piece_bytes(i, p) for i, p in enumerate(pieces)]
+        self._sizes_a, self._sizes_b = (np.array([len(v) for v in x], np.int64) for x in (self._bytes_a, self._bytes_b))
         # pieces before byte stand-ins: where two ids have the same bytes, the piece is the usual one
         ids = {v: i for i, v in reversed(list(enumerate(self._bytes_b))) if v}
         ids |= {v: i for i, v in reversed(list(enumerate(self._bytes_b))) if v and not self._b.is_byte(i)}
         self.same = np.array([ids.get(v, -1) if v else -1 for v in self._bytes_a], np.int64)
         self._space = self._b.piece_to_id(_SPACE)
-        # stretches may only begin with white space that no piece has inside
-        self._split = not any(re.search(f"[^{_SPACE}]{_SPACE}|[\t\n]", p) for p in pieces)
-        self._young: dict[str, Stretch | None] = {}
-        self._old: dict[str, Stretch | None] = {}
-        self._chars = 0
+        # texts may only be cut where no piece reaches over
+        self._cut = not any(re.search(f"[^{_SPACE}]{_SPACE}|[\t\n]|[{_LETTER}][.,]", p) for p in pieces)
 
     def _piece_bytes(self, number: int, piece: str) -> bytes:
         if self._b.is_control(number) or self._b.is_unknown(number):
@@ -106,42 +84,73 @@ class Aligner:
             return bytes([int(_BYTE.fullmatch(piece)[1], 16)])
         return piece.replace(_SPACE, " ").encode()
 
-    def __getitem__(self, stretch: str) -> Stretch | None:
-        if stretch in self._young:
-            return self._young[stretch]
-        found = self._old[stretch] if stretch in self._old else self._align(stretch, False)
-        if len(stretch) <= 64:
-            self._chars += len(stretch) + 200  # about what the lists of a short stretch take
-            if self._chars > MEMORY_CHARS:
-                self._old, self._young, self._chars = self._young, {}, 0
-            self._young[stretch] = found
-        return found
-
-    def stretches(self, text: str | None) -> list[Stretch] | None:
+    def stretches(self, text: str | None) -> list[str]:
+        """A space and the text, cut; nothing for a null or empty text."""
         if not text:
-            return None
+            return []
         text = " " + text
-        if not self._split or _WHOLE.search(text):
-            found = [self._align(text, True)]
-        else:
-            found = list(map(self.__getitem__, _STRETCH.findall(text)))
-        return None if None in found else found
-
-    def _align(self, stretch: str, whole: bool) -> Stretch | None:
-        raw = stretch.encode()
-        a = self._a.encode(stretch, add_special_tokens=False).ids
-        if whole or stretch[0] == " ":
-            b = self._b.encode(stretch[1:]) if len(stretch) > 1 else [self._space]
-        else:  # the space that B adds is a token of its own before a tab or line end
-            b = self._b.encode(stretch)
-            if not b or b[0] != self._space:
-                return None
-            b = b[1:]
-        parts_a, parts_b = [self._bytes_a[i] for i in a], [self._bytes_b[i] for i in b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        ends = [np.cumsum([len(p) for p in parts]).tolist() for parts in (parts_a, parts_b)]
-        return Stretch(a, b, *ends, self.same)
+        return [text] if not self._cut or _WHOLE.search(text) else _STRETCH.findall(text)
+
+    def _ids_b(self, stretches: list[str]) -> list[list[int]]:
+        """B's ids.  It adds a space before what it is given: that replaces a first space, and goes again from elsewhere."""
+        given = [s[1:] if s[0] == " " else s if s[0] in "\t\n" else "\n" + s for s in stretches]
+        found = self._b.encode(given, num_threads=1)
+        drop = [0 if s[0] == " " else 1 if s[0] in "\t\n" else 2 for s in stretches]
+        return [[self._space] if s == " " else f[d:] for s, f, d in zip(stretches, found, drop)]
+
+    def align(self, stretches: list[str]) -> dict[str, object]:
+        """All ``stretches`` aligned: per stretch tokens, groups (as text too), exact groups and other links, one behind the other.
+
+        ``good`` marks those both tokenizers give back; the others have nothing.
+        """
+        n = len(stretches)
+        raw = [s.encode() for s in stretches]
+        ids = [[e.ids for e in self._a.encode_batch_fast(stretches, add_special_tokens=False)], self._ids_b(stretches)]
+        given_back = [_given_back(raw, rows, names) for rows, names in zip(ids, (self._bytes_a, self._bytes_b))]
+        good = given_back[0] & given_back[1]
+        tokens, ends, counts = [], [], []
+        for rows, sizes in zip(ids, (self._sizes_a, self._sizes_b)):
+            rows = rows if good.all() else [row if g else [] for row, g in zip(rows, good)]
+            counts.append(np.fromiter(map(len, rows), np.int64, n))
+            tokens.append(np.fromiter(chain.from_iterable(rows), np.int64, int(counts[-1].sum())))
+            ends.append(np.cumsum(sizes[tokens[-1]]))
+        (a, b), (ends_a, ends_b) = tokens, ends
+        limits = np.cumsum([len(r) if g else 0 for r, g in zip(raw, good)])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        stops_a, stops_b = np.searchsorted(ends_a, common) + 1, np.searchsorted(ends_b, common) + 1
+        one = (np.diff(stops_a, prepend=0) == 1) & (np.diff(stops_b, prepend=0) == 1)
+        exact = one & (self.same[a[stops_a - 1]] == b[stops_b - 1])
+        # every piece between neighbouring ends of either lies in one token of each: that is their link
+        cuts = np.union1d(ends_a, ends_b)
+        other = ~exact[np.searchsorted(common, cuts)]
+        of_stretch = np.searchsorted(limits, cuts)
+        pairs = a[np.searchsorted(ends_a, cuts[other])] << 32 | b[np.searchsorted(ends_b, cuts[other])]
+        group_stretch = np.searchsorted(limits, common)
+        groups = _group_texts(a.tolist(), b.tolist(), stops_a.tolist(), stops_b.tolist())
+        n_groups = np.bincount(group_stretch, minlength=n)
+        stops = np.cumsum(n_groups)
+        return {
+            "good": good, "n_a": counts[0], "n_b": counts[1], "n_groups": n_groups, "exact": a[stops_a[exact] - 1],
+            "exact_sizes": np.bincount(group_stretch[exact], minlength=n), "pairs": pairs,
+            "pair_sizes": np.bincount(of_stretch[other], minlength=n),
+            "groups": [";".join(groups[e - k : e]) for k, e in zip(n_groups.tolist(), stops.tolist())],
+        }
+
+
+def _given_back(raw: list[bytes], rows: list[list[int]], names: list[bytes]) -> np.ndarray:
+    """Which stretches the bytes of their tokens give back."""
+    joined = [b"".join([names[i] for i in row]) for row in rows]
+    if joined == raw:
+        return np.ones(len(raw), bool)
+    return np.array([r == j for r, j in zip(raw, joined)], bool)
+
+
+def _group_texts(a: list[int], b: list[int], stops_a: list[int], stops_b: list[int]) -> list[str]:
+    a, b, out, i, j = list(map(str, a)), list(map(str, b)), [], 0, 0
+    for x, y in zip(stops_a, stops_b):
+        out.append(f"{a[i]}|{b[j]}" if x - i == y - j == 1 else ",".join(a[i:x]) + "|" + ",".join(b[j:y]))
+        i, j = x, y
+    return out
 
 
 _loaded: dict[tuple[str, str], Aligner] = {}
@@ -155,41 +164,33 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 
 class _Block:
-    """Documents of a block: numbers of their distinct stretches, and what the stretches hold."""
+    """Documents of a block as numbers of their distinct stretches."""
 
-    def __init__(self, size_a: int):
-        self.size_a, self.ids, self.rows, self.numbers, self.held, self.chars = size_a, [], [], {}, [], 0
+    def __init__(self, both: Aligner):
+        self.both, self.ids, self.rows, self.numbers, self.chars = both, [], [], _Numbers(), 0
 
-    def add(self, key, stretches: list[Stretch] | None, chars: int) -> None:
+    def add(self, key, text: str | None, chars: int) -> None:
         self.ids.append(key)
         self.chars += chars
-        row = []
-        for s in stretches or ():
-            number = self.numbers.setdefault(id(s), len(self.held))
-            if number == len(self.held):
-                self.held.append(s)
-            row.append(number)
-        self.rows.append(row)
+        self.rows.append(np.array(list(map(self.numbers.__getitem__, self.both.stretches(text))), np.uint32))
 
     def columns(self) -> dict[str, object]:
-        """Sums per document and per stretch as arrays of numbers, pairs of the block with their links."""
-        sizes = np.array([len(r) for r in self.rows], np.int64)
-        numbers = np.array([n for r in self.rows for n in r], np.int64)
-        times = np.bincount(numbers, minlength=len(self.held))
-        exact = np.array([x for s in self.held for x in s.exact], np.int64)
-        exact_sizes = np.array([len(s.exact) for s in self.held], np.int64)
-        vector = np.bincount(exact, np.repeat(times, exact_sizes), self.size_a).astype(np.int64)
-        links = np.array([p for s in self.held for p in s.pairs], np.int64)
-        pair_sizes = np.array([len(s.pairs) for s in self.held], np.int64)
-        pairs, places = np.unique(links, return_inverse=True)
-        per_pair = np.bincount(places, np.repeat(times, pair_sizes), len(pairs)).astype(np.int64)
-        seen = np.flatnonzero(vector)
+        """The block's row: documents as stretches, what the stretches hold, and the pairs of the block with their links."""
+        made = self.both.align(list(self.numbers))
+        size, good = len(self.numbers), made["good"]
+        rows = self.rows if good.all() else [r if good[r].all() else r[:0] for r in self.rows]
+        numbers = np.concatenate(rows).astype(np.int64)
+        times = np.bincount(numbers, minlength=size)
+        exact = np.bincount(made["exact"], np.repeat(times, made["exact_sizes"]), self.both.size_a).astype(np.int64)
+        pairs, places = np.unique(made["pairs"], return_inverse=True)
+        links = np.bincount(places, np.repeat(times, made["pair_sizes"]), len(pairs)).astype(np.int64)
+        seen = np.flatnonzero(exact)
         narrow = lambda values: values.astype("<u2" if values.max(initial=0) < 1 << 16 else "<u4").tobytes()
         return {
-            "ids": self.ids, "sizes": sizes.tolist(), "numbers": narrow(numbers), "exact_ids": seen.tolist(), "exact_counts": vector[seen].tolist(),
-            "pairs": pairs.tolist(), "pair_counts": per_pair.tolist(), "exact": narrow(exact), "exact_sizes": narrow(exact_sizes),
-            "places": narrow(places), "pair_sizes": narrow(pair_sizes), "n_a": [s.n_a for s in self.held],
-            "n_b": [s.n_b for s in self.held], "n_groups": [s.n_groups for s in self.held], "groups": [s.text for s in self.held],
+            "ids": self.ids, "sizes": [len(r) for r in rows], "numbers": narrow(numbers), "exact_ids": seen, "exact_counts": exact[seen],
+            "pairs": pairs, "pair_counts": links, "exact": narrow(made["exact"]), "exact_sizes": narrow(made["exact_sizes"]),
+            "places": narrow(places), "pair_sizes": narrow(made["pair_sizes"]), "n_a": made["n_a"], "n_b": made["n_b"],
+            "n_groups": made["n_groups"], "groups": made["groups"],
         }
 
 
@@ -210,7 +211,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(path_a, path_b)
-        number, block = TaskContext.get().partitionId() << 32, _Block(both.size_a)
+        number, block = TaskContext.get().partitionId() << 32, _Block(both)
 
         def out() -> pa.RecordBatch:
             made = block.columns()
@@ -224,8 +225,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: str
                 chars = 64 + len(text or "")
                 if block.ids and block.chars + chars > BLOCK_CHARS:
                     yield out()
-                    number, block = number + 1, _Block(both.size_a)
-                block.add(key, both.stretches(text), chars)
+                    number, block = number + 1, _Block(both)
+                block.add(key, text, chars)
         if block.ids:
             yield out()
 
