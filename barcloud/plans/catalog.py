@@ -12,7 +12,7 @@ from barcloud.config import PLATFORMS, get_platform
 from barcloud.functions import alignment as A
 from barcloud.functions import bases as B
 from barcloud.functions import headers as H
-from barcloud.operators import buckets, candidates, clouds, correction, counting, density, em, sam
+from barcloud.operators import buckets, candidates, clouds, components, correction, counting, density, em, sam
 from barcloud.plans import align, lens, preproc
 from barcloud.plans.count import count as count_reads
 from barcloud.session import cut_lineage, shared_folder, tune
@@ -368,6 +368,13 @@ def cloud_weight_init(spark, sf):
     return _initial(spark, sf).groupBy(*clouds.CLOUD).agg(F.round(F.sum("gamma"), 6).alias("weight"))
 
 
+@query
+def cloud_components(spark, sf):
+    """Components of clouds that share a read, and each cloud's share of its component's weight."""
+    found = components.cloud_components(_initial(spark, sf))
+    return found.select(*clouds.CLOUD, "component", "n_clouds", F.round("weight", 6).alias("weight"), F.round("share", 6).alias("share"))
+
+
 @query
 def em_gate(spark, sf):
     """Barcodes with enough read pairs, aligned or not, for expectation-maximisation."""

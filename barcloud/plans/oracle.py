@@ -223,6 +223,22 @@ def _initial(density: bool = False) -> list[tuple[str, str]]:
     ]
 
 
+def _components() -> str:
+    """Labels of smaller clouds spread over links until nothing is new; the least label names the component."""
+    ctes = _initial() + [
+        ("node", "select distinct bc, ident, mate, (cast(chrom as bigint) << 40) + cloud as u from ini"),
+        ("link", "select distinct a.bc, a.u, b.u as v from node a join node b on a.bc = b.bc and a.ident = b.ident and a.mate = b.mate and a.u <> b.u"),
+        ("reach", """select distinct bc, u, u as label from node
+           union select l.bc, l.v, r.label from reach r join link l on r.bc = l.bc and r.u = l.u where r.label < l.v"""),
+        ("comp", "select bc, u, min(label) as component from reach group by 1, 2"),
+        ("weight", "select bc, chrom, cloud, (cast(chrom as bigint) << 40) + cloud as u, sum(gamma) as weight from ini group by 1, 2, 3"),
+    ]
+    final = """select bc, chrom, cloud, component, count(*) over c as n_clouds, round(weight, 6) as weight,
+          round(weight / sum(weight) over c, 6) as share
+        from weight join comp using (bc, u) window c as (partition by bc, component)"""
+    return _with(ctes, final).replace("with ", "with recursive ", 1)
+
+
 def _mate_term(gamma_table: str) -> str:
     """Per candidate: best of -15 and penalty + ln(gamma) over the mate's candidates in the cloud."""
     return f"""select i.bc, i.ident, i.mate, i.bwa_rank, greatest(-15.0::double, max(
@@ -456,6 +472,7 @@ def oracle_sql() -> dict[str, str]:
         "cloud_collisions": _with(_clouded(), "select bc, chrom, cloud, ident, mate, cast(count(*) as bigint) as n from cl group by 1, 2, 3, 4, 5 having count(*) > 1"),
         "softmax_init": _with(_initial(), f"select {_KEY}, round(gamma, 9) as gamma from ini"),
         "cloud_weight_init": _with(_initial(), "select bc, chrom, cloud, round(sum(gamma), 6) as weight from ini group by 1, 2, 3"),
+        "cloud_components": _components(),
         "em_gate": _with(_scored(), f"select bc, cast({_PAIRS} as bigint) as n_pairs, {_PAIRS} >= 30 as em from lens group by 1"),
         "mate_lookup": _with(_admitted() + [("c", f"select {read}, cast(count(*) as bigint) as n_cands from adm group by 1, 2, 3")],
                              "select a.*, b.n_cands as mate_cands from c a left join c b on a.bc = b.bc and a.ident = b.ident and a.mate <> b.mate"),
