@@ -25,6 +25,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from barcloud.session import write_table
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A block of documents ends with the one that reaches so many characters.
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 21
 _SPACE = "\u2581"
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _WHOLE = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2581\u3000\ufeff]")
@@ -99,7 +100,7 @@ class Aligner:
         return [[self._space] if s == " " else f[d:] for s, f, d in zip(stretches, found, drop)]
 
     def align(self, stretches: list[str]) -> dict[str, object]:
-        """All ``stretches`` aligned: per stretch tokens, groups (as text too), exact groups and other links, one behind the other.
+        """All ``stretches`` aligned: per stretch tokens, groups, exact groups and other links, one behind the other.
 
         ``good`` marks those both tokenizers give back; the others have nothing.
         """
@@ -126,14 +127,11 @@ class Aligner:
         of_stretch = np.searchsorted(limits, cuts)
         pairs = a[np.searchsorted(ends_a, cuts[other])] << 32 | b[np.searchsorted(ends_b, cuts[other])]
         group_stretch = np.searchsorted(limits, common)
-        groups = _group_texts(a.tolist(), b.tolist(), stops_a.tolist(), stops_b.tolist())
-        n_groups = np.bincount(group_stretch, minlength=n)
-        stops = np.cumsum(n_groups)
         return {
-            "good": good, "n_a": counts[0], "n_b": counts[1], "n_groups": n_groups, "exact": a[stops_a[exact] - 1],
+            "good": good, "n_a": counts[0], "n_b": counts[1], "n_groups": np.bincount(group_stretch, minlength=n), "a": a, "b": b,
+            "group_a": np.diff(stops_a, prepend=0), "group_b": np.diff(stops_b, prepend=0), "exact": a[stops_a[exact] - 1],
             "exact_sizes": np.bincount(group_stretch[exact], minlength=n), "pairs": pairs,
             "pair_sizes": np.bincount(of_stretch[other], minlength=n),
-            "groups": [";".join(groups[e - k : e]) for k, e in zip(n_groups.tolist(), stops.tolist())],
         }
 
 
@@ -185,20 +183,29 @@ class _Block:
         pairs, places = np.unique(made["pairs"], return_inverse=True)
         links = np.bincount(places, np.repeat(times, made["pair_sizes"]), len(pairs)).astype(np.int64)
         seen = np.flatnonzero(exact)
-        narrow = lambda values: values.astype("<u2" if values.max(initial=0) < 1 << 16 else "<u4").tobytes()
+        packed = {c: _packed(made[c]) for c in _PACKED if c in made} | {"numbers": _packed(numbers), "places": _packed(places)}
         return {
-            "ids": self.ids, "sizes": [len(r) for r in rows], "numbers": narrow(numbers), "exact_ids": seen, "exact_counts": exact[seen],
-            "pairs": pairs, "pair_counts": links, "exact": narrow(made["exact"]), "exact_sizes": narrow(made["exact_sizes"]),
-            "places": narrow(places), "pair_sizes": narrow(made["pair_sizes"]), "n_a": made["n_a"], "n_b": made["n_b"],
-            "n_groups": made["n_groups"], "groups": made["groups"],
+            "ids": self.ids, "sizes": [len(r) for r in rows], "stretches": size, "exact_ids": seen, "exact_counts": exact[seen],
+            "pairs": pairs, "pair_counts": links, **packed,
         }
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers of 16 or 32 bits each, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u2" if values.max(initial=0) < 1 << 16 else "<u4").tobytes())
+
+
+def _unpacked(value: pa.Scalar, length: int) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(value.as_py())
+    return np.frombuffer(raw, "<u4" if length and len(raw) == 4 * length else "<u2").astype(np.int64)
+
+
+#: Arrays of numbers of a block: stretches of the documents; of each stretch tokens, groups, exact groups and links; then
+#: one behind the other tokens, tokens of each group, exact A ids, and places of the links in ``pairs``.
+_PACKED = ["numbers", "n_a", "n_b", "n_groups", "exact_sizes", "pair_sizes", "a", "b", "group_a", "group_b", "exact", "places"]
 _BLOCK = {
-    "sizes": pa.list_(pa.int64()), "numbers": pa.binary(), "exact_ids": pa.list_(pa.int64()), "exact_counts": pa.list_(pa.int64()),
-    "pairs": pa.list_(pa.int64()), "pair_counts": pa.list_(pa.int64()), "exact": pa.binary(), "exact_sizes": pa.binary(),
-    "places": pa.binary(), "pair_sizes": pa.binary(), "n_a": pa.list_(pa.int64()), "n_b": pa.list_(pa.int64()),
-    "n_groups": pa.list_(pa.int64()), "groups": pa.list_(pa.string()),
+    "sizes": pa.list_(pa.int64()), "stretches": pa.int64(), "exact_ids": pa.list_(pa.int64()), "exact_counts": pa.list_(pa.int64()),
+    "pairs": pa.list_(pa.int64()), "pair_counts": pa.list_(pa.int64()), **dict.fromkeys(_PACKED, pa.binary()),
 }
 
 
@@ -206,7 +213,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: str
     """Aligned documents, a row per block of about ``BLOCK_CHARS`` characters; a longer text is a block of its own."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    spark_types = {pa.list_(pa.int64()): "array<long>", pa.binary(): "binary", pa.list_(pa.string()): "array<string>"}
+    spark_types = {pa.list_(pa.int64()): "array<long>", pa.binary(): "binary", pa.int64(): "long"}
     schema = f"block long, ids array<{kind}>, " + ", ".join(f"{c} {spark_types[t]}" for c, t in _BLOCK.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,8 +291,7 @@ def align(
     asked = made.select("block", F.explode("pairs").alias("pair"))
     answered = attach_facts(asked, pairs.where("blocks > 0"), ["pair"], "blocks", ["block"])
     facts = answered.groupBy("block").agg(F.collect_list(F.struct("pair", "n", "best")).alias("facts"))
-    wide = ["block", "ids", "sizes", "numbers", "pairs", "exact", "exact_sizes", "places", "pair_sizes", "n_a", "n_b", "n_groups", "groups"]
-    joined = made.select(*wide).join(facts, "block", "left")
+    joined = made.select("block", "ids", "sizes", "stretches", "pairs", *_PACKED).join(facts, "block", "left")
     kind = made.schema["ids"].dataType.elementType.simpleString()
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     schema = f"`{id_col}` {kind}, {', '.join(f'{n} long' for n in names)}, groups string"
@@ -299,11 +305,6 @@ def align(
     return joined.mapInArrow(run, schema)
 
 
-def _wide(value: pa.Scalar, length: int) -> np.ndarray:
-    raw = value.as_py()
-    return np.frombuffer(raw, "<u4" if length and len(raw) == 4 * length else "<u2").astype(np.int64)
-
-
 def _summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches of ``values``; of an empty one, zero."""
     ends = np.cumsum(sizes)
@@ -312,12 +313,11 @@ def _summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _finish(row: dict[str, pa.Scalar], count: np.ndarray, best: np.ndarray) -> tuple[pa.Array, list[np.ndarray], list[str]]:
-    held = row["n_a"].values
-    size = len(held)
-    sizes = row["sizes"].values.to_numpy()
-    numbers = _wide(row["numbers"], int(sizes.sum()))
-    exact_sizes, pair_sizes = _wide(row["exact_sizes"], size), _wide(row["pair_sizes"], size)
-    exact, places = _wide(row["exact"], int(exact_sizes.sum())), _wide(row["places"], int(pair_sizes.sum()))
+    size, sizes = row["stretches"].as_py(), row["sizes"].values.to_numpy()
+    numbers = _unpacked(row["numbers"], int(sizes.sum()))
+    n_a, n_b, n_groups, exact_sizes, pair_sizes = (
+        _unpacked(row[c], size) for c in ("n_a", "n_b", "n_groups", "exact_sizes", "pair_sizes"))
+    exact, places = _unpacked(row["exact"], int(exact_sizes.sum())), _unpacked(row["places"], int(pair_sizes.sum()))
     pairs = row["pairs"].values.to_numpy()
     n, most = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
     if row["facts"].is_valid:
@@ -325,13 +325,16 @@ def _finish(row: dict[str, pa.Scalar], count: np.ndarray, best: np.ndarray) -> t
         at = np.searchsorted(pairs, facts.field("pair").to_numpy())
         n[at], most[at] = facts.field("n").to_numpy(), facts.field("best").to_numpy(zero_copy_only=False)
     of_stretch = [
-        held.to_numpy(), row["n_b"].values.to_numpy(), row["n_groups"].values.to_numpy(), exact_sizes + pair_sizes,
-        _summed(best[exact], exact_sizes) + _summed(most[places], pair_sizes),
+        n_a, n_b, n_groups, exact_sizes + pair_sizes, _summed(best[exact], exact_sizes) + _summed(most[places], pair_sizes),
         _summed(count[exact], exact_sizes) + _summed(n[places], pair_sizes),
     ]
     sums = [_summed(np.asarray(v, np.int64)[numbers], sizes) for v in of_stretch]
-    texts_, ends = row["groups"].values.to_pylist(), np.cumsum(sizes)
-    groups = [";".join([texts_[k] for k in numbers[e - s : e]]) for s, e in zip(sizes, ends)]
+    total = int(n_groups.sum())
+    stops = [np.cumsum(_unpacked(row[c], total)).tolist() for c in ("group_a", "group_b")]
+    every = _group_texts(_unpacked(row["a"], int(n_a.sum())).tolist(), _unpacked(row["b"], int(n_b.sum())).tolist(), *stops)
+    ends = np.cumsum(n_groups)
+    told = [";".join(every[e - k : e]) for k, e in zip(n_groups.tolist(), ends.tolist())]
+    groups = [";".join([told[k] for k in numbers[e - s : e]]) for s, e in zip(sizes, np.cumsum(sizes))]
     return row["ids"].values, sums, groups
 
 
