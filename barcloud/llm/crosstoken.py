@@ -38,6 +38,7 @@ from barcloud.session import write_table
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A block of documents ends with the one that reaches so many characters.
 BLOCK_CHARS = 1 << 21
+_AT_ONCE = 2048
 _SPACE = "\u2581"
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _WHOLE = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u2581\u3000\ufeff]")
@@ -92,6 +93,12 @@ class Aligner:
         text = " " + text
         return [text] if not self._cut or _WHOLE.search(text) else _STRETCH.findall(text)
 
+    def _ids_a(self, stretches: list[str]) -> Iterator[list[int]]:
+        """A's ids, some stretches at a time: what the library returns for each is much larger than its ids."""
+        for at in range(0, len(stretches), _AT_ONCE):
+            for found in self._a.encode_batch_fast(stretches[at : at + _AT_ONCE], add_special_tokens=False):
+                yield found.ids
+
     def _ids_b(self, stretches: list[str]) -> list[list[int]]:
         """B's ids.  It adds a space before what it is given: that replaces a first space, and goes again from elsewhere."""
         given = [s[1:] if s[0] == " " else s if s[0] in "\t\n" else "\n" + s for s in stretches]
@@ -106,7 +113,7 @@ class Aligner:
         """
         n = len(stretches)
         raw = [s.encode() for s in stretches]
-        ids = [[e.ids for e in self._a.encode_batch_fast(stretches, add_special_tokens=False)], self._ids_b(stretches)]
+        ids = [list(self._ids_a(stretches)), self._ids_b(stretches)]
         given_back = [_given_back(raw, rows, names) for rows, names in zip(ids, (self._bytes_a, self._bytes_b))]
         good = given_back[0] & given_back[1]
         tokens, ends, counts = [], [], []
