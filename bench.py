@@ -7,7 +7,7 @@ import os
 import sys
 import time
 
-from barcloud.plans import catalog
+from barcloud.plans import catalog, reference_catalog  # noqa: F401 (registers its queries)
 from barcloud.session import local_session
 
 HEADLINE = [
@@ -18,6 +18,8 @@ HEADLINE = [
     # the plans for heavy keys, large whitelists and colliding clouds
     "barcode_correct_h1_shuffle", "cloud_build_spread", "em_full_spread", "em_full_spread_reads", "duplicate_mark_spread",
     "density_anneal", "best_alignment_density", "haplotag_route",
+    # reference sequences and components
+    "fasta_tiles", "seed_chains", "base_alignments", "mate_rescue", "cloud_components",
 ]
 
 
