@@ -16,7 +16,7 @@ from barcloud.operators import buckets, candidates, clouds, components, correcti
 from barcloud.plans import align, lens, preproc
 from barcloud.plans.count import count as count_reads
 from barcloud.session import cut_lineage, shared_folder, tune
-from barcloud.sources import counts, fastq, sinks, tables
+from barcloud.sources import blockgzip, counts, fastq, sinks, tables
 
 P10X = get_platform("10x")
 N_BUCKETS = 50
@@ -254,6 +254,15 @@ def fastq_file(spark, sf):
     return fastq.read_pairs(spark, path, splitBytes=100_000).select(*fastq.PAIR_FIELDS)
 
 
+@query
+def fastq_block_gzip(spark, sf):
+    """Interleaved FASTQ written as block gzip and read in splits of its compressed bytes."""
+    path = _folder(spark, "fastq-blocks")
+    lines = ["name", "r1", F.lit("+"), "q1", "name2", "r2", F.lit("+"), "q2"]
+    blockgzip.write_lines(lens.fastq_reads(spark, sf).select(F.concat_ws("\n", *lines).alias("value")), path)
+    return fastq.read_pairs(spark, path, splitBytes=50_000).select(*fastq.PAIR_FIELDS)
+
+
 @query
 def barcode_count_file(spark, sf):
     counts.register(spark)

@@ -421,6 +421,7 @@ def oracle_sql() -> dict[str, str]:
         "quality_key_count": _with(_keys(), "select bases, quals, n from keys"),
         "whitelist_file": _with(_fastq(), "select distinct tru as bc from lens"),
         "fastq_file": _with(_fastq(), "select name, r1, q1, name2, r2, q2 from fq"),
+        "fastq_block_gzip": _with(_fastq(), "select name, r1, q1, name2, r2, q2 from fq"),
         "barcode_count_file": _with(_keys(), "select bc, n from ncnt"),
         "key_count_file": _with(_keys(), "select bases, quals, n from keys"),
         "single_line_file": _with(_bucketed(False), "select bc, 'r' || read_id as ident, substr(r1, 24) as r1, substr(q1, 24) as q1, r2, q2 from routed where bucket > 0"),

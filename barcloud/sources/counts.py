@@ -2,7 +2,7 @@
 
 ``barcode_counts``: little-endian int64 n, then n x (uint32 barcode, int64 count).
 ``key_counts``: blocks of int64 n, then n x (16 key bytes, int64 count).
-Written directories hold one self-contained file per task; readers take any number of files.
+Written directories hold self-contained files; readers take any number of files.
 ``mode("overwrite")`` replaces what a directory holds, ``append`` adds to it.
 Inside Spark pipelines Parquet tables are the better choice.
 """
@@ -10,16 +10,17 @@ Inside Spark pipelines Parquet tables are the better choice.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
 
 from pyspark.sql.datasource import (
-    DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage,
+    DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
 )
 
 from barcloud.sources import files
 
 _HEADER = 8
 _BATCH = 1 << 18
+#: A task's barcode counts are held up to this many (12 bytes each) and written as a file.
+FILE_RECORDS = 1 << 20
 
 
 class _Layout:
@@ -79,14 +80,8 @@ class _Reader(DataSourceReader):
                 yield pa.RecordBatch.from_pydict({layout.key: key, "n": pa.array(rows["n"].astype(np.int64))})
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    temporary: str | None
-    final: str | None
-
-
 class _Writer(DataSourceArrowWriter):
-    """One file per task under a name of this run; an overwrite removes what was there once all tasks are done."""
+    """Files under names of this run; an overwrite removes what was there once all of the new ones are in place."""
 
     def __init__(self, kind: str, options, overwrite: bool):
         self.kind, self.directory, self.overwrite = kind, options["path"], overwrite
@@ -98,11 +93,7 @@ class _Writer(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         layout = _Layout(self.kind)
-        context = TaskContext.get()
-        final = files.join(self.directory, f"part-{context.partitionId():05d}-{self.run}.{self.suffix}")
-        temporary = files.join(self.directory, f"_tmp-{uuid.uuid4().hex}")
-        system, inner = files.filesystem(temporary)
-        system.create_dir(files.filesystem(self.directory)[1], recursive=True)
+        out = files.TaskFiles(self.directory, f"part-{TaskContext.get().partitionId():05d}-{self.run}", self.suffix)
 
         def block(batch):
             rows = np.empty(batch.num_rows, layout.dtype)
@@ -113,38 +104,36 @@ class _Writer(DataSourceArrowWriter):
             rows["n"] = batch.column("n").to_numpy(zero_copy_only=False)
             return rows
 
-        written = 0
-        with system.open_output_stream(inner) as out:
-            if self.kind == "barcode_counts":
-                # one header per file: 12 bytes per barcode of this partition are held
-                blocks = [block(b) for b in iterator if b.num_rows]
-                blocks = [np.concatenate(blocks)] if blocks else []
-            else:
-                blocks = (block(b) for b in iterator if b.num_rows)
-            for rows in blocks:
-                out.write(len(rows).to_bytes(_HEADER, "little", signed=True))
-                out.write(rows.tobytes())
-                written += len(rows)
-        if not written:
-            system.delete_file(inner)
-            return _Written(None, None)
-        return _Written(temporary, final)
+        blocks = (block(b) for b in iterator if b.num_rows)
+        # a barcode count file has one header, so a task's rows become files of bounded size; the other kind has many blocks
+        for group in _grouped(blocks) if self.kind == "barcode_counts" else [blocks]:
+            with out.next() as stream:
+                for rows in group:
+                    stream.write(len(rows).to_bytes(_HEADER, "little", signed=True))
+                    stream.write(rows.tobytes())
+                    out.filled = True
+        return out.written()
 
     def commit(self, messages):
-        if self.overwrite:
-            system, inner = files.filesystem(self.directory)
-            for old in files.visible(system, inner):
-                system.delete_file(old.path)
-        for m in messages:
-            if m is not None and m.temporary:
-                system, inner = files.filesystem(m.temporary)
-                system.move(inner, files.filesystem(m.final)[1])
+        files.commit(self.directory, messages, self.overwrite)
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None and m.temporary:
-                system, inner = files.filesystem(m.temporary)
-                system.delete_file(inner)
+        files.abort(messages)
+
+
+def _grouped(blocks):
+    """Blocks joined to one of FILE_RECORDS rows or more, one at a time."""
+    import numpy as np
+
+    held, n = [], 0
+    for rows in blocks:
+        held.append(rows)
+        n += len(rows)
+        if n >= FILE_RECORDS:
+            yield [np.concatenate(held)]
+            held, n = [], 0
+    if held:
+        yield [np.concatenate(held)]
 
 
 class BarcodeCounts(DataSource):

@@ -2,18 +2,20 @@
 
 Options: ``path`` (comma-separated), ``layout`` = ``pairs`` (interleaved, 8 lines per row) or
 ``records`` (4 lines per row), ``splitBytes``.  Uncompressed files are split in byte ranges that
-resynchronise on record (and pair) boundaries; compressed files are one partition each.
+resynchronise on record (and pair) boundaries, and block gzip in ranges of compressed bytes that do so after finding
+a member; any other compressed file is one partition, with a warning where it is longer than a split.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from barcloud.sources import files
+from barcloud.sources import blockgzip, files
 
 PAIR_FIELDS = ["name", "r1", "q1", "name2", "r2", "q2"]
 RECORD_FIELDS = ["name", "seq", "qual"]
@@ -21,6 +23,7 @@ _PAIR_LINES = [0, 1, 3, 4, 5, 7]
 _RECORD_LINES = [0, 1, 3]
 _BLOCK = 16 << 20
 _COMPRESSED = (".gz", ".bz2", ".zst", ".lz4")
+_BLOCK_GZIP = (".gz", ".bgz", ".bgzf")
 
 
 class FastqSource(DataSource):
@@ -43,9 +46,11 @@ class FastqSource(DataSource):
 
 
 class Split(InputPartition):
-    def __init__(self, file_no: int, path: str, start: int, end: int | None):
-        super().__init__((file_no, path, start, end))
-        self.file_no, self.path, self.start, self.end = file_no, path, start, end
+    """Bytes [start, end) of a file of ``size`` bytes; without ``end`` a compressed file, and ``blocks`` for block gzip."""
+
+    def __init__(self, file_no: int, path: str, start: int, end: int | None, size: int, blocks: bool = False):
+        super().__init__((file_no, path, start, end, size, blocks))
+        self.file_no, self.path, self.start, self.end, self.size, self.blocks = file_no, path, start, end, size, blocks
 
 
 class FastqReader(DataSourceReader):
@@ -57,10 +62,13 @@ class FastqReader(DataSourceReader):
     def partitions(self):
         splits = []
         for number, (path, size) in enumerate(files.expand(self.paths)):
-            if path.endswith(_COMPRESSED):
-                splits.append(Split(number, path, 0, None))
+            blocks = path.endswith(_BLOCK_GZIP) and _is_block_gzip(path)
+            if path.endswith(_COMPRESSED) and not blocks:
+                if size > self.step:
+                    warnings.warn(f"{path} can't be split and is read by one task; block gzip can")
+                splits.append(Split(number, path, 0, None, size))
             else:
-                splits += [Split(number, path, a, b) for a, b in files.ranges(size, self.step)]
+                splits += [Split(number, path, a, b, size, blocks) for a, b in files.ranges(size, self.step)]
         return splits
 
     def read(self, split: Split):
@@ -72,8 +80,21 @@ class FastqReader(DataSourceReader):
         fields = PAIR_FIELDS if self.pairs else RECORD_FIELDS
         per_row = 8 if self.pairs else 4
         system, path = files.filesystem(split.path)
+        end = lambda: split.end
         if split.end is None:
             stream, offset = system.open_input_stream(path), 0
+        elif split.blocks:
+            stream = system.open_input_file(path)
+            first = blockgzip.first_member(stream, split.start, split.size)
+            if first is None or first >= split.end:
+                return
+            stream = blockgzip.Blocks(stream, first, split.end)
+            # the byte before a member isn't known: a row that begins with a member belongs to the split before
+            offset = _first_record(stream, 0 if split.start == 0 else 1, self.pairs)
+            end = lambda: None if stream.limit is None else stream.limit + 1
+            if offset is None or (end() is not None and offset >= end()):
+                return
+            stream.seek(offset)
         else:
             stream = system.open_input_file(path)
             offset = _first_record(stream, split.start, self.pairs)
@@ -81,7 +102,7 @@ class FastqReader(DataSourceReader):
                 return
             stream.seek(offset)
         seen = 0
-        for data, breaks in _whole_rows(stream, offset, split.end, per_row):
+        for data, breaks in _whole_rows(stream, offset, end, per_row):
             # all lines as one string array over the block, fields are strided takes of it
             bounds = np.concatenate(([0], breaks + 1)).astype(np.int64)
             lines = pa.LargeStringArray.from_buffers(len(breaks), pa.py_buffer(bounds), pa.py_buffer(data))
@@ -100,13 +121,20 @@ class FastqReader(DataSourceReader):
             yield pa.RecordBatch.from_pydict(columns)
 
 
-def _whole_rows(stream, offset: int, end: int | None, per_row: int):
-    """(bytes, line break positions) of whole rows starting before ``end``."""
+def _is_block_gzip(path: str) -> bool:
+    system, inner = files.filesystem(path)
+    with system.open_input_file(inner) as stream:
+        return blockgzip.is_block_gzip(stream)
+
+
+def _whole_rows(stream, offset: int, limit, per_row: int):
+    """(bytes, line break positions) of whole rows starting before ``limit()``, if it is known; bytes read without it lie before it."""
     import numpy as np
 
     rest = b""
     while True:
         block = stream.read(_BLOCK)
+        end = limit()
         data = rest + block
         if not block and data and not data.endswith(b"\n"):
             data += b"\n"

@@ -11,7 +11,7 @@ from barcloud import cli
 from barcloud.config import get_platform
 from barcloud.functions import bases as B
 from barcloud.operators import sam
-from barcloud.sources import counts, fastq, tables
+from barcloud.sources import blockgzip, counts, fastq, tables
 from barcloud.streaming import counts as stream
 
 P10X = get_platform("10x")
@@ -54,6 +54,61 @@ def test_fastq_pairs_that_share_one_name(spark, tmp_path, split):
     assert [tuple(r) for r in got.collect()] == rows
 
 
+def packed(rows, sizes):
+    """Text of the rows as block gzip whose members have the sizes given, over and over; one of size 0 is empty."""
+    data, out, at, i = text(rows).encode(), b"", 0, 0
+    while at < len(data):
+        size = sizes[i % len(sizes)]
+        out += blockgzip.member(data[at : at + size])
+        at, i = at + size, i + 1
+    return out + blockgzip.END
+
+
+@pytest.mark.parametrize("same_name", [False, True])
+@pytest.mark.parametrize("split", [1, 61, 500, 4000, 1 << 20])
+def test_block_gzip_splits_on_any_boundary(spark, tmp_path, split, same_name):
+    rows = pairs(14 if split == 1 else 60)
+    if same_name:
+        rows = [("@same 1", a, b, "@same 2", c, d) for _, a, b, _, c, d in rows]
+    step = 3000 if split == 1 else 170
+    line = len(text(rows[:1]))  # a member that ends where a row does
+    (tmp_path / "a.fq.gz").write_bytes(packed(rows[:35], [line, step, 0, 7, 2 * step, 1]))
+    (tmp_path / "b.fq.bgz").write_bytes(packed(rows[35:], [step]))
+    got = fastq.read_pairs(spark, str(tmp_path), splitBytes=split).orderBy("file_no", "split", "idx")
+    assert [tuple(r) for r in got.select(*fastq.PAIR_FIELDS).collect()] == rows
+
+
+def test_block_gzip_is_read_by_many_tasks_and_by_other_readers(spark, tmp_path):
+    rows = pairs(2000)
+    lines = spark.createDataFrame([(line,) for line in text(rows).splitlines()], "value string").coalesce(1)
+    blockgzip.write_lines(lines, str(tmp_path / "out"))
+    (path,) = (tmp_path / "out").iterdir()
+    assert gzip.decompress(path.read_bytes()).decode() == text(rows)
+    df = fastq.read_pairs(spark, str(tmp_path / "out"), splitBytes=20_000)
+    assert df.select("split").distinct().count() > 1
+    assert sorted(map(tuple, df.select(*fastq.PAIR_FIELDS).collect())) == sorted(rows)
+
+
+def test_block_gzip_corruption_fails(spark, tmp_path):
+    data = bytearray(packed(pairs(60), [500]))
+    data[len(data) // 2] ^= 0xFF
+    (tmp_path / "a.fq.gz").write_bytes(data)
+    with pytest.raises(Exception):
+        fastq.read_pairs(spark, str(tmp_path / "a.fq.gz")).collect()
+
+
+def test_counts_of_many_files_a_task_and_overwrite(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(counts, "FILE_RECORDS", 100)
+    blocks = (np.arange(k, dtype=np.int64) for k in (60, 60, 250, 30))
+    assert [len(g[0]) for g in counts._grouped(blocks)] == [120, 250, 30]
+    counts.register(spark)
+    path = str(tmp_path / "out")
+    for n in (500, 20):
+        spark.range(n).selectExpr("id as bc", "id + 1 as n").write.format("barcode_counts").mode("overwrite").save(path)
+        got = spark.read.format("barcode_counts").load(path)
+        assert sorted(map(tuple, got.collect())) == [(i, i + 1) for i in range(n)]
+
+
 def test_mates_of_different_names_fail(spark, tmp_path):
     rows = pairs(4)
     rows[2] = (rows[2][0], *rows[2][1:3], "@other 2:N:0", *rows[2][4:])
