@@ -5,7 +5,8 @@ of the ``SLICES`` highest bits of the component's distance from the block's leas
 slices, weighted by the ``WEIGHT_BITS`` highest bits of its own components, with carry-save adders on
 whole bitmaps (a negative weight adds complements).  The sums are lower bounds up to a known error, again as
 slices: the k-th largest is read from the most significant slice downward, every row that could reach it
-within the error is taken in the same way, and these boundary rows are resolved in exact integers.
+within the error is taken in the same way, and these boundary rows are resolved in exact integers.  A cell works in 64
+bits where a bound on its largest components proves that they suffice, and in integers of any length otherwise.
 
 Blocks and chunks of queries have a bounded number of rows; each pair of them is a cell, and a cell
 returns a query's best few only.
@@ -14,6 +15,7 @@ returns a query's best few only.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,10 @@ SLICES = 6
 WEIGHT_BITS = 12
 BLOCK_ROWS = 1 << 15
 CHUNK_QUERIES = 256
-#: Components beyond this many (after the factor of 256) count as this many; sums then fit 64 bits.
-LIMIT = 1 << 24
+#: Sums below this many, with their error bounds, fit 64 bits.
+NARROW = 1 << 60
+#: Doubles of this size or more are integers.
+_WHOLE = 1 << 53
 
 
 @dataclass(frozen=True)
@@ -43,7 +47,7 @@ class Index:
 
 
 def index(rows: np.ndarray) -> Index:
-    """``rows`` are integers, one row per vector; at least one row and one dimension."""
+    """``rows`` are integers (64 bits, or Python's in an object array), one row per vector; at least one row and one dimension."""
     least = rows.min(0)
     above = rows - least
     bits = int(above.max()).bit_length()
@@ -141,23 +145,33 @@ def best(own: Index, ids: np.ndarray, query: np.ndarray, k: int) -> tuple[np.nda
     """Ids and exact scores of the k highest, ties to the smaller id."""
     at = candidates(own, query, k)
     scores = own.rows[at] @ query
-    order = np.lexsort([ids[at], -scores])[:k]
-    return ids[at][order], scores[order]
+    order = sorted(range(len(at)), key=lambda i: (-scores[i], ids[at[i]])) if scores.dtype == object else np.lexsort([ids[at], -scores])
+    return ids[at][order[:k]], scores[order[:k]]
+
+
+def integers(block: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both matrices of whole doubles as 64-bit integers if no sum of ``candidates`` or ``best`` can pass ``NARROW``, else as Python's."""
+    most = [int(np.abs(m).max()) for m in (block, queries)]
+    narrow = 8 * block.shape[1] * (most[0] + 1) * (most[1] + 1) < NARROW
+    exact = lambda m: m.astype(np.int64) if narrow else np.vectorize(int, otypes=[object])(m)
+    return exact(block), exact(queries)
 
 
 def quantised(vector: Column) -> Column:
-    """Integers of a usable vector; null where a component is null or not finite, or the vector is null or empty."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    whole = F.transform(vector, lambda x: F.greatest(F.lit(float(-LIMIT)), F.least(F.lit(float(LIMIT)), x.cast("double") * 256)))
-    return F.when(finite & (F.size(vector) > 0), F.transform(whole, lambda x: F.floor(x).cast("long")))
+    """Whole doubles of a usable vector; null where 256 times a component is null or not finite, or the vector is null or empty."""
+    scaled = F.transform(vector, lambda x: x.cast("double") * 256)
+    finite = F.forall(scaled, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    whole = F.transform(scaled, lambda x: F.when(F.abs(x) < _WHOLE, F.floor(x).cast("double")).otherwise(x))
+    return F.when(finite & (F.size(vector) > 0), whole)
 
 
 def top(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5) -> DataFrame:
     """The ``k`` highest inner products of each row for which ``is_query`` holds: query_id, rank, vec_id, score.
 
     Candidates are the rows of the query's dimension with another id; all of them if fewer.  Rows without
-    an id or whose vector is null, empty or has a null or non-finite component take no part; equal rows
-    count once; components beyond ``LIMIT`` are cut to it; an empty table gives no row.
+    an id or whose vector is null, empty or has a component that is null or not finite (256 times it, in double
+    precision) take no part; equal rows count once; an empty table gives no row.  Scores are exact decimals; one of more than 38
+    digits is an error.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("q"), is_query.alias("asked"))
     rows = rows.where(F.col("id").isNotNull() & F.col("q").isNotNull()).withColumn("dim", F.size("q"))
@@ -179,20 +193,23 @@ def top(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
         found = [(np.zeros(0, np.int64),) * 3]
         if len(block) and len(queries):
             matrix = lambda t, name: t.column(name).combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-            ids, indexed = block.column("id").to_numpy(), index(matrix(block, "q"))
-            for query, q in zip(queries.column("query_id").to_numpy(), matrix(queries, "weights")):
+            rows, weights = integers(matrix(block, "q"), matrix(queries, "weights"))
+            ids, indexed = block.column("id").to_numpy(), index(rows)
+            for query, q in zip(queries.column("query_id").to_numpy(), weights):
                 near, scores = best(indexed, ids, q, k + 1)
                 other = near != query
                 found.append((np.full(other.sum(), query), near[other], scores[other]))
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
+        of, near, scores = map(np.concatenate, zip(*found))
+        decimals = pa.array([Decimal(int(v)) for v in scores], pa.decimal128(38, 0))
+        return pa.table({"query_id": of, "vec_id": near, "score": decimals})
 
-    cells = left.groupBy(*key).cogroup(right.groupBy("of_dim", "of_block", "of_chunk")).applyInArrow(cell, "query_id long, vec_id long, score long")
+    cells = left.groupBy(*key).cogroup(right.groupBy("of_dim", "of_block", "of_chunk")).applyInArrow(cell, "query_id long, vec_id long, score decimal(38,0)")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return cells.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_topk_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).withColumn("score", F.col("score").cast("long"))
 
 
 OP4_SQL = """
