@@ -28,7 +28,7 @@ NOT_MERGED = (
     "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade",
 )
 #: Query parameters that tell where a visitor came from, not what is shown.
-TRACKING = r"(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
+TRACKING = r"(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
 
 
 def canonical_url(url: Column) -> Column:
@@ -104,11 +104,12 @@ def resolve(records: DataFrame) -> DataFrame:
         F.col("url").alias("canonical"), "ts", "n", F.col("before").alias("refers_to")
     ), "warc-found")
     asked = attach_facts(revisits, found, ["canonical", "ts"], "n", ["record_id"]).drop("n")
-    # many revisits may refer to one response: a join of two sides that are not aggregated, whose large partitions are split
-    stored = responses.select(
-        F.col("record_id").alias("refers_to"), F.col("headers").alias("stored"), "digest"
-    ).dropDuplicates(["refers_to"])
-    joined = asked.join(stored, "refers_to", "left")
+    asked = write_table(asked, "warc-asked")
+    # many revisits may refer to one response, and those without one have no key: both are dealt over all tasks
+    asks = asked.where("refers_to is not null").groupBy("refers_to").agg(F.count("*").alias("n"))
+    stored = responses.select(F.col("record_id").alias("refers_to"), F.col("headers").alias("stored"), "digest").dropDuplicates(["refers_to"])
+    stored = write_table(stored.join(asks, "refers_to"), "warc-stored")
+    joined = attach_facts(asked, stored, ["refers_to"], "n", ["record_id", "ts"]).drop("n")
     ok = validated(F.col("headers"), F.col("stored"))
     state = F.when(F.col("stored").isNull(), "orphan").when(ok, "resolved").otherwise("mismatch")
     resolved = F.col("state") == "resolved"
@@ -177,7 +178,7 @@ WITH base AS (
   SELECT *, regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), ':(80|443)$', '')
             || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
          regexp_replace(regexp_replace(regexp_replace(regexp_extract(rest, '\?(.*)$', 1),
-           '(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '&&+', '&', 'g'), '^&|&$', '', 'g') AS query
+           '(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '&&+', '&', 'g'), '^&|&$', '', 'g') AS query
   FROM named
 ), pages_c AS (
   SELECT page_id, place || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical, digest, size, tag, day FROM parts

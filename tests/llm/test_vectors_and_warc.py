@@ -97,10 +97,39 @@ def test_topk_cells_and_odd_rows(spark, monkeypatch):
     assert bitslice.top(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [70000.0, 3.0e9, 1.0e13])
+def test_topk_of_large_components_is_exact(spark, size):
+    """Components far beyond 65,536, where sums need more than 64 bits; equal high bits are told apart."""
+    rng = np.random.default_rng(3)
+    values = [[float(np.floor(v)) for v in size * (1 + rng.random(3))] for _ in range(60)]
+    values += [[-size, 0.25, size], [size, size, -size], values[7]]
+    df = spark.createDataFrame(list(enumerate(values)), "vec_id long, embedding array<double>")
+    whole = [[int(256 * x // 1) for x in v] for v in values]
+    want = {(q, r + 1, i, s) for q in (0, 50) for r, (s, i) in enumerate(
+        sorted(((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in enumerate(whole) if i != q))[:5])}
+    got = {(r["query_id"], r["rank"], r["vec_id"], -int(r["score"])) for r in bitslice.top(df, F.col("vec_id") % 50 == 0).collect()}
+    assert got == want
+
+
+def test_revisits_without_a_response_are_spread(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hot = [(0, "http://a.com/", 0, 200, {}, "d", "s")] + [(i, f"http://b.com/{i}", i, 304, {}, None, None) for i in range(1, 4000)]
+        hot += [(i, "http://a.com/", i, 304, {}, None, None) for i in range(4000, 8000)]
+        sizes = [len(p) for p in warc.resolve(spark.createDataFrame(hot, RECORD)).rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sum(sizes) == 7999 and max(sizes) <= 2 * sum(sizes) / 16
+
+
 def test_canonical_urls(spark):
-    urls = ["HTTP://www.A.com:80/X/?utm_source=q#f", "https://a.com/X", "http://a.com/X?b=1&ref=z", "https://a.com/X?b=1", " http://a.com", None]
+    urls = ["HTTP://www.A.com:80/X/?utm_source=q#f", "https://a.com/X", "http://a.com/X?b=1&ref=z", "https://a.com/X?b=1", " http://a.com", None, "http://a.com?pref=1&utm_id=3&ref=4&q=2&fbclid=", "a.com?ref=1&ref=2"]
     rows = spark.createDataFrame([(u,) for u in urls], "url string").select(warc.canonical_url(F.col("url"))).collect()
-    assert [r[0] for r in rows] == ["a.com/X", "a.com/X", "a.com/X?b=1", "a.com/X?b=1", "a.com", None]
+    assert [r[0] for r in rows] == ["a.com/X", "a.com/X", "a.com/X?b=1", "a.com/X?b=1", "a.com", None, "a.com?pref=1&q=2", "a.com"]
 
 
 RECORD = "record_id long, url string, ts long, status int, headers map<string,string>, digest string, state string"
