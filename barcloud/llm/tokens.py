@@ -10,37 +10,75 @@ any other chunk goes through the whole library.  Special-token strings in a text
 from __future__ import annotations
 
 import re
+import weakref
 from struct import pack
+from sys import getsizeof
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Keys of one generation of a worker's memory; there are two.
-MEMORY = 400_000
+#: Bytes all memories of a Python worker may hold together, whatever operators it has served.
+BUDGET = 160 << 20
+#: What a dictionary's entry costs beside its key and value, as the dictionary is filled and grows.
+_ENTRY = 100
 
 
 class Memory(dict):
     """Values by key, filled by ``make(key)``.
 
-    A full memory becomes the old generation, from which keys in use come back, and the generation
-    before it goes: memory stays bounded and frequent keys stay known.
+    A memory that has filled its share of the budget becomes the old generation, from which keys in use come back, and the
+    generation before it goes: frequent keys stay known.  If all memories together pass ``BUDGET``, those that were last
+    asked for a new key longest ago are emptied; they belong to a stage that is over, for workers are reused.
     """
 
-    def __init__(self, make, limit: int = MEMORY):
+    _every: dict[int, weakref.ref] = {}  # the least recently used one first
+    _together = 0
+
+    def __init__(self, make, share: float = 0.25):
         super().__init__()
-        self._make, self._limit, self._old = make, limit, {}
+        self._make, self._share, self._old, self._bytes, self._old_bytes = make, share, {}, 0, 0
+        Memory._every[id(self)] = weakref.ref(self)
 
     def __missing__(self, key):
         value = self._old.get(key)
         if value is None:
             value = self._make(key)
         if len(key) <= 64:  # a long key is rare and would fill the memory
-            if len(self) >= self._limit:
-                self._old = dict(self)
-                self.clear()
+            size = _ENTRY + getsizeof(key) + getsizeof(value)
+            if 2 * (self._bytes + size) > self._share * BUDGET:
+                self._turn()
             self[key] = value
+            self._bytes += size
+            Memory._together += size
+            Memory._every[id(self)] = Memory._every.pop(id(self), None) or weakref.ref(self)
+            if Memory._together > BUDGET:
+                self._make_room()
         return value
 
+    def _turn(self) -> None:
+        Memory._together -= self._old_bytes
+        self._old, self._old_bytes, self._bytes = dict(self), self._bytes, 0
+        self.clear()
+
+    def empty(self) -> None:
+        Memory._together -= self._bytes + self._old_bytes
+        self._old, self._bytes, self._old_bytes = {}, 0, 0
+        self.clear()
+
+    def _make_room(self) -> None:
+        for key, other in list(Memory._every.items()):
+            if Memory._together <= BUDGET:
+                return
+            held = other()
+            if held is None:
+                del Memory._every[key]
+            elif held is not self:
+                held.empty()
+
+    def __del__(self):
+        Memory._together -= self._bytes + self._old_bytes
+        Memory._every.pop(id(self), None)
+
 
 # letters and numbers below U+0180; U+0130 lower-cases to two characters and is left to the library
 _LETTERS = "a-zªµºß-öø-ſ"
