@@ -29,6 +29,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``_name``, ``__name`` and so on that is no column of ``df`` in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_arrow_columns(
     df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], new: T.StructType, drop: tuple[str, ...] = ()
 ) -> DataFrame:

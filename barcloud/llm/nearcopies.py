@@ -10,11 +10,13 @@ shared; pairs within ``RADIUS`` are candidates.  Shards above ``SHARD_ROWS`` are
 minimum hashes.
 
 *Confirmation.* The shards give spanning forests, whose components hold every candidate pair.  The sets of a component
-meet in one task, one set in it once, and are linked by their exact similarity; pairs already connected need no test.
+meet in one task, one set in it once, and are linked by their exact similarity; only sets that share a rare shingle are
+compared, and pairs already connected need no test.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from barcloud.llm.common import attach_facts, bytes_and_offsets, small_or_shuffled, with_arrow_columns
+from barcloud.llm.common import attach_facts, bytes_and_offsets, fresh, small_or_shuffled, with_arrow_columns
 from barcloud.llm.simhash import CHUNK, SEED, connect, shard_links, without_counts
 from barcloud.llm.tokens import Memory
 from barcloud.session import write_table
@@ -39,7 +41,7 @@ RADIUS = 80
 SHARD_ROWS = 4096
 
 _ODD = np.array([xxh64_intdigest(bytes([i]), SEED) | 1 for i in range(64)], np.uint64)
-_words = Memory(lambda w: xxh64_intdigest(w, SEED), limit=200_000)
+_words = Memory(lambda w: xxh64_intdigest(w, SEED))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -169,21 +171,49 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
 
 
 def linked(sets: list[np.ndarray], least: float = SIMILARITY) -> list[int]:
-    """The first set each set is connected with, by exact similarities."""
-    parts: list[list[int]] = []
+    """The first set each set is connected with, by exact similarities.
+
+    Similar sets share a shingle among the first ``n - ceil(least * n) + 1`` of their n when all are ordered alike, here the
+    rare ones first; only sets that do are compared, and of those none that is connected already.
+    """
+    if not sets:
+        return []
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    ranks = np.split(rank[place], np.cumsum([len(s) for s in sets])[:-1])
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    holders: dict[int, dict[int, list[int]]] = {}  # by shingle: the sets that have it, by component
     for i, own in enumerate(sets):
-        joined, apart = [i], []
-        for part in parts:
-            if any(similar(own, sets[j], least) for j in part):
-                joined = part + joined
-            else:
-                apart.append(part)
-        parts = [*apart, joined]
-    root = [0] * len(sets)
-    for part in parts:
-        for i in part:
-            root[i] = min(part)
-    return root
+        first = np.sort(ranks[i])[: len(own) - math.ceil(least * len(own) - 1e-9) + 1]
+        tested = set()
+        for shingle in first.tolist():
+            parts = holders.setdefault(shingle, {})
+            for part in list(parts):
+                if find(part) == find(i):
+                    continue
+                near = (j for j in reversed(parts[part]) if j not in tested)
+                for j in near:
+                    tested.add(j)
+                    if similar(own, sets[j], least):
+                        a, b = sorted((find(i), find(j)))
+                        root[b] = a
+                        break
+            mine = find(i)
+            for part in [p for p in parts if p != mine and find(p) == mine]:
+                moved, kept = parts.pop(part), parts.get(mine, [])
+                small, large = sorted((moved, kept), key=len)
+                large.extend(small)
+                parts[mine] = large
+            parts.setdefault(mine, []).append(i)
+    return [find(i) for i in range(len(sets))]
 
 
 def _confirmed(docs: DataFrame, text_col: str, shingle: int, coarse: DataFrame) -> DataFrame:
@@ -206,8 +236,8 @@ def _confirmed(docs: DataFrame, text_col: str, shingle: int, coarse: DataFrame)
     return sets.mapInArrow(run, "set_key long, root long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row (id, set_key, component_id) per row of ``docs``; ``component_id`` is the smallest id of the component."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, text_key, set_key, root, component_id) of every row; ``root`` is a set of the component."""
     ready = docs.select(id_col, _text_key(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("_bytes"))
     printed = write_table(_sketched(ready, shingle), "nearcopies-printed")
     facts = printed.groupBy("set_key").agg(
@@ -219,14 +249,46 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = parts.unionByName(parts.select(F.col("part").alias("node"), "part").distinct())
     coarse = parts.withColumnRenamed("node", "set_key").join(facts.select("set_key", "text_key"), "set_key")
     roots = write_table(_confirmed(docs, text_col, shingle, write_table(coarse, "nearcopies-coarse")), "nearcopies-roots")
-    placed = facts.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    named = placed.join(placed.groupBy("root").agg(F.min("rep").alias("component_id")), "root")
-    named = write_table(named.select("set_key", "n", "component_id"), "nearcopies-components")
-    return without_counts(attach_facts(printed.select(id_col, "set_key"), named, ["set_key"], "n", [id_col]))
+    placed = write_table(facts.select("set_key", "rep", "n").join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")), "nearcopies-placed")
+    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("sets"))
+    named = attach_facts(placed, least, ["root"], "sets", ["set_key"]).select("set_key", "n", "root", "component_id")
+    named = write_table(named, "nearcopies-components")
+    return without_counts(attach_facts(printed.select(id_col, "text_key", "set_key"), named, ["set_key"], "n", [id_col, "text_key"]))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row (id, set_key, component_id) per row of ``docs``; ``component_id`` is the smallest id of the component, null if it has none.
+
+    A null text is an empty one, and texts without a word are copies of each other; an empty table gives no row.
+    """
+    return _placed(docs, id_col, text_col, shingle).select(id_col, "set_key", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; rows without an id stay."""
-    found = near_copies(docs, id_col, text_col, shingle)
-    losers = write_table(found.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct(), "nearcopies-losers")
-    return docs.join(small_or_shuffled(losers), id_col, "left_anti").select(docs.columns)
+    """``docs`` with one row of each component: of the smallest id, ids before none, and of equal ids one text by its hash.
+
+    An id may stand for different texts; rows go by id and text together.  Rows equal in both stay once.
+    """
+    placed = write_table(_placed(docs, id_col, text_col, shingle).select(F.col(id_col).alias("_id"), "text_key", "root"), "nearcopies-rows")
+    rows = placed.groupBy("root", "_id", "text_key").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("i"), F.col("text_key").alias("t"))
+    rows = write_table(rows.withColumn("at", order), "nearcopies-ids")
+    first = rows.groupBy("root").agg(F.min("at").alias("first"), F.count("*").alias("ids"))
+    of, key = fresh(docs, "of"), fresh(docs, "key")
+    judged = write_table(attach_facts(rows, first, ["root"], "ids", ["_id", "text_key"]).select(
+        F.col("_id").alias(of), F.col("text_key").alias(key), (F.col("at") == F.col("first")).alias("stays"), "n"), "nearcopies-judged")
+    same = (F.col(f"`{id_col}`").eqNullSafe(F.col(of))) & (_text_key(f"`{text_col}`") == F.col(key))
+    gone = judged.where(~F.col("stays")).select(of, key)
+    kept = docs.join(small_or_shuffled(gone), same, "left_anti")
+    again = judged.where(F.col("stays") & (F.col("n") > 1)).select(of, key)
+    if not again.limit(1).count():
+        return kept
+    again = small_or_shuffled(again)
+    return kept.join(again, same, "left_anti").unionByName(_once(kept.join(again, same, "left_semi"), id_col, text_col))
+
+
+def _once(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each id and text, whatever its other columns hold: all of one row's, for the aggregate takes it as a whole."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    firsts = rows.groupBy(F.col(f"`{id_col}`").alias("_of"), _text_key(f"`{text_col}`").alias("_key")).agg(F.first(whole).alias("_row"))
+    return firsts.select(*[F.col("_row").getField(c).alias(c) for c in rows.columns])

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -77,7 +79,7 @@ def test_near_duplicate_odd_rows(spark):
     assert found == Counter({(5, 3): 1, (3, 3): 2, (9, 8): 1, (8, 8): 1, (None, 3): 1, (7, 7): 1, (6, 6): 1})
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter({3: 2, 8: 1, None: 1, 7: 1, 6: 1})
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter({3: 1, 8: 1, 7: 1, 6: 1})
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -125,6 +127,51 @@ def test_the_stage_finds_planted_near_copies(spark, monkeypatch, shard_rows):
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {k for k, v in want.items() if k == v}
 
 
+def test_one_row_of_a_component_stays(spark):
+    """Ids may be repeated, over different texts too, or missing; clean rows stay."""
+    from barcloud.llm import nearcopies
+
+    a, b, c = ("one two three four five six", "quite another text about something else", "words of a third kind that none has")
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, c, "x"), (7, c, "x"), (None, a, "x"), (None, "only here are these words", "x"), (None, "only here are these words", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = nearcopies.keep_one(docs)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter({(1, a): 1, (5, b): 1, (7, c): 1, (None, "only here are these words"): 1})
+    assert nearcopies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_linking_equals_all_pairs_and_is_linear_in_a_chain():
+    from barcloud.llm import nearcopies
+
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        bases = [rng.choice(400, rng.integers(1, 60), replace=False) for _ in range(6)]
+        sets = [np.unique(np.where(rng.random(len(b)) < 0.08, rng.integers(0, 400, len(b)), b)).astype(np.uint64) for b in bases for _ in range(6)]
+        want = list(range(len(sets)))
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                if nearcopies.similar(x, y) and want[i] != want[j]:
+                    low, high = sorted((want[i], want[j]))
+                    want = [low if w == high else w for w in want]
+        assert nearcopies.linked(sets) == want
+    began = time.time()
+    assert set(nearcopies.linked([np.arange(i, i + 40, dtype=np.uint64) for i in range(20_000)])) == {0}
+    assert time.time() - began < 60
+
+
+def test_memories_share_a_budget(monkeypatch):
+    from barcloud.llm import tokens
+
+    monkeypatch.setattr(tokens, "BUDGET", 100_000)
+    first, second = tokens.Memory(len), tokens.Memory(len, share=1.0)
+    for i in range(1000):
+        assert first[f"key{i}"] == len(f"key{i}")
+    assert 0 < len(first) < 200
+    for i in range(1000):
+        assert second[f"key{i}"] == len(f"key{i}")
+    assert tokens.Memory._together <= 100_000 and not first
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
