@@ -26,7 +26,7 @@ _ENTRY = 100
 class Memory(dict):
     """Values by key, filled by ``make(key)``.
 
-    A memory that has filled its share of the budget becomes the old generation, from which keys in use come back, and the
+    A memory that has filled half its share of the budget, or holds ``limit`` keys, becomes the old generation, from which keys in use come back, and the
     generation before it goes: frequent keys stay known.  If all memories together pass ``BUDGET``, those that were last
     asked for a new key longest ago are emptied; they belong to a stage that is over, for workers are reused.
     """
@@ -34,9 +34,10 @@ class Memory(dict):
     _every: dict[int, weakref.ref] = {}  # the least recently used one first
     _together = 0
 
-    def __init__(self, make, share: float = 0.25):
+    def __init__(self, make, limit: int | None = None, share: float = 0.25):
         super().__init__()
-        self._make, self._share, self._old, self._bytes, self._old_bytes = make, share, {}, 0, 0
+        self._make, self._limit, self._share = make, limit, share
+        self._old, self._bytes, self._old_bytes = {}, 0, 0
         Memory._every[id(self)] = weakref.ref(self)
 
     def __missing__(self, key):
@@ -45,7 +46,7 @@ class Memory(dict):
             value = self._make(key)
         if len(key) <= 64:  # a long key is rare and would fill the memory
             size = _ENTRY + getsizeof(key) + getsizeof(value)
-            if 2 * (self._bytes + size) > self._share * BUDGET:
+            if 2 * (self._bytes + size) > self._share * BUDGET or len(self) == self._limit:
                 self._turn()
             self[key] = value
             self._bytes += size
