@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barcloud.llm.common import attach_facts, small_or_shuffled, table
+from barcloud.llm.common import MAX_BROADCAST_ROWS, attach_facts, small_or_shuffled, table
 from barcloud.session import write_table
 
 SUPPORT = 3
@@ -161,43 +161,85 @@ def unaddressed(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(part)), F.array_join(blank, "")).otherwise(text)
 
 
-def _terms(texts: DataFrame) -> DataFrame:
-    """(text key, term) of ``texts`` (text key, text): each term once a row, in lower case."""
+def _terms(texts: DataFrame, *keep: str) -> DataFrame:
+    """(text key, ``keep``, term) of ``texts`` (text key, text): each term once a row, in lower case."""
     found = F.transform(F.regexp_extract_all(unaddressed(F.col("_text")), F.lit(TERM), F.lit(0)), F.lower)
-    return texts.select("_text_key", F.explode(F.array_distinct(found)).alias("term"))
+    return texts.select("_text_key", *keep, F.explode(F.array_distinct(found)).alias("term"))
 
 
-def disclosures(docs: DataFrame, spans: DataFrame, text_col: str = "text", policy: Policy = Policy()) -> DataFrame:
+def _one_of_each(docs: DataFrame, held: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(text key, n_most, text) of one row for each text in ``held``: copies are out before a term is made of them.
+
+    ``n_most`` is the number of texts of the most frequent entity a text holds.
+    """
+    readers = held.groupBy("_text_key").agg(F.min("of").alias("of"), F.max("n_e").alias("n_most"))
+    readers = write_table(readers.select("of._key", "of.rows", "_text_key", "n_most"), "pii-readers")
+    few = readers.count() <= MAX_BROADCAST_ROWS
+    rows = docs.select(row_key(id_col, text_col).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = rows.join(F.broadcast(readers) if few else readers, "_key")
+    if not readers.where("rows > 1").isEmpty():  # a row of this id and text stands in the table again
+        rows = rows.where("rows = 1").unionByName(rows.where("rows > 1").dropDuplicates(["_key"]))
+    rows = rows.select("_text_key", "n_most", "_text")
+    return rows if few else write_table(rows, "pii-texts")  # moved once, not for each of the two passes
+
+
+def _with_counts(words: DataFrame, near: DataFrame) -> DataFrame:
+    """``words`` with ``n_near`` of their terms, without terms that ``near`` lacks; no term meets in one task.
+
+    A term above the mean share of ``MAX_BROADCAST_ROWS`` terms is one of fewer than that, which are broadcast; any other
+    has few rows.
+    """
+    if near.count() <= MAX_BROADCAST_ROWS:
+        return words.join(F.broadcast(near), "term")
+    common = F.col("n_near") > F.lit(near.agg(F.sum("n_near")).first()[0] / MAX_BROADCAST_ROWS)
+    words = words.join(F.broadcast(near.where(common).withColumnRenamed("n_near", "n_common")), "term", "left")
+    found = words.where("n_common is not null").withColumnRenamed("n_common", "n_near")
+    others = words.where("n_common is null").drop("n_common").join(near.where(~common), "term")
+    return found.unionByName(others)
+
+
+def disclosures(
+    docs: DataFrame, spans: DataFrame, text_col: str = "text", policy: Policy = Policy(), id_col: str = "doc_id"
+) -> DataFrame:
     """(kind, entity, term, disclosure, action) of terms beyond the policy's thresholds, over the whole corpus."""
     texts = docs.select(text_key(text_col).alias("_text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     total = texts.select("_text_key").distinct().count()
-    held = write_table(spans.select("_text_key", "kind", "entity").distinct(), "pii-held")
+    of_rows = spans.groupBy("_text_key", "kind", "entity", "_key").agg(F.count("*").alias("rows"))
+    held = of_rows.groupBy("_text_key", "kind", "entity").agg(F.min(F.struct("_key", "rows")).alias("of"))
+    held = write_table(held, "pii-held")
     # an entity of fewer texts cannot share enough of them with a term
     n_entity = held.groupBy("kind", "entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= policy.support)
     n_entity = write_table(n_entity, "pii-entities")
     held = attach_facts(held, n_entity, ["kind", "entity"], "n_e", ["_text_key"]).where("n_e is not null")
     held = write_table(held, "pii-shared")
-    p_entity = F.col("n_e") / F.lit(total)
 
-    def told(n_both: Column, n_term: Column) -> Column:
+    def told(n_both: Column, n_term: Column, n_entity: Column) -> Column:
+        p_entity = n_entity / F.lit(total)
         share = F.log(n_both / n_term / p_entity) / -F.log(p_entity)
-        return F.when(F.col("n_e") < total, share).otherwise(0.0)
+        return F.when(n_entity < total, share).otherwise(0.0)
+
+    def at_most(n_near: Column, n_entity: Column) -> Column:
+        return told(F.least(n_entity, n_near), n_near, n_entity)
 
     # texts with the term and any entity are a lower bound of all with the term, and so give an upper
-    # bound of the disclosure: common words are out before pairs are made and before the corpus is counted
-    with_any = texts.join(small_or_shuffled(held.select("_text_key").distinct()), "_text_key", "left_semi")
-    words = write_table(_terms(with_any).distinct(), "pii-words")
-    near = words.groupBy("term").agg(F.count("*").alias("n_near")).where(F.col("n_near") >= policy.support)
+    # bound of the disclosure: common words are out before pairs are made and before the corpus is counted.
+    # The bound grows with the entity's texts (but for an entity of all of them), so a text's most frequent
+    # entity decides on its words; they are made again from the text, which is cheaper than to keep them
+    some = _one_of_each(docs, held, id_col, text_col)
+    near = _terms(some).groupBy("term").agg(F.count("*").alias("n_near")).where(F.col("n_near") >= policy.support)
     near = write_table(near, "pii-near")
-    words = attach_facts(words, near, ["term"], "n_near", ["_text_key"]).where("n_near is not null")
-    at_most = told(F.least("n_e", "n_near"), F.col("n_near"))
-    pairs = words.join(held, "_text_key").where(at_most >= policy.generalise)
+    words = _with_counts(_terms(some, "n_most"), near)
+    may = (at_most(F.col("n_near"), F.col("n_most")) >= policy.generalise) | (F.col("n_most") >= total)
+    pairs = words.where(may).drop("n_most").join(held.drop("of"), "_text_key")
+    pairs = pairs.where(at_most(F.col("n_near"), F.col("n_e")) >= policy.generalise)
     pairs = pairs.groupBy("kind", "entity", "term", "n_e", "n_near").agg(F.count("*").alias("n_te"))
-    pairs = pairs.where((F.col("n_te") >= policy.support) & (told(F.col("n_te"), F.col("n_near")) >= policy.generalise))
+    pairs = pairs.where(
+        (F.col("n_te") >= policy.support) & (told(F.col("n_te"), F.col("n_near"), F.col("n_e")) >= policy.generalise)
+    )
     pairs = write_table(pairs, "pii-pairs")
     known = _terms(texts).join(small_or_shuffled(pairs.select("term").distinct()), "term", "left_semi").distinct()
     n_term = known.groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = pairs.join(n_term, "term").withColumn("disclosure", told(F.col("n_te"), F.col("n_t")))
+    scored = pairs.join(n_term, "term").withColumn("disclosure", told(F.col("n_te"), F.col("n_t"), F.col("n_e")))
     action = F.when(F.col("disclosure") >= policy.remove, "remove").when(F.col("disclosure") >= policy.generalise, "generalise")
     return scored.withColumn("action", action).where("action is not null").select(
         "kind", "entity", "term", "disclosure", "action"
@@ -211,7 +253,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy
     """
     found = write_table(base_spans(docs, id_col, text_col), "pii-spans")
     spans = contexts(found)
-    flagged = write_table(disclosures(docs, spans, text_col, policy), "pii-terms")
+    flagged = write_table(disclosures(docs, spans, text_col, policy, id_col), "pii-terms")
     # a word may disclose several entities: removal wins
     wanted = spans.join(small_or_shuffled(flagged), ["kind", "entity"]).groupBy("_key", "term").agg(F.max("action").alias("action"))
     wanted = write_table(wanted, "pii-wanted")
@@ -285,8 +327,9 @@ def _generalised(word: Column) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: Policy = Policy()) -> DataFrame:
     """``docs`` with base spans replaced by their kind, and disclosing terms removed or generalised; all rows and columns stay."""
     edits = _replacements(find(docs, id_col, text_col, policy))
-    ready = docs.withColumn("_key", row_key(id_col, text_col)).join(edits, "_key", "left")
-    text = F.col(text_col)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    ready = docs.select(row.alias("_row"), row_key(id_col, text_col).alias("_key")).join(edits, "_key", "left")
+    text = F.col("_row")[text_col]
     next_start = F.concat(F.transform(F.slice(F.col("_edits"), 2, F.size("_edits")), lambda s: s["start"]), F.array(F.length(text)))
 
     def edited(item: Column) -> Column:
@@ -298,7 +341,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", po
     items = F.arrays_zip(F.col("_edits").alias("edit"), F.col("_until").alias("until"))
     done = F.array_join(F.transform(items, edited), "")
     ready = ready.withColumn("_until", next_start)
-    return ready.withColumn(text_col, F.when(F.col("_edits").isNull(), text).otherwise(done)).select(docs.columns)
+    text = F.when(F.col("_edits").isNull(), text).otherwise(done)
+    return ready.select(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
