@@ -1,6 +1,8 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input.
 
-A stage is (spark, docs, sf_dir) -> DataFrame.  All but the last return the columns of documents.
+A stage is (spark, docs, sf_dir) -> DataFrame.  All but the last return the columns of documents, further ones of the
+input too, whatever their names.  Every stage gives an empty table for an empty one, judges repeated rows alike and takes
+a null text as empty: language_id and quality reject it, packing makes one piece of its end id.
 """
 
 from __future__ import annotations
@@ -16,6 +18,16 @@ from barcloud.session import write_table
 MOST_BITS = 7.5
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` under names that no operator adds, and its text column; ``_restored`` gives the names back."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("text")]
+
+
+def _restored(plain: DataFrame, docs: DataFrame) -> DataFrame:
+    return plain.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts that no learned language explains.
 
@@ -24,15 +36,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs)
     if not model.languages:
         return docs.where(has_letter(F.col("text")))
-    found = language.identify(docs.withColumnRenamed("text", "_text"), model, "_text")
-    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS))
-    return kept.withColumnRenamed("_text", "text").select(docs.columns)
+    plain, text = _plain(docs)
+    found = language.identify(plain, model, text)
+    return _restored(found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS)), docs)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts the scorer, trained on weak labels of the input, takes for bad; texts without a word too."""
     weights = quality.train(docs)
-    return quality.score(docs, weights).where("keep").select(docs.columns)
+    plain, text = _plain(docs)
+    return _restored(quality.score(plain, weights, text).where("keep"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +55,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and the terms that disclose it; n_chars follows the new text; all rows stay."""
-    return disclosure.sanitise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    done = disclosure.sanitise(docs)
+    if "n_chars" not in docs.columns:
+        return done
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
