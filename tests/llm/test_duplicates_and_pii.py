@@ -267,6 +267,37 @@ def test_copies_of_a_document_hide_nothing(spark):
     assert not any("Osprey" in t for t in out.values()) and out[5] == texts[5]
 
 
+@pytest.mark.parametrize("bound", [disclosure.MAX_BROADCAST_ROWS, 3])
+def test_repeated_rows_and_many_terms_disclose_alike(spark, monkeypatch, bound):
+    """Rows that stand in the table again, copies under other ids or none, and more terms than may be broadcast."""
+    texts = [f"Osprey wrote to bo@x.org about {w} today" for w in ("tea", "rain", "maps", "clay")] + [f"note {i} today" for i in range(300)]
+    rows = list(enumerate(texts))
+    again = rows[:1] * 150 + [(None, texts[1])] * 150 + [(900 + i, texts[2]) for i in range(50)]
+    schema, policy = "doc_id long, text string", disclosure.Policy()
+    monkeypatch.setattr(disclosure, "MAX_BROADCAST_ROWS", bound)
+    for table in (rows, rows + again):
+        docs = spark.createDataFrame(table, schema)
+        spans = disclosure.contexts(disclosure.base_spans(docs))
+        got = {(r["entity"], r["term"], r["action"]) for r in disclosure.disclosures(docs, spans, policy=policy).collect()}
+        assert got == slow_disclosures(texts, policy) and ("bo@x.org", "osprey", "remove") in got
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cc now", "k", 7, "e")], "doc_id long, text string, _key string, _until int, _edits string")
+    assert [tuple(r) for r in disclosure.sanitise(docs).collect()] == [(1, "mail <EMAIL> now", "k", 7, "e")]
+
+
+def test_stages_keep_columns_they_would_add(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").drop("n_chars")
+    extra = docs.select("*", F.lit("mine").alias("keep"), F.lit(7.5).alias("score"), F.lit("x").alias("Lang_Pred"), F.lit("b").alias("_bytes"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, extra, SF)
+        assert out.columns == extra.columns, name
+        assert {tuple(r) for r in out.select("keep", "score", "Lang_Pred", "_bytes").distinct().collect()} == {("mine", 7.5, "x", "b")}, name
+
+
 def test_terms_are_found_and_marked_anywhere_in_a_text(spark):
     filler = "and so the day went on " * 20
     texts = [f"Osprey, {filler}{w} by a{i}@y.net, b{i}@y.net, bo@x.org, c{i}@y.net. {filler} osprey" for i, w in enumerate(("tea", "rain", "maps"))]
