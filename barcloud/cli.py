@@ -8,7 +8,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from barcloud.config import DEFAULT_PLATFORM, PLATFORMS, get_platform
@@ -100,14 +100,20 @@ def run_count(spark: SparkSession, args) -> None:
     reads = fastq.read_pairs(spark, ",".join(args.reads))
     whitelist = None if args.haplotag else tables.read_whitelist(spark, args.whitelist)
     counts = count_plan.count(reads, whitelist, args.haplotag)
-    # sums of the tables made, not another scan of the reads
-    size = lambda table: table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    print(f"pairs with a listed barcode: {size(counts.barcodes)}" + (f" of {size(counts.keys)} usable" if counts.keys is not None else ""))
     count_files.register(spark)
-    counts.barcodes.write.format("barcode_counts").mode("overwrite").save(args.out + NCNT)
+    listed = _write_observed(counts.barcodes, "barcode_counts", args.out + NCNT)
+    usable = ""
     if counts.keys is not None:
         coded = counts.keys.select(B.key_binary("bases", "quals").alias("bc_key"), "n")
-        coded.write.format("key_counts").mode("overwrite").save(args.out + FCNT)
+        usable = f" of {_write_observed(coded, 'key_counts', args.out + FCNT)} usable"
+    print(f"pairs with a listed barcode: {listed}{usable}")
+
+
+def _write_observed(table: DataFrame, source: str, path: str) -> int:
+    """Writes a table of counts and returns their sum, observed by the job that writes: no job of its own."""
+    seen = Observation()
+    table.observe(seen, F.sum("n").alias("pairs")).write.format(source).mode("overwrite").save(path)
+    return seen.get.get("pairs") or 0
 
 
 def read_counts(spark: SparkSession, paths: list[str], haplotag: bool) -> count_plan.Counts:

@@ -71,7 +71,9 @@ class FastqReader(DataSourceReader):
                 splits += [Split(number, path, a, b, size, blocks) for a, b in files.ranges(size, self.step)]
         return splits
 
-    def read(self, split: Split):
+    def read(self, split: Split | None):
+        if split is None:  # no split at all: all files are empty
+            return
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc

@@ -228,7 +228,14 @@ def test_bad_command_lines(argv):
         cli.main(argv)
 
 
-def test_command_line_end_to_end(spark, tmp_path):
+def test_count_of_no_reads_is_zero(spark, tmp_path, capsys):
+    (tmp_path / "r.fq").write_text("")
+    (tmp_path / "wl.txt").write_text("\n".join(WL) + "\n")
+    assert cli.main(["count", "-w", str(tmp_path / "wl.txt"), "-o", str(tmp_path / "c"), str(tmp_path / "r.fq")], spark) == 0
+    assert "pairs with a listed barcode: 0 of 0 usable" in capsys.readouterr().out
+
+
+def test_command_line_end_to_end(spark, tmp_path, capsys):
     rows = pairs(60, 5)
     # one damaged barcode, one short read
     name, r1, q1, *rest = rows[0]
@@ -238,6 +245,7 @@ def test_command_line_end_to_end(spark, tmp_path):
     (tmp_path / "wl.txt").write_text("\n".join(WL) + "\n")
     path = lambda p: str(tmp_path / p)
     assert cli.main(["count", "-w", path("wl.txt"), "-o", path("c"), path("r.fq")], spark) == 0
+    assert "pairs with a listed barcode: 58 of 59 usable" in capsys.readouterr().out  # seen by the jobs that write
     assert cli.main(["preproc", "-w", path("wl.txt"), "-n", "2", "-o", path("out"), "--reads", path("r.fq"), "--", path("c.ncnt")], spark) == 0
     single = tables.read_single_line(spark, [path("out/bucket=1"), path("out/bucket=2")], P10X)
     got = {r.ident: r for r in single.withColumn("s", B.unpack("bc")).collect()}
