@@ -60,6 +60,10 @@ def _with_bucket(
     return attach_by_key(rows, dim, ["bc"], heavy, spread_on).drop("_reads")
 
 
+#: How many barcodes of a whitelist take the room of one row of the replacement map.
+_WIDTH = 8
+
+
 def route_reads(
     reads: DataFrame, buckets: DataFrame, replacements: DataFrame | None = None, double: bool = False,
     policy: SkewPolicy = DEFAULT_POLICY, broadcast: bool | None = None,
@@ -68,7 +72,9 @@ def route_reads(
 
     Without double edits a whitelisted barcode never changes, so its reads are resolved by the
     whitelist alone, without a shuffle of the reads when it is provably small; only the
-    remaining reads are joined with the replacement map.
+    remaining reads are joined with the replacement map.  A map proven small is broadcast, too, and
+    then one pass over the reads does all; beyond that, the reads are read twice, so that those of whitelisted barcodes
+    (nearly all) aren't shuffled.
     """
     usable = with_key(reads.where(is_usable()))
     raw = F.when(B.n_count("bases") == 0, B.pack("bases"))
@@ -84,13 +90,16 @@ def route_reads(
     changed = replacements.select("bases", "quals", "n", F.col("assigned").alias("bc"))
     target = _with_bucket(changed, buckets, policy, broadcast, ["quals"]).select(
         "bases", "quals", "n", F.col("bc").alias("assigned"), F.col("bucket").alias("new_bucket"))
+    final = {"bc": F.coalesce("assigned", unknown), "bucket": F.coalesce("new_bucket", "bucket")}
+    # a row of two strings and two numbers is about eight times as wide as a barcode
+    if replacements.count() <= policy.max_broadcast_rows // _WIDTH:
+        # without double edits no replacement has the bases of a whitelisted barcode, so its reads stay as they are
+        small = F.broadcast(target.drop("n"))
+        return placed.join(small, ["bases", "quals"], "left").withColumns(final).select(*columns)
     settled = placed.where(F.col("bucket").isNotNull() & F.lit(not double))
     pending = placed.where(F.col("bucket").isNull() | F.lit(double))
     heavy = F.col("n") > _share(replacements, policy)
-    moved = attach_by_key(pending, target, ["bases", "quals"], heavy, ["name"])
-    moved = moved.withColumns({
-        "bc": F.coalesce("assigned", unknown), "bucket": F.coalesce("new_bucket", "bucket"),
-    })
+    moved = attach_by_key(pending, target, ["bases", "quals"], heavy, ["name"]).withColumns(final)
     return settled.select(*columns).unionByName(moved.select(*columns))
 
 

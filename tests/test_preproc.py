@@ -127,6 +127,18 @@ def test_routing(spark, policy, double):
     assert tagged.split("\n")[0] == f"@x1 BX:Z:{PREFIX}AC-1" == tagged.split("\n")[4]
 
 
+def test_small_maps_are_routed_in_one_pass(spark, tmp_path):
+    wl = whitelist_df(spark, [PREFIX + "AC", "G" * 16])
+    reads_df(spark, [read(f"@k{i}", PREFIX + "AC") for i in range(9)] + [read("@x", PREFIX + "AT")]).write.parquet(str(tmp_path / "r"))
+    reads = spark.read.parquet(str(tmp_path / "r"))
+    corrections = preproc.correct(count_plan.count(reads, wl), wl)
+    for rows, scans in ((8_000_000, 1), (2, 2)):
+        routed = preproc.route(reads, corrections, 2, policy=SkewPolicy(max_broadcast_rows=rows))
+        plan = routed._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parquet") == scans
+        assert routed.where("bucket > 0").count() == 10
+
+
 def test_ambiguous_known_barcode_keeps_its_raw_bucket(spark):
     """A whitelisted barcode rejected by double edits is still written under its raw barcode."""
     wl = [PREFIX + "AC", PREFIX + "TT"]
