@@ -10,8 +10,11 @@ from barcloud.config import (
     SPLIT_EXTRA_SEARCH_DEPTH, Platform,
 )
 from barcloud.functions.alignment import log_density
+from barcloud.operators.candidates import CANDIDATE
 from barcloud.operators.clouds import CLOUD
 
+# Columns the ascent reads
+_WORKING = [*CANDIDATE, "chrom", "cloud", "pos", "rev", "score", "clip_edit_dist", "active"]
 IN_CLOUD = [*CLOUD, "ident", "mate"]
 
 
@@ -65,6 +68,15 @@ def optimise_density(layout, clouded: DataFrame, platform: Platform, rounds: int
     halves, so a read sees where its mate is, and a place next to it comes before any other.
     Every step is an aggregate per bin, per pair or per read, in any layout and for clouds of any size.
     """
+    if not layout.reshuffles:
+        return _ascent(layout, clouded, platform, rounds)
+    # every step shuffles its rows: only the narrow columns, joined back on the unique key
+    with layout.beside(clouded) as wide:
+        found = _ascent(layout, wide.select(*_WORKING), platform, rounds).select(*CANDIDATE, "active")
+    return wide.drop("active").join(found, CANDIDATE).select(*clouded.columns)
+
+
+def _ascent(layout, clouded: DataFrame, platform: Platform, rounds: int) -> DataFrame:
     marked = prefilter(layout, clouded)
     ours = F.col("anneal") & F.col("active")
     best = F.max(F.when(ours, F.struct(

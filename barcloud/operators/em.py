@@ -155,8 +155,8 @@ def posterior(layout, clouded: DataFrame, rounds: int = EM_ROUNDS, min_pairs: in
     rest = [c for c in clouded.columns if c not in _WORKING]
     if layout.reshuffles:
         # every round shuffles its rows: sweep over the narrow columns, then join back on the unique key
-        wide = layout.settle(clouded)
-        found = _sweep(layout, wide.select(*_WORKING), rounds, min_pairs).select(*CANDIDATE, "gamma", "bad")
+        with layout.beside(clouded) as wide:
+            found = _sweep(layout, wide.select(*_WORKING), rounds, min_pairs).select(*CANDIDATE, "gamma", "bad")
         return wide.join(found, CANDIDATE).select(*_WORKING, *rest, "bad", "gamma")
     packed = clouded.select(*_WORKING, F.struct(*rest).alias("rest")) if rest else clouded
     swept = _sweep(layout, packed, rounds, min_pairs)

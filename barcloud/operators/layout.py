@@ -12,7 +12,8 @@ and partners are searched in position bins.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from barcloud.config import INSERT_MAX, INSERT_MIN, SkewPolicy
 from barcloud.operators import clouds as C
 from barcloud.operators.candidates import PAIR, READ
 from barcloud.operators.skew import attach_by_key
-from barcloud.session import cut_lineage
+from barcloud.session import replace_tables
 
 
 def _tasks(df: DataFrame, policy: SkewPolicy, total_rows: int) -> int:
@@ -118,6 +119,8 @@ class Spread(PairWindows):
     reshuffles = True
     policy: SkewPolicy
     total_rows: int
+    _spent: set[str] = field(default_factory=set, repr=False, compare=False)
+    _held: set[str] = field(default_factory=set, repr=False, compare=False)
 
     @property
     def threshold(self) -> int:
@@ -152,8 +155,23 @@ class Spread(PairWindows):
         return attach_by_key(settled, table, C.CLOUD, F.col("_n") > self.threshold, ["ident", "mate"]).drop("_n")
 
     def settle(self, df: DataFrame) -> DataFrame:
-        """Rows feed both an aggregate and the join with it: compute them once, reliably."""
-        return cut_lineage(df)
+        """Rows feed both an aggregate and the join with it: compute them once, reliably.
+
+        The settled tables that ``df`` was made of are deleted: go on with the result, not with ``df``.
+        """
+        return replace_tables(df, "settled", self._spent, self._held)
+
+    @contextmanager
+    def beside(self, df: DataFrame):
+        """``df`` settled, and kept while the block settles rows made of it."""
+        before = set(self._spent)
+        table = self.settle(df)
+        new = self._spent - before
+        self._held.update(new)
+        try:
+            yield table
+        finally:
+            self._held.difference_update(new)
 
 
 _BIN = 1024  # positions; wider than the insert window, so a partner lies in a neighbouring bin

@@ -238,3 +238,20 @@ def test_light_barcodes_resolve_in_one_shuffle(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Join" not in plan and "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("layout", ["spread", "spread_reads"])
+def test_settled_rows_replace_those_they_were_made_of(spark, layout):
+    import os
+
+    from barcloud.session import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder))
+    policy = SkewPolicy(max_group_rows=20, max_heavy_keys=50)
+    frame = make(3)
+    got = align.posteriors(to_spark(spark, frame), layout=layout, density=True, policy=policy)
+    # the wide rows and the last settled ones of the sweep
+    assert len(set(os.listdir(folder)) - before) <= 2
+    flat = lambda df: sorted((*(r[k] for k in KEY), r.active, r.bad, round(r.gamma, 9)) for r in df.collect())
+    assert flat(got) == flat(align.posteriors(to_spark(spark, frame), layout="local", density=True))
