@@ -148,10 +148,13 @@ class Blocks:
         return data
 
     def read(self, size: int) -> bytes:
+        """``size`` bytes, or fewer once ``limit`` is known."""
         parts, held = [], 0
         while held < size and (data := self._some()):
             parts.append(data)
             held += len(data)
+            if self.limit is not None:
+                break
         data = b"".join(parts)
         data, self._rest = data[:size], data[size:]
         return data

@@ -22,6 +22,7 @@ RECORD_FIELDS = ["name", "seq", "qual"]
 _PAIR_LINES = [0, 1, 3, 4, 5, 7]
 _RECORD_LINES = [0, 1, 3]
 _BLOCK = 16 << 20
+_BEYOND = 1 << 16  # read behind the end of a split for the rest of its last row
 _COMPRESSED = (".gz", ".bz2", ".zst", ".lz4")
 _BLOCK_GZIP = (".gz", ".bgz", ".bgzf")
 
@@ -60,15 +61,16 @@ class FastqReader(DataSourceReader):
         self.pairs = pairs
 
     def partitions(self):
-        splits = []
-        for number, (path, size) in enumerate(files.expand(self.paths)):
+        splits, found = [], files.expand(self.paths)
+        step = files.split_bytes(sum(size for _, size in found), self.step)
+        for number, (path, size) in enumerate(found):
             blocks = path.endswith(_BLOCK_GZIP) and _is_block_gzip(path)
             if path.endswith(_COMPRESSED) and not blocks:
-                if size > self.step:
+                if size > step:
                     warnings.warn(f"{path} can't be split and is read by one task; block gzip can")
                 splits.append(Split(number, path, 0, None, size))
             else:
-                splits += [Split(number, path, a, b, size, blocks) for a, b in files.ranges(size, self.step)]
+                splits += [Split(number, path, a, b, size, blocks) for a, b in files.ranges(size, step)]
         return splits
 
     def read(self, split: Split | None):
@@ -135,7 +137,9 @@ def _whole_rows(stream, offset: int, limit, per_row: int):
 
     rest = b""
     while True:
-        block = stream.read(_BLOCK)
+        end = limit()
+        ahead = _BLOCK if end is None else max(end - offset - len(rest), 0) + _BEYOND
+        block = stream.read(min(_BLOCK, ahead))
         end = limit()
         data = rest + block
         if not block and data and not data.endswith(b"\n"):

@@ -299,3 +299,52 @@ def test_streaming_sessions(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r.k, r.n) for r in spark.table("sess").collect()) == [("u", 1), ("u", 2), ("v", 1)]
+
+
+@pytest.mark.parametrize("kind", ["fastq", "fasta"])
+def test_splits_read_little_beyond_their_bytes_and_grow_with_the_input(tmp_path, monkeypatch, kind):
+    from barcloud.sources import fasta, files
+
+    path, count = str(tmp_path / f"reads.{kind}"), 4000
+    record = lambda i: f"@r{i}\n{'ACGT' * 30}\n+\n{'F' * 120}\n" * 2 if kind == "fastq" else f">c{i}\n{'ACGT' * 30}\n"
+    (tmp_path / f"reads.{kind}").write_text("".join(record(i) for i in range(count)))
+    make = lambda p: fastq.FastqReader({"path": p, "splitBytes": "20000"}, True) if kind == "fastq" else fasta.FastaReader({"path": p, "splitBytes": "20000"})
+    taken = []
+    local = files.filesystem(path)[0]
+
+    class Stream:
+        def __init__(self, stream):
+            self.seek, self._stream = stream.seek, stream
+
+        def read(self, size):
+            taken.append(len(data := self._stream.read(size)))
+            return data
+
+        def read_at(self, size, at):
+            taken.append(len(data := self._stream.read_at(size, at)))
+            return data
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self._stream.close()
+
+    class System:
+        get_file_info = local.get_file_info
+
+        def open_input_file(self, name):
+            return Stream(local.open_input_file(name))
+
+    monkeypatch.setattr(files, "filesystem", lambda p: (System(), p))
+    splits = make(path).partitions()
+    batches = [b for s in splits for b in make(path).read(s)]
+    names = [n for b in batches for n in b.column("name" if kind == "fastq" else "header").to_pylist() if n]
+    assert [int(n[2 if kind == "fastq" else 1:]) for n in names] == list(range(count))
+    assert sum(taken) <= len(splits) * (20_000 + 5 * (1 << 16))
+    monkeypatch.undo()
+    large = tmp_path / "large"
+    with large.open("wb") as out:
+        out.truncate(3 << 30)
+    parts = make(str(large)).partitions()
+    assert len(parts) <= files.MAX_SPLITS and parts[-1].end == 3 << 30
