@@ -5,6 +5,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barcloud.config import SkewPolicy, get_platform
 from barcloud.operators import clouds, density
@@ -255,3 +256,20 @@ def test_settled_rows_replace_those_they_were_made_of(spark, layout):
     assert len(set(os.listdir(folder)) - before) <= 2
     flat = lambda df: sorted((*(r[k] for k in KEY), r.active, r.bad, round(r.gamma, 9)) for r in df.collect())
     assert flat(got) == flat(align.posteriors(to_spark(spark, frame), layout="local", density=True))
+
+
+def test_sizable_local_barcodes_are_dealt_evenly(spark):
+    """24 barcodes of 4,000 rows and many small ones, with 16 tasks at least: none has more than two sizable ones."""
+    frame = spark.range(24 * 4_000 + 4_000).selectExpr(
+        "case when id < 96000 then id % 24 * 7 else 1000 + id % 500 end as bc", "id as ident")
+    policy = SkewPolicy(rows_per_task=6_250, waves=1)
+    (layout, rows), = align.plan_layouts(frame, policy)
+    sizes = [r["count"] for r in layout.place(rows).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 100_000 and max(sizes) < 3 * 4_000
+
+
+def test_barcode_beyond_a_tasks_rows_is_spread(spark):
+    heavy = spark.range(360_000).selectExpr("id % 2 * 5 + 1 as bc", "id as ident")
+    one = spark.range(400_000).selectExpr("cast(7 as long) as bc", "id as ident")
+    assert [type(lay).__name__ for lay, _ in align.plan_layouts(heavy)] == ["BarcodeLocal"]
+    assert [type(lay).__name__ for lay, _ in align.plan_layouts(heavy.unionByName(one))] == ["BarcodeLocal", "Spread"]
