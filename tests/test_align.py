@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barcloud.config import SkewPolicy, get_platform
 from barcloud.operators import clouds, density
 from barcloud.operators.layout import BarcodeLocal
+from barcloud.operators.selection import best_alignments
 from barcloud.plans import align
 
 P10X = get_platform("10x")
@@ -273,3 +274,13 @@ def test_barcode_beyond_a_tasks_rows_is_spread(spark):
     one = spark.range(400_000).selectExpr("cast(7 as long) as bc", "id as ident")
     assert [type(lay).__name__ for lay, _ in align.plan_layouts(heavy)] == ["BarcodeLocal"]
     assert [type(lay).__name__ for lay, _ in align.plan_layouts(heavy.unionByName(one))] == ["BarcodeLocal", "Spread"]
+
+
+@pytest.mark.parametrize("gamma, reported", [
+    (0.9, True), (0.9000000000000002, True), (0.8999999999999998, True), (0.90000001, False), (0.89999999, True)])
+def test_runner_up_of_nine_tenths_is_reported_whatever_the_last_bit(spark, gamma, reported):
+    rows = [(1, 1, 0, 0, 5, gamma), (1, 1, 0, 1, 9, 1 - gamma)]
+    frame = spark.createDataFrame(rows, "bc long, ident long, mate long, bwa_rank long, pos long, gamma double").withColumns(
+        {"active": F.lit(True), "chrom": F.lit(0), "gpos": F.col("pos")})
+    found, = best_alignments(BarcodeLocal(SkewPolicy(), 2), frame).collect()
+    assert (found["alt"] is not None) == reported and found["bwa_rank"] == 0
