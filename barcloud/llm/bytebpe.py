@@ -13,6 +13,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from struct import pack
 
 import numpy as np
@@ -23,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from barcloud.llm.common import table, texts, with_arrow_columns
-from barcloud.llm.tokens import Memory
+from barcloud.llm import prefixes
+from barcloud.llm.tokens import PLAIN, PLAIN_LETTERS, PLAIN_NUMBERS, Memory, together
 
 _RESULT = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType()),
@@ -119,33 +122,70 @@ _AT_EDGES = re.compile(r"\s | \s|^ | $")
 _CONTROL = re.compile("[\x1c-\x1f]")
 
 
+#: What the public pattern finds in texts of plain characters.
+_PLAIN_PIECES = re.compile(
+    public_tokenizers.PATTERN.replace(r"\s\p{L}\p{N}", rf"\s{PLAIN_LETTERS}{PLAIN_NUMBERS}")
+    .replace(r"\p{L}", f"[{PLAIN_LETTERS}]").replace(r"\p{N}", f"[{PLAIN_NUMBERS}]")
+)
+#: Pieces of more bytes are made one by one.
+_LONG = 256
+
+
 class ByteBPE:
     """Ids as little-endian unsigned 32-bit integers of each pattern match by itself, and bytes of ids."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = Ranks(path)
+        by_rank = sorted(self.ranks.id_of.items(), key=lambda t: t[1])
+        self._short = prefixes.Prefixes((token.decode("latin-1"), i) for token, i in by_rank)
         space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         exact = pattern.replace(r"[^\s", f"[^{space}").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
         self._matches = regex.compile(exact).findall
-        self._pieces = Memory(self._piece)
-        self._units = Memory(self._unit)
-        self._spaced = Memory(lambda unit: self._unit(" " + unit))
-
-    def _piece(self, piece: str) -> bytes:
-        ids = Prefixes(self.ranks, piece.encode("utf-8")).ids()
-        return pack(f"<{len(ids)}I", *ids)
-
-    def _unit(self, text: str) -> bytes:
-        return b"".join(map(self._pieces.__getitem__, self._matches(text)))
+        self._public = pattern == public_tokenizers.PATTERN
+        self._pieces = Memory(lambda piece: next(self._made([piece])), share=0.5)
+        self._spaced = Memory(lambda unit: next(self._after_space([unit])))
+
+    def _made(self, pieces: list[str]) -> Iterator[bytes]:
+        short, long = [], {}
+        for piece in pieces:
+            data = piece.encode("utf-8")
+            if len(data) > _LONG:
+                ids = Prefixes(self.ranks, data).ids()
+                long[piece] = pack(f"<{len(ids)}I", *ids)
+            else:
+                short.append(data.decode("latin-1"))
+        ids = iter(self._short.ids(short))
+        return (long[piece] if piece in long else next(ids) for piece in pieces)
+
+    def _units(self, matches: list[list[str]]) -> Iterator[bytes]:
+        self._pieces.learn(set(chain.from_iterable(matches)), self._made)
+        ids = self._pieces.__getitem__
+        return (ids(own[0]) if len(own) == 1 else b"".join(map(ids, own)) for own in matches)
+
+    def _after_space(self, units: list[str]) -> Iterator[bytes]:
+        return self._units([[" " + u] if u.isascii() and u.isalpha() else self._matches(" " + u) for u in units])
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of ``text``; null is empty.  A single space inside a line starts a match, so units between spaces are looked up."""
-        if not text:
-            return b""
+        return next(self.every([text]))
+
+    def every(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text; null is empty.  A single space inside a line starts a match, so units between spaces are looked up."""
+        for some in together(texts):
+            plain = [_PLAIN_PIECES.findall(t) if t and self._public and PLAIN.fullmatch(t) else None for t in some]
+            split = [self._split(t) if t and own is None else [""] for t, own in zip(some, plain)]
+            self._pieces.learn(set(chain.from_iterable(filter(None, plain))), self._made)
+            firsts = list(self._units([self._matches(units[0]) for units in split]))
+            self._spaced.learn(set(chain.from_iterable(units[1:] for units in split)), self._after_space)
+            for own, first, units in zip(plain, firsts, split):
+                if own is not None:
+                    yield b"".join(map(self._pieces.__getitem__, own))
+                else:
+                    yield first + b"".join(map(self._spaced.__getitem__, units[1:]))
+
+    def _split(self, text: str) -> list[str]:
         if _CONTROL.search(text):
-            return self._unit(text)
-        units = _BETWEEN.split(text) if _AT_EDGES.search(text) else text.split(" ")
-        return self._units[units[0]] + b"".join(map(self._spaced.__getitem__, units[1:]))
+            return [text]
+        return _BETWEEN.split(text) if _AT_EDGES.search(text) else text.split(" ")
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.ranks.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -177,8 +217,7 @@ def round_trip(
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         bpe, counts, ids_out, decoded_out = byte_bpe(path, pattern), [], [], []
-        for text in texts(batch, text_col):
-            ids = bpe.encode(text)
+        for ids in bpe.every(texts(batch, text_col)):
             decoded = bpe.decode(ids)
             counts.append(len(ids) // 4)
             ids_out.append(hashlib.sha256(ids).hexdigest() if digests else ids)

@@ -3,14 +3,16 @@
 A :class:`WordBPE` gives exactly the ids of the tokenizers library for ``word_bpe_49k.json``: white
 space separates words there and every word is merged by itself, so a text's ids are the concatenation
 of the ids of its white-space separated chunks, and most chunks have been seen before.  A chunk of
-characters below U+0180 is lower-cased and split here and only unseen words go through the model;
-any other chunk goes through the whole library.  Special-token strings in a text are ordinary text.
+characters below U+0180 is lower-cased and split here (a whole text of them at once) and only unseen words go through the
+model; any other chunk goes through the whole library.  Special-token strings in a text are ordinary text.
 """
 
 from __future__ import annotations
 
 import re
 import weakref
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from struct import pack
 from sys import getsizeof
 
@@ -21,6 +23,23 @@ from tokenizers import Tokenizer
 BUDGET = 160 << 20
 #: What a dictionary's entry costs beside its key and value, as the dictionary is filled and grows.
 _ENTRY = 100
+#: What a text and bytes cost together beside their characters (of up to two bytes each).
+_OBJECTS = 110
+#: Characters of the texts whose words are looked up together.
+_AT_ONCE = 1 << 19
+
+
+def together(texts: Iterable[str | None], chars: int = _AT_ONCE) -> Iterator[list[str | None]]:
+    """Lists of neighbouring texts; a list ends with the text that reaches ``chars`` characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "")
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 class Memory(dict):
@@ -56,6 +75,27 @@ class Memory(dict):
                 self._make_room()
         return value
 
+    def learn(self, keys: set, make: Callable[[list], Iterable[bytes]]) -> None:
+        """Holds ``keys`` (texts), as far as there is room; ``make`` gives the values (bytes) of the unknown ones together, in its order."""
+        new = list(keys.difference(self))
+        old = {k: self._old[k] for k in new if k in self._old}
+        if old:
+            new = [k for k in new if k not in old]
+        old.update(zip(new, make(new)))
+        keys = [k for k in old if len(k) <= 64]
+        for at in range(0, len(keys), 1024):
+            part = {k: old[k] for k in keys[at : at + 1024]}
+            size = (_ENTRY + _OBJECTS) * len(part) + 2 * sum(map(len, part)) + sum(map(len, part.values()))
+            if 2 * (self._bytes + size) > self._share * BUDGET:
+                self._turn()
+            self.update(part)
+            self._bytes += size
+            Memory._together += size
+        if keys:
+            Memory._every[id(self)] = Memory._every.pop(id(self), None) or weakref.ref(self)
+        if Memory._together > BUDGET:
+            self._make_room()
+
     def _turn(self) -> None:
         Memory._together -= self._old_bytes
         self._old, self._old_bytes, self._bytes = dict(self), self._bytes, 0
@@ -84,7 +124,8 @@ class Memory(dict):
 # letters and numbers below U+0180; U+0130 lower-cases to two characters and is left to the library
 _LETTERS = "a-zªµºß-öø-ſ"
 _NUMBERS = "0-9²³¹¼-¾"
-_PLAIN = re.compile("[\x00-įı-ſ]*")
+PLAIN_LETTERS, PLAIN_NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", _NUMBERS
+PLAIN = re.compile("[\x00-\x1b\x20-įı-ſ]*")
 #: ``str.split`` takes these for white space, the tokenizer doesn't.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile(
@@ -100,30 +141,37 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordBPE:
-    """``bytes_of(text)``: the ids as little-endian unsigned 32-bit integers."""
+    """``bytes_of(text)``, and ``every`` for many texts: the ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True
         self._model = self._library.model
         self._letters = byte_letters()
-        self._words = Memory(self._word)
+        self._words = Memory(self._word, share=0.5)
         self._chunks = Memory(self._chunk)
 
     def bytes_of(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _CONTROL.search(text):
-            return self._whole(text)
-        return b"".join(map(self._chunks.__getitem__, text.split()))
+        return next(self.every([text]))
+
+    def every(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """``bytes_of`` each text; words that are new in many texts are made together."""
+        word, chunk = self._words.__getitem__, self._chunks.__getitem__
+        for some in together(texts):
+            plain = [bool(text) and PLAIN.fullmatch(text) is not None for text in some]
+            words = [_WORDS.findall(text.lower()) if whole else () for text, whole in zip(some, plain)]
+            self._words.learn(set(chain.from_iterable(words)), lambda new: map(self._word, new))
+            for text, whole, own in zip(some, plain, words):
+                if whole:
+                    yield b"".join(map(word, own))
+                elif not text:
+                    yield b""
+                else:
+                    yield self._whole(text) if _CONTROL.search(text) else b"".join(map(chunk, text.split()))
 
     def _chunk(self, chunk: str) -> bytes:
-        if not chunk.isascii() and not _PLAIN.fullmatch(chunk):
+        if not PLAIN.fullmatch(chunk):
             return self._whole(chunk)
-        if chunk.isalpha():  # the usual cases, without a pattern
-            return self._words[chunk.lower()]
-        if chunk[:-1].isalpha() and chunk[-1] in ".,":
-            return self._words[chunk[:-1].lower()] + self._words[chunk[-1]]
         return b"".join(map(self._words.__getitem__, _WORDS.findall(chunk.lower())))
 
     def _whole(self, text: str) -> bytes:

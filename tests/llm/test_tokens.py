@@ -165,3 +165,25 @@ def test_id_files_round_trip(spark, docs, words, tmp_path):
     assert keys[0] is None and keys[1:] == sorted(keys[1:])
     repair.write(docs.limit(0), f"{tmp_path}/none")
     assert repair.read(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_many_texts_together_give_the_ids_of_each(words):
+    texts = [None, *odd_texts(300), "x" * 3000, "Été déjà, l'ÉTÉ's a.b.c 12 don't", None]
+    ours = word_bpe(packing.vocabulary())
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in ours.every(texts)] == [words(text) for text in texts]
+    bpe = bytebpe.byte_bpe(bytebpe.vocabulary(), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks.id_of, special_tokens={})
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in bpe.every(texts)] == [library.encode_ordinary(t or "") for t in texts]
+
+
+def test_prefixes_of_many_sequences_follow_the_merges():
+    from barcloud.llm import prefixes
+
+    ranks, rng = bytebpe.byte_bpe(bytebpe.vocabulary(), public_tokenizers.PATTERN).ranks, random.Random(8)
+    table = prefixes.Prefixes((t.decode("latin-1"), i) for t, i in sorted(ranks.id_of.items(), key=lambda x: x[1]))
+    texts = ["", *["".join(rng.choice("aethino ") for _ in range(rng.randrange(40))) for _ in range(400)], "aaaaaaa" * 9]
+    want = [[ranks.id_of[t] for t in ranks.merge(text.encode())] for text in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in table.ids(texts)] == want
+    # "abc" cannot come of its merges, as "ab" comes before "bc"; equal symbols merge from the left
+    table = prefixes.Prefixes([("c", 7), ("b", 8), ("a", 9), ("ab", 0), ("bc", 1), ("abc", 2), ("aa", 3)])
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in table.ids(["abc", "bcab", "aaab", "aaa"])] == [[2], [1, 0], [3, 0], [3, 9]]
