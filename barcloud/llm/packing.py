@@ -86,8 +86,8 @@ def pieces(
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             rows, ids_out = [], []
-            for i, text in enumerate(texts(batch, text_col)):
-                ids = memoryview(word_bpe(path).bytes_of(text) + end)
+            for i, ids in enumerate(word_bpe(path).every(texts(batch, text_col))):
+                ids = memoryview(ids + end)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((i, k, at // 4, len(own) // 4, zlib.crc32(own)))
