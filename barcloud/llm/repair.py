@@ -92,9 +92,10 @@ def _replace(symbols: np.ndarray, number: int, least: int) -> tuple[np.ndarray,
     places = np.flatnonzero(chosen)
     which = which[places]
     # of overlapping occurrences (a run of neighbouring places) every other one
-    run = np.concatenate([[0], np.flatnonzero(np.diff(places) > 1) + 1])
-    within = np.arange(len(places)) - np.repeat(run, np.diff(np.append(run, len(places))))
-    places, which = places[within % 2 == 0], which[within % 2 == 0]
+    index = np.arange(len(places))
+    begins = np.concatenate([[True], places[1:] != places[:-1] + 1])
+    even = np.flatnonzero((index - np.maximum.accumulate(np.where(begins, index, 0))) & 1 == 0)
+    places, which = places[even], which[even]
     left = np.bincount(which, minlength=len(values))
     kept = left >= least
     places, which = places[kept[which]], which[kept[which]]
@@ -190,8 +191,8 @@ def write(
 
         for batch in batches:
             keys_type = batch.schema.field(id_col).type
-            for key, text in zip(batch.column(id_col).to_pylist(), texts(batch, text_col)):
-                ids = word_bpe(path).bytes_of(text) + end
+            for key, ids in zip(batch.column(id_col).to_pylist(), word_bpe(path).every(texts(batch, text_col))):
+                ids += end
                 keys.append(key)
                 held.append(ids)
                 size += len(ids) // 4
