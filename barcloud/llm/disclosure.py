@@ -198,6 +198,35 @@ def _with_counts(words: DataFrame, near: DataFrame) -> DataFrame:
     return found.unionByName(others)
 
 
+def term_counts(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, n_t): the distinct texts of ``docs`` with each of the distinct ``terms``.
+
+    One row of each text is counted where it stands, so that only partial counts travel; a text's other rows are known by
+    a broadcast of the texts that have any.  If those are too many for that, pairs of text and term travel.
+    """
+    rows = docs.select(
+        row_key(id_col, text_col).alias("_key"), text_key(text_col).alias("_text_key"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
+    )
+    of_rows = rows.groupBy("_text_key", "_key").agg(F.count("*").alias("rows"))
+    copies = of_rows.groupBy("_text_key").agg(F.min(F.struct("_key", "rows")).alias("of"), F.sum("rows").alias("n"))
+    copies = copies.where("n > 1").select("_text_key", F.col("of._key").alias("_kept"), F.col("of.rows").alias("_rows"))
+    copies = write_table(copies, "pii-copies")
+    terms = small_or_shuffled(terms)
+
+    def known(some: DataFrame) -> DataFrame:
+        return _terms(some).join(terms, "term", "left_semi")
+
+    if copies.count() <= MAX_BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(copies), "_text_key", "left")
+        words = known(rows.where("_kept is null or (_kept = _key and _rows = 1)")).select("term")
+        if not copies.where("_rows > 1").isEmpty():  # a row of this id and text stands in the table again
+            words = words.unionByName(known(rows.where("_kept = _key and _rows > 1")).distinct().select("term"))
+    else:
+        words = known(rows).distinct()
+    return words.groupBy("term").agg(F.count("*").alias("n_t"))
+
+
 def disclosures(
     docs: DataFrame, spans: DataFrame, text_col: str = "text", policy: Policy = Policy(), id_col: str = "doc_id"
 ) -> DataFrame:
@@ -237,8 +266,7 @@ def disclosures(
         (F.col("n_te") >= policy.support) & (told(F.col("n_te"), F.col("n_near"), F.col("n_e")) >= policy.generalise)
     )
     pairs = write_table(pairs, "pii-pairs")
-    known = _terms(texts).join(small_or_shuffled(pairs.select("term").distinct()), "term", "left_semi").distinct()
-    n_term = known.groupBy("term").agg(F.count("*").alias("n_t"))
+    n_term = term_counts(docs, pairs.select("term").distinct(), id_col, text_col)
     scored = pairs.join(n_term, "term").withColumn("disclosure", told(F.col("n_te"), F.col("n_t"), F.col("n_e")))
     action = F.when(F.col("disclosure") >= policy.remove, "remove").when(F.col("disclosure") >= policy.generalise, "generalise")
     return scored.withColumn("action", action).where("action is not null").select(

@@ -336,3 +336,15 @@ def test_the_stages_keep_clean_documents(spark):
         docs = out
     rows = corpus_pipeline.run(spark, SF)
     assert rows.agg(F.max("length")).first()[0] <= 2048
+
+
+def test_terms_are_counted_in_distinct_texts_where_the_rows_stand(spark, monkeypatch, capsys):
+    texts = [(1, "falcon nest"), (1, "falcon nest"), (2, "falcon nest"), (3, "Falcon egg falcon"), (4, None), (5, "owl nest"), (6, "owl nest")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    terms = spark.createDataFrame([("falcon",), ("nest",), ("owl",)], "term string")
+    want = {"falcon": 2, "nest": 2, "owl": 1}
+    assert {r["term"]: r["n_t"] for r in disclosure.term_counts(docs, terms).collect()} == want
+    disclosure.term_counts(docs.where("doc_id > 1"), terms).explain()
+    assert "hashpartitioning(term" in (plan := capsys.readouterr().out) and "hashpartitioning(_text_key" not in plan
+    monkeypatch.setattr(disclosure, "MAX_BROADCAST_ROWS", 0)
+    assert {r["term"]: r["n_t"] for r in disclosure.term_counts(docs, terms).collect()} == want
