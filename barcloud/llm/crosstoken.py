@@ -33,11 +33,13 @@ from tokenizers import Tokenizer
 
 from barcloud.llm.common import attach_facts, table, texts
 from barcloud.llm.tokens import byte_letters
-from barcloud.session import write_table
+from barcloud.session import limit_batches, write_table
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A block of documents ends with the one that reaches so many characters.
 BLOCK_CHARS = 1 << 21
+#: An Arrow batch of blocks, of about 2 MB each: the JVM and Python hold a batch twice while it is made or taken apart.
+BATCH_BYTES = 8 << 20
 _AT_ONCE = 2048
 _SPACE = "\u2581"
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -287,6 +289,7 @@ def align(
     not given back by both tokenizers have zeros and ''.  Repeated rows count each; an empty table gives no row; other columns are not read.
     """
     path_a, path_b = path_a or public_tokenizers.path(A_FILE), path_b or public_tokenizers.path(B_FILE)
+    limit_batches(docs.sparkSession, BATCH_BYTES)
     both = aligner(path_a, path_b)
     made = write_table(blocks(docs, id_col, text_col, path_a, path_b), "token-blocks")
     pairs = write_table(pair_counts(made, both), "token-pair-counts")
@@ -298,7 +301,8 @@ def align(
     asked = made.select("block", F.explode("pairs").alias("pair"))
     answered = attach_facts(asked, pairs.where("blocks > 0"), ["pair"], "blocks", ["block"])
     facts = answered.groupBy("block").agg(F.collect_list(F.struct("pair", "n", "best")).alias("facts"))
-    joined = made.select("block", "ids", "sizes", "stretches", "pairs", *_PACKED).join(facts, "block", "left")
+    # a sorted join would hold the blocks of a task; the facts are the small side
+    joined = made.select("block", "ids", "sizes", "stretches", "pairs", *_PACKED).join(facts.hint("shuffle_hash"), "block", "left")
     kind = made.schema["ids"].dataType.elementType.simpleString()
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     schema = f"`{id_col}` {kind}, {', '.join(f'{n} long' for n in names)}, groups string"

@@ -301,3 +301,11 @@ def test_exact_groups_never_become_pairs(spark):
     made = crosstoken.blocks(docs, "doc_id", "text", *map(public_tokenizers.path, (crosstoken.A_FILE, crosstoken.B_FILE)))
     sizes = made.select(F.size("pairs").alias("pairs"), F.size("exact_ids").alias("exact")).collect()
     assert sum(r.pairs for r in sizes) == 0 and all(r.exact >= 5 for r in sizes)
+
+
+def test_blocks_are_neither_sorted_nor_sent_in_large_batches(spark):
+    """Blocks are rows of about 2 MB: a sorted join and batches of 64 MB took more than an executor's memory."""
+    docs = spark.createDataFrame(odd_rows(), "doc_id long, text string")
+    plan = crosstoken.align(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin [block" not in plan
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= crosstoken.BATCH_BYTES
