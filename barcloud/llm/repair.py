@@ -73,13 +73,17 @@ def _replace(symbols: np.ndarray, number: int, least: int) -> tuple[np.ndarray,
     if len(symbols) < 2 * least:
         return symbols, none
     pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
+    # most pairs are rare: one whose hash is rare is left out before the sort
+    slot = _slots(pairs)
+    often = np.flatnonzero((np.bincount(slot, minlength=1 << _SLOT_BITS) >= least)[slot])
+    pairs, slot = pairs[often], slot[often]
     held = np.sort(pairs)
-    edges = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1], [True]]))
+    edges = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1], [True]])) if len(held) else np.zeros(1, np.int64)
     values = held[edges[:-1]][np.diff(edges) >= least]
     if not len(values):
         return symbols, none
     # a place's pair by a table over hashes; where two frequent pairs share a hash, by search
-    at, slot = _slots(values), _slots(pairs)
+    at = _slots(values)
     table_ = np.zeros(1 << _SLOT_BITS, np.int32)
     table_[at] = np.arange(len(values))
     which = table_[slot]
@@ -89,8 +93,7 @@ def _replace(symbols: np.ndarray, number: int, least: int) -> tuple[np.ndarray,
         other = np.flatnonzero(shared[slot] & ~chosen)
         found = np.minimum(np.searchsorted(values, pairs[other]), len(values) - 1)
         which[other], chosen[other] = found, values[found] == pairs[other]
-    places = np.flatnonzero(chosen)
-    which = which[places]
+    which, places = which[chosen], often[chosen]
     # of overlapping occurrences (a run of neighbouring places) every other one
     index = np.arange(len(places))
     begins = np.concatenate([[True], places[1:] != places[:-1] + 1])

@@ -12,8 +12,7 @@ from __future__ import annotations
 import re
 import weakref
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
-from struct import pack
+from itertools import accumulate, chain
 from sys import getsizeof
 
 import numpy as np
@@ -96,6 +95,16 @@ class Memory(dict):
         if Memory._together > BUDGET:
             self._make_room()
 
+    def every(self, keys: list, make: Callable[[list], Iterable[bytes]]) -> list[bytes]:
+        """The values of ``keys`` (texts, repeats included), looked up once; the unknown ones are learned together."""
+        found = list(map(self.get, keys))
+        if None in found:
+            unknown = [i for i, value in enumerate(found) if value is None]
+            self.learn({keys[i] for i in unknown}, make)
+            for i in unknown:
+                found[i] = self[keys[i]]
+        return found
+
     def _turn(self) -> None:
         Memory._together -= self._old_bytes
         self._old, self._old_bytes, self._bytes = dict(self), self._bytes, 0
@@ -156,14 +165,15 @@ class WordBPE:
 
     def every(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """``bytes_of`` each text; words that are new in many texts are made together."""
-        word, chunk = self._words.__getitem__, self._chunks.__getitem__
+        chunk = self._chunks.__getitem__
         for some in together(texts):
             plain = [bool(text) and PLAIN.fullmatch(text) is not None for text in some]
             words = [_WORDS.findall(text.lower()) if whole else () for text, whole in zip(some, plain)]
-            self._words.learn(set(chain.from_iterable(words)), lambda new: map(self._word, new))
+            found, at = self._words.every(list(chain.from_iterable(words)), self._new_words), 0
             for text, whole, own in zip(some, plain, words):
                 if whole:
-                    yield b"".join(map(word, own))
+                    yield b"".join(found[at : at + len(own)])
+                    at += len(own)
                 elif not text:
                     yield b""
                 else:
@@ -178,10 +188,15 @@ class WordBPE:
         return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        if not word.isascii() or not word.isalnum():
-            word = "".join(map(self._letters.__getitem__, word.encode("utf-8")))
-        ids = [t.id for t in self._model.tokenize(word)]
-        return pack(f"<{len(ids)}I", *ids)
+        return self._new_words([word])[0]
+
+    def _new_words(self, words: list[str]) -> list[bytes]:
+        tokenize, letter = self._model.tokenize, self._letters.__getitem__
+        spelled = [w if w.isascii() and w.isalnum() else "".join(map(letter, w.encode("utf-8"))) for w in words]
+        rows = [[t.id for t in tokenize(w)] for w in spelled]
+        ids = np.fromiter(chain.from_iterable(rows), "<u4").tobytes()
+        ends = list(accumulate([4 * len(row) for row in rows]))
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
 _loaded: dict[str, WordBPE] = {}

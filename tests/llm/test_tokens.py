@@ -187,3 +187,32 @@ def test_prefixes_of_many_sequences_follow_the_merges():
     # "abc" cannot come of its merges, as "ab" comes before "bc"; equal symbols merge from the left
     table = prefixes.Prefixes([("c", 7), ("b", 8), ("a", 9), ("ab", 0), ("bc", 1), ("abc", 2), ("aa", 3)])
     assert [np.frombuffer(ids, "<u4").tolist() for ids in table.ids(["abc", "bcab", "aaab", "aaa"])] == [[2], [1, 0], [3, 0], [3, 9]]
+
+
+def test_known_words_are_looked_up_once_and_new_ones_made_together():
+    made, looked_up = [], []
+
+    class Watched(Memory):
+        def get(self, key, default=None):
+            looked_up.append(key)
+            return super().get(key, default)
+
+    def learn(keys):
+        made.append(set(keys))
+        return [k.encode() for k in keys]
+
+    memory = Watched(None)
+    assert memory.every(["a", "b", "a"], learn) == [b"a", b"b", b"a"]
+    assert memory.every(["b", "c", "c", "a"], learn) == [b"b", b"c", b"c", b"a"]
+    assert made == [{"a", "b"}, {"c"}] and len(looked_up) == 7
+    assert memory.every([], learn) == []
+
+
+def test_rare_pairs_are_not_sorted(monkeypatch):
+    sizes, sort = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda values: sizes.append(len(values)) or sort(values))
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([rng.permutation(40_000), np.tile([50_001, 50_002, 50_003], 20)]).astype(np.uint32)
+    blob = repair.compress(ids, np.array([0, len(ids)]))
+    assert sizes and max(sizes) < 1000
+    assert repair.Block(blob).ids(0, len(ids)).tolist() == ids.tolist()
