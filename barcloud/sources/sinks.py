@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barcloud.config import DEFAULT_POLICY, SkewPolicy
@@ -13,17 +13,21 @@ def write_shards(lines: DataFrame, path: str, load: DataFrame, policy: SkewPolic
     """One directory per bucket (``bucket=0`` holds the pairs without barcode).
 
     ``load``: (bucket, n), one row per bucket.  Rows are shuffled by bucket so that tasks do not
-    write to all buckets, and a heavy bucket is spread over as many tasks as its size asks for; a bucket
-    of unknown load is spread as if it held all rows.
+    write to all buckets, and a heavy bucket is spread over as many tasks as its size asks for, none of which
+    has another one of known load; a bucket of unknown load is spread as if it held all rows.
     """
     parts = F.ceil(F.col("n") / policy.target_file_rows).cast("int")
-    tasks = load.agg(F.sum(F.greatest(parts, F.lit(1))).alias("t"), F.sum(parts).alias("all")).first()
-    sized = load.select("bucket", F.greatest(parts, F.lit(1)).alias("_parts"))
     # one row per bucket: bounded by the bucket count the caller chose
-    spread = lines.join(F.broadcast(sized), "bucket", "left").withColumn(
-        "_part", F.pmod(F.xxhash64("value"), F.coalesce("_parts", F.lit(max(1, tasks["all"] or 0)))))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sized = load.select("bucket", F.greatest(parts, F.lit(1)).alias("_parts"), parts.alias("_full")).select(
+        "bucket", "_parts", "_full", F.coalesce(F.sum("_parts").over(before), F.lit(0)).alias("_first"))
     at_least = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread.repartition(max(at_least, tasks["t"] or 1), "bucket", "_part").select("bucket", "value").write.partitionBy("bucket").text(path)
+    total = sized.agg(F.sum("_parts").alias("parts"), F.sum("_full").alias("full")).first()
+    tasks = max(at_least, total["parts"] or 1)
+    spread = lambda n: F.pmod(F.xxhash64("value"), n)
+    task = F.coalesce(F.col("_first") + spread(F.col("_parts")), spread(F.lit(max(1, total["full"] or 0)))).cast("int")
+    placed = lines.join(F.broadcast(sized), "bucket", "left").withColumn("_task", task)
+    placed.repartitionById(tasks, "_task").select("bucket", "value").write.partitionBy("bucket").text(path)
 
 
 def write_sam(records: DataFrame, contigs: DataFrame, path: str, read_group: str | None = None, command: str = "barcloud") -> None:

@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from barcloud import cli
-from barcloud.config import get_platform
+from barcloud.config import SkewPolicy, get_platform
 from barcloud.functions import bases as B
 from barcloud.operators import sam
-from barcloud.sources import blockgzip, counts, fastq, tables
+from barcloud.sources import blockgzip, counts, fastq, sinks, tables
 from barcloud.streaming import counts as stream
 
 P10X = get_platform("10x")
@@ -348,3 +348,13 @@ def test_splits_read_little_beyond_their_bytes_and_grow_with_the_input(tmp_path,
         out.truncate(3 << 30)
     parts = make(str(large)).partitions()
     assert len(parts) <= files.MAX_SPLITS and parts[-1].end == 3 << 30
+
+
+def test_no_task_writes_two_buckets(spark, tmp_path):
+    lines = spark.range(6000).select((F.col("id") % 60).cast("int").alias("bucket"), F.col("id").cast("string").alias("value"))
+    load = lines.groupBy("bucket").agg(F.count("*").alias("n")).where("bucket != 59")
+    sinks.write_shards(lines, str(tmp_path / "shards"), load, SkewPolicy(target_file_rows=70))
+    back = spark.read.text(str(tmp_path / "shards"))
+    assert sorted((r.bucket, r.value) for r in back.collect()) == sorted((i % 60, str(i)) for i in range(6000))
+    files = [(f.parent.name, f.name.split("-")[1]) for f in (tmp_path / "shards").glob("bucket=*/part-*") if f.parent.name != "bucket=59"]
+    assert len({task for _, task in files}) == len(files) == 2 * 59
