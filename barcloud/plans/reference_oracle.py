@@ -41,7 +41,7 @@ _HITS = f"""{_minimizers("asked", "strands", "chrom, tile, j, rev")}{_INDEX}, hi
   select chrom, tile, j, rev, asked.qpos, chrom_id, idx.qpos as pos, count(*) over (partition by code, chrom, tile, j, rev, asked.qpos) as n
   from asked join idx using (code))"""
 
-_CHAINS = _HITS + f""", d as (select *, pos - qpos as diag from hits where n <= {COMMON}
+_CHAINS = _HITS + f""", d as (select *, pos - qpos as diag from hits
 ), breaks as (
   select *, case when diag - lag(diag) over (partition by chrom, tile, j, rev, chrom_id order by diag, qpos) > {BAND} then 1 else 0 end as far from d
 ), numbered_chains as (
