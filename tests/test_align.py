@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barcloud.config import SkewPolicy, get_platform
-from barcloud.operators import clouds, density
+from barcloud.operators import blocks, clouds, density
 from barcloud.operators.layout import BarcodeLocal
 from barcloud.operators.selection import best_alignments
 from barcloud.plans import align
@@ -128,6 +128,25 @@ def test_posteriors_equal_the_sequential_sweep(spark, layout, seed):
         assert found[key][1] == bad
 
 
+@pytest.mark.parametrize("layout", ["spread", "spread_reads"])
+@pytest.mark.parametrize("few", [False, True])
+def test_rounds_leave_the_candidates_in_their_blocks(spark, layout, few, monkeypatch):
+    """Blocks of a few pairs, facts broadcast or not: the posteriors of the local layout, without a join of candidates."""
+    monkeypatch.setattr(blocks, "ROWS", 40)
+    monkeypatch.setattr(blocks, "PLACES", 3)
+    policy = SkewPolicy(max_group_rows=400, max_heavy_keys=50, max_broadcast_rows=0 if few else 8_000_000)
+    cands = to_spark(spark, make(13)).withColumn("pos", F.when(F.col("ident") != "r007", F.col("pos")))  # positions may be missing
+    flat = lambda df: sorted((*(str(r[k]) for k in KEY), round(r.gamma, 9)) for r in df.collect())
+    got = align.posteriors(cands, layout=layout, policy=policy)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Join") <= 1 and "Window" not in plan
+    keys = [x[:4] for x in flat(got)]
+    named = {k for k in keys if k[1] != "r007"}
+    want = flat(align.posteriors(cands, layout="local"))
+    assert keys == [x[:4] for x in want]
+    assert [x for x in flat(got) if x[:4] in named] == [x for x in want if x[:4] in named]
+
+
 def resolved(spark, frame, **kw):
     cols = [*KEY, "chrom", "pos", "rev", "gamma", "bad", "mi", "duplicate", "alt", "mate_aln"]
     rows = align.resolve(to_spark(spark, frame), **kw).select(*cols).collect()
