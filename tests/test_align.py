@@ -147,6 +147,20 @@ def test_rounds_leave_the_candidates_in_their_blocks(spark, layout, few, monkeyp
     assert [x for x in flat(got) if x[:4] in named] == [x for x in want if x[:4] in named]
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_the_density_ascent_leaves_the_candidates_in_their_blocks(spark, few, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 50)
+    monkeypatch.setattr(blocks, "PLACES", 3)
+    policy = SkewPolicy(max_group_rows=400, max_heavy_keys=50, max_broadcast_rows=0 if few else 8_000_000)
+    frame = make(11, 3, 60, 1, 60_000)
+    flat = lambda df: sorted((*(str(r[k]) for k in KEY), r.active) for r in df.collect())
+    got = align.density_decisions(to_spark(spark, frame), layout="spread", policy=policy)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Join") <= 2 and "Window" not in plan
+    want = flat(align.density_decisions(to_spark(spark, frame), layout="local"))
+    assert flat(got) == want and len({a for *_, a in want}) == 2
+
+
 def resolved(spark, frame, **kw):
     cols = [*KEY, "chrom", "pos", "rev", "gamma", "bad", "mi", "duplicate", "alt", "mate_aln"]
     rows = align.resolve(to_spark(spark, frame), **kw).select(*cols).collect()
