@@ -37,26 +37,6 @@ def _constants(values: list[int], kind: str) -> Column:
     return F.lit(values).cast(f"array<{kind}>")
 
 
-def _probe(observed: DataFrame, edits: list[tuple[int, int, int]], dim: DataFrame) -> DataFrame:
-    """Whitelisted results of the given edits; positions are only looked up for hits."""
-    masks = _constants([m for m, _, _ in edits], "bigint")
-    tried = observed.select("bases", "n_keys", "bc", F.posexplode(masks).alias("e", "mask"))
-    hits = tried.select("bases", "n_keys", "e", F.col("bc").bitwiseXOR(F.col("mask")).alias("cand")).join(dim, "cand")
-    position = lambda k: F.get(_constants([edit[k] for edit in edits], "tinyint"), F.col("e"))
-    return hits.select("bases", "n_keys", "cand", position(1).alias("i"), position(2).alias("j"), "prior")
-
-
-def _probe_n(observed: DataFrame, dim: DataFrame) -> DataFrame:
-    """The four fillings of the single N."""
-    units = _constants([1 << _shift(i) for i in range(BC_LEN)], "bigint")
-    code = F.col("bc") + F.col("x") * F.get(units, F.col("n_pos"))
-    tried = observed.select("bases", "n_keys", "n_pos", "bc", F.explode(_constants([0, 1, 2, 3], "bigint")).alias("x"))
-    hits = tried.select("bases", "n_keys", "n_pos", code.alias("cand")).join(dim, "cand")
-    return hits.select(
-        "bases", "n_keys", "cand", F.col("n_pos").cast("tinyint").alias("i"),
-        F.lit(-1).cast("tinyint").alias("j"), "prior")
-
-
 def _masked_hits(observed: DataFrame, priors: DataFrame) -> DataFrame:
     """Single-edit hits by joining both sides on the barcode with one position masked.
 
@@ -103,14 +83,28 @@ def _masked_double_hits(observed: DataFrame, priors: DataFrame) -> DataFrame:
 
 
 def _neighbour_hits(observed: DataFrame, priors: DataFrame, double: bool) -> DataFrame:
-    """Hits by probing edited barcodes in the broadcast whitelist: no shuffle of the edits."""
-    dim = F.broadcast(priors.select(F.col("bc").alias("cand"), "prior"))
-    plain, with_n = observed.where(F.col("n_pos").isNull()), observed.where(F.col("n_pos").isNotNull())
+    """Hits by probing edited barcodes in the broadcast whitelist: no shuffle of the edits.
+
+    One join tells the whitelisted ones and one probes all that is tried, so the driver builds the whitelist's table at most twice.
+    """
+    dim = F.broadcast(priors.where(F.col("bc").isNotNull()).select(F.col("bc").alias("cand"), "prior"))
+    with_n = F.col("n_pos").isNotNull()
+    marked = observed.withColumn("_own", F.when(~with_n, F.col("bc"))).join(
+        dim.withColumnsRenamed({"cand": "_own", "prior": "_prior"}), "_own", "left")
     # a whitelisted barcode has no single edits to try: only the others are multiplied
-    listed = F.broadcast(priors.select("bc"))
-    unknown, known = plain.join(listed, "bc", "left_anti"), plain.join(listed, "bc", "left_semi")
-    hits = _probe(known, _SAME, dim).unionByName(_probe(unknown, _SINGLE, dim)).unionByName(_probe_n(with_n, dim))
-    return hits.unionByName(_probe(known, _DOUBLE, dim)) if double else hits
+    known = F.col("_prior").isNotNull()
+    own = _SAME + (_DOUBLE if double else [])
+    masks = lambda edits: _constants([m for m, _, _ in edits], "bigint")
+    # the four fillings of the single N, a barcode itself, or its edits
+    tries = F.when(with_n, _constants([0, 1, 2, 3], "bigint")).when(known, masks(own)).otherwise(masks(_SINGLE))
+    units = _constants([1 << _shift(i) for i in range(BC_LEN)], "bigint")
+    tried = marked.select("bases", "n_keys", "n_pos", "bc", known.alias("_known"), F.posexplode(tries).alias("e", "mask"))
+    code = F.when(with_n, F.col("bc") + F.col("mask") * F.get(units, F.col("n_pos"))).otherwise(F.col("bc").bitwiseXOR(F.col("mask")))
+    # positions are only looked up for hits
+    hits = tried.select("bases", "n_keys", "n_pos", "_known", "e", code.alias("cand")).join(dim, "cand")
+    at = lambda edits, k: F.get(_constants([edit[k] for edit in edits], "tinyint"), F.col("e"))
+    position = lambda k, of_n: F.when(with_n, of_n.cast("tinyint")).when(F.col("_known"), at(own, k)).otherwise(at(_SINGLE, k))
+    return hits.select("bases", "n_keys", "cand", position(1, F.col("n_pos")).alias("i"), position(2, F.lit(-1)).alias("j"), "prior")
 
 
 def observed_bases(keys: DataFrame) -> DataFrame:
