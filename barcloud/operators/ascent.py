@@ -41,7 +41,7 @@ class Ascent:
         number, firsts = groups(~self.known, bc, chrom, cloud)
         self.clouds = firsts[self.known[firsts]]
         self.slot = np.minimum(number, len(self.clouds))
-        self.of, firsts = groups(self.slot, self.pair, self.mate)  # reads of clouds
+        self.of, firsts = groups(number, self.pair, self.mate)  # reads of clouds
         self.reads = len(firsts)
 
     def names(self, block: int) -> dict:
@@ -65,8 +65,10 @@ class Ascent:
         self.eligible = (told("colliding") > 0) & (told("records") >= DENSITY_MIN_RECORDS)
         least = np.full(self.reads, np.iinfo(np.int64).max)
         np.minimum.at(least, self.of, np.where(self.edits == NONE, np.iinfo(np.int64).max, self.edits))
-        dropped = self.eligible[self.slot] & (self.edits - SPLIT_EXTRA_SEARCH_DEPTH > least[self.of])
-        self.active = self.active & ~dropped
+        worse = self.edits - SPLIT_EXTRA_SEARCH_DEPTH > least[self.of]
+        # whether a candidate without a cloud would be left out is not known
+        self.unknown = self.active & ~self.known & worse
+        self.active = self.active & ~(self.eligible[self.slot] & worse)
 
     def choices(self, block: int, state: pa.StructScalar | None) -> dict:
         """What the cut leaves of each cloud: its first position, its records, the most of one read."""
@@ -143,5 +145,4 @@ class Ascent:
     def result(self) -> pa.Array:
         active = self.active.copy()
         active[self.ours] = self.chosen
-        # a candidate without a place is in no cloud
-        return pa.array(active, mask=active & ~self.known)
+        return pa.array(active, mask=self.unknown)
